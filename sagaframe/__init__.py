@@ -1,0 +1 @@
+"""Record, interval, text, graph and data-quality analytics as Spark DataFrame operators."""
