@@ -114,7 +114,7 @@ def bce_convention(note: Column, date: Column, bce: str = r"前(\d+)年") -> Col
 def claims(c: Column, pattern: str = r"→(\d{4})-(\d{2})-(\d{2})") -> Column:
     """The dates that a text claims, as an array of struct(y, m, d)."""
     parts = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
-    return F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "ymd"))), lambda x: F.struct(*(x[str(i)].cast("int").alias(n) for i, n in enumerate("ymd"))))
+    return F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "ymd"))), lambda x: F.struct(*(x[n].cast("int").alias(n) for n in "ymd")))
 
 
 def format_year(y: Column) -> Column:

@@ -85,13 +85,13 @@ def run_grouping(spark, sf):
     return aggregates.runs(events, ["user_id"], ["us", "event_id"], "event_type")
 
 
-@query("""WITH e AS (SELECT event_type, epoch_us(ts) // 3600000000 AS at, count(DISTINCT user_id) AS u FROM events GROUP BY 1, 2),
-ends AS (SELECT event_type, min(at) AS lo, max(at) AS hi FROM e GROUP BY 1),
-spine AS (SELECT event_type, unnest(generate_series(lo, hi)) AS at FROM ends),
-s AS (SELECT s.event_type, s.at, CASE WHEN u IS NULL THEN 'vacant' WHEN u = 1 THEN 'sole' ELSE 'split' END AS state FROM spine s LEFT JOIN e ON e.event_type = s.event_type AND e.at = s.at),
-f AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER w THEN 1 ELSE 0 END AS c FROM s WINDOW w AS (PARTITION BY event_type ORDER BY at)),
-g AS (SELECT *, CAST(sum(c) OVER (PARTITION BY event_type ORDER BY at) AS BIGINT) AS run FROM f)
-SELECT event_type, run, state, CAST(min(at) AS BIGINT) AS first, CAST(max(at) AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY 1, 2, 3""")
+@query("""WITH e AS (SELECT event_type, epoch_us(ts) // 3600000000 AS hour, count(DISTINCT user_id) AS u FROM events GROUP BY 1, 2),
+ends AS (SELECT event_type, min(hour) AS lo, max(hour) AS hi FROM e GROUP BY 1),
+spine AS (SELECT event_type, unnest(generate_series(lo, hi)) AS hour FROM ends),
+s AS (SELECT s.event_type, s.hour, CASE WHEN u IS NULL THEN 'vacant' WHEN u = 1 THEN 'sole' ELSE 'split' END AS state FROM spine s LEFT JOIN e ON e.event_type = s.event_type AND e.hour = s.hour),
+f AS (SELECT *, CASE WHEN state IS DISTINCT FROM lag(state) OVER w THEN 1 ELSE 0 END AS c FROM s WINDOW w AS (PARTITION BY event_type ORDER BY hour)),
+g AS (SELECT *, CAST(sum(c) OVER (PARTITION BY event_type ORDER BY hour) AS BIGINT) AS run FROM f)
+SELECT event_type, run, state, CAST(min(hour) AS BIGINT) AS first, CAST(max(hour) AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS n FROM g GROUP BY 1, 2, 3""")
 def run_length_states(spark, sf):
     hours = table(spark, sf, "events").select("event_type", F.floor(micros("ts") / 3_600_000_000).alias("at"), "user_id").groupBy("event_type", "at").agg(F.count_distinct("user_id").alias("u"))
     spine = hours.groupBy("event_type").agg(F.min("at").alias("a"), F.max("at").alias("b"))

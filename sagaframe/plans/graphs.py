@@ -45,9 +45,9 @@ def common_parent(spark, sf):
     return graph.common_parents(_partners(spark, sf, 3))
 
 
-@query(f"""WITH RECURSIVE {_TRADE.format(k=1)}, walk AS (SELECT src AS start, dst AS at, least(src, dst) AS least, 1 AS n FROM edges
-  UNION ALL SELECT start, dst, least(least, dst), n + 1 FROM walk JOIN edges ON src = at WHERE n < 30 AND at <> start)
-SELECT start AS id, min(least) AS least FROM walk WHERE at = start GROUP BY 1""")
+@query(f"""WITH RECURSIVE {_TRADE.format(k=1)}, walk AS (SELECT src AS start, dst AS here, least(src, dst) AS least, 1 AS n FROM edges
+  UNION ALL SELECT start, dst, least(least, dst), n + 1 FROM walk JOIN edges ON src = here WHERE n < 30 AND here <> start)
+SELECT start AS id, min(least) AS least FROM walk WHERE here = start GROUP BY 1""")
 def cycle_detect(spark, sf):
     return graph.cycles(_partners(spark, sf, 1))
 

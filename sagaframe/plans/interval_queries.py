@@ -29,8 +29,8 @@ def interval_merge_gap(spark, sf):
     return intervals.merge(spans(spark, sf), ["o_custkey"], 7)
 
 
-@query(f"""WITH {SPANS}, d AS (SELECT a AS at, 1 AS d FROM spans UNION ALL SELECT b + 1, -1 FROM spans), s AS (SELECT at, sum(d) AS d FROM d GROUP BY 1)
-SELECT CAST(at AS BIGINT) AS at, CAST(sum(d) OVER (ORDER BY at) AS BIGINT) AS n FROM s""")
+@query(f"""WITH {SPANS}, d AS (SELECT a AS x, 1 AS d FROM spans UNION ALL SELECT b + 1, -1 FROM spans), s AS (SELECT x, sum(d) AS d FROM d GROUP BY 1)
+SELECT CAST(x AS BIGINT) AS "at", CAST(sum(d) OVER (ORDER BY x) AS BIGINT) AS n FROM s""")
 def concurrency_sweep(spark, sf):
     return intervals.concurrency(spans(spark, sf))
 

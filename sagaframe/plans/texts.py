@@ -99,7 +99,7 @@ def whitelist_predicate(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.in_whitelist(F.col("url"), KEYWORDS, MARKERS, EXACT).alias("listed"))
 
 
-@query("""WITH m AS (SELECT doc_id, text, instr(text, 'tion') AS at FROM documents WHERE contains(text, 'tion'))
-SELECT doc_id, CAST(1 + length(substr(text, 1, at - 1)) - length(replace(substr(text, 1, at - 1), chr(10), '')) AS BIGINT) AS line, substr(text, greatest(1, at - 20), 40) AS excerpt FROM m""")
+@query("""WITH m AS (SELECT doc_id, text, instr(text, 'tion') AS place FROM documents WHERE contains(text, 'tion'))
+SELECT doc_id, CAST(1 + length(substr(text, 1, place - 1)) - length(replace(substr(text, 1, place - 1), chr(10), '')) AS BIGINT) AS line, substr(text, greatest(1, place - 20), 40) AS excerpt FROM m""")
 def keyword_in_context(spark, sf):
     return search.in_context(table(spark, sf, "documents"), "doc_id", "text", "tion").withColumn("line", F.col("line").cast("long"))

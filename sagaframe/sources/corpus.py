@@ -51,7 +51,7 @@ def extracts(chapters: DataFrame, specs: list[Extract]) -> DataFrame:
     wanted = spark.createDataFrame([(s.id, s.first, s.last, s.start, s.end) for s in specs], "id string, first int, last int, start string, end string")
     each = wanted.withColumn("n", F.explode(F.sequence("first", "last"))).join(chapters.select("n", "text"), "n")
     joined = each.groupBy("id", "start", "end").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
-    a = F.when(F.col("start").isNull(), 1).otherwise(F.locate("start", "text") if False else F.expr("instr(text, start)"))
+    a = F.when(F.col("start").isNull(), 1).otherwise(F.expr("instr(text, start)"))
     after = F.expr("substring(text, instr(text, coalesce(start, '')) + length(coalesce(start, '')))")
     b = F.when(F.col("end").isNull(), F.length("text")).otherwise(a + F.length(F.coalesce("start", F.lit(""))) + F.instr(after, F.col("end")) + F.length("end") - 2)
     lost = (a == 0) | (F.col("end").isNotNull() & (F.instr(after, F.col("end")) == 0))

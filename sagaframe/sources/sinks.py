@@ -51,7 +51,8 @@ def ledger(df: DataFrame, key: str, path: str) -> None:
 
 def person_document(name: Column, aliases: Column, born: Column, died: Column, url: Column) -> Column:
     """Linked data about a person; fields that are null are left out, one alias is no list."""
-    one = F.when(F.size(aliases) == 1, F.to_json(F.get(aliases, F.lit(0)).cast("string")) if False else F.concat(F.lit('"'), F.get(aliases, F.lit(0)), F.lit('"'))).when(F.size(aliases) > 1, F.to_json(aliases))
+    listed = F.to_json(aliases)
+    one = F.when(F.size(aliases) == 1, F.substring(listed, F.lit(2), F.length(listed) - 2)).when(F.size(aliases) > 1, listed)
     rest = F.to_json(F.struct(F.lit("Person").alias("@type"), name.alias("name"), born.alias("birthDate"), died.alias("deathDate"), url.alias("url")))
     return F.when(one.isNull(), rest).otherwise(F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), F.lit(',"alternateName":'), one, F.lit("}")))
 
