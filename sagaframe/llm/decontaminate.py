@@ -144,4 +144,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """The rows of ``docs`` that hold no item. The id names a document: rows that repeat it stay or go
     together; rows without an id stay."""
     leaks = contaminated(docs, items, id_col, text_col, item_id_col, item_text_col, error_rate)
-    return docs.join(leaks.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+    return docs.join(leaks.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)

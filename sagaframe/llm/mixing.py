@@ -85,9 +85,9 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, with the same columns."""
     sized = cut(docs.select(*_described(docs, id_col, text_col, source_col, seed)))
-    tagged = docs.select("*", *_described(docs, id_col, None, source_col, seed))
-    made = _with_plan(tagged, plan(sized, weights, max_epochs)).withColumn("_times", _times()).where("_times > 0")
-    return made.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns)
+    tagged = docs.select(F.struct("*").alias("_row"), *_described(docs, id_col, None, source_col, seed))
+    made = _with_plan(tagged, plan(sized, weights, max_epochs)).select("_row", _times().alias("_times")).where("_times > 0")
+    return made.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_row.*")
 
 
 ORACLE = r"""

@@ -108,4 +108,4 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with a null id stay.
     """
     gone = near_duplicates(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
