@@ -85,3 +85,21 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     failed = F.array_compact(F.array(*(F.when(c, F.lit(rule)) for rule, c in conditions.items())))
     judged = measures(docs, id_col, text_col).withColumn("failed", failed).withColumn("base_failed", base)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size("failed") == 0)).alias("kept"), "failed")
+
+
+_FAILS = ",\n  ".join(f"CASE WHEN {' OR '.join([f'{m} < {a}'] * (a is not None) + [f'{m} > {b}'] * (b is not None))} THEN '{rule}' END" for rule, m, a, b in THRESHOLDS)
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {WINDOW - 1})) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, sum(least({WINDOW}, coalesce(step, {WINDOW}))) AS n FROM (SELECT doc_id, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM again) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+m AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(l) AS n_lines, len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))}))) AS n_stop_words
+  FROM d JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN covered c ON c.doc_id = d.doc_id),
+r AS (SELECT *, {", ".join(f"coalesce({a} / nullif({b}, 0), 0) AS {name}" for name, (a, b) in RATIOS.items())} FROM m),
+f AS (SELECT *, concat_ws(', ', {_FAILS}) AS failed, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM f
+"""

@@ -67,4 +67,15 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE key NOT IN (SELECT key FROM often)), '')) AS kept_sha256
 FROM keyed GROUP BY doc_id""",
     "op7_mixture": mixing.ORACLE,
+    "op8_passages": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d)),
+firsts AS (SELECT x, min(doc_id) AS least FROM windows GROUP BY x),
+starts AS (SELECT doc_id, i FROM windows JOIN firsts USING (x) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS i FROM starts),
+placed AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text, count(*) AS n FROM placed p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    "op10_quality_rules": qualityrules.ORACLE,
 }
