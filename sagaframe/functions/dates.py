@@ -44,9 +44,10 @@ def precision(c: Column) -> Column:
 
 
 def precision_of(json: Column, side: str) -> Column:
-    """The token of a field that is a JSON string or an object with start and end."""
+    """The token of a field that is a string, plain or as JSON, or an object with start and end."""
     value = F.try_parse_json(json)
-    return F.coalesce(F.try_variant_get(value, f"$.{side}", "string"), F.when(~json.startswith("{"), F.try_variant_get(value, "$", "string")))
+    plain = F.when(~json.startswith("{"), F.coalesce(F.try_variant_get(value, "$", "string"), json))
+    return F.coalesce(F.try_variant_get(value, f"$.{side}", "string"), plain)
 
 
 def clamp(date: Column, p: Column) -> Column:

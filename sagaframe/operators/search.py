@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagaframe.functions import text as T
+from sagaframe.session import cut
 
 
 def multi_token(df: DataFrame, target: Column, query: str) -> DataFrame:
@@ -55,14 +56,14 @@ def staged(units: DataFrame, corpus: DataFrame, unit_id: str, span: str, doc_id:
     Stages go from whole spans over fixed fragments to short shingles; a later one only sees what is
     left. Of fragments one must be found if there are one or two, else half, rounded up.
     """
-    cuts = [("whole", lambda c: F.array(c)), ("fragment", T.fragments), ("shingle", T.sliding_fragments)]
+    stages = [("whole", lambda c: F.array(c)), ("fragment", T.fragments), ("shingle", T.sliding_fragments)]
     left, out = units.select(unit_id, F.col(span).alias("_span")), None
-    for stage, cut in cuts:
-        parts = left.select(unit_id, F.posexplode(cut(F.col("_span"))).alias("_i", "_part")).withColumn("_key", F.concat_ws("#", F.col(unit_id).cast("string"), "_i"))
+    for stage, split in stages:
+        parts = cut(left.select(unit_id, F.posexplode(split(F.col("_span"))).alias("_i", "_part")).withColumn("_key", F.concat_ws("#", F.col(unit_id).cast("string"), "_i")))
         hits = contained(parts, corpus, "_key", "_part", doc_id, text, 6 if stage == "shingle" else 10)
         need = parts.groupBy(unit_id).agg(F.when(F.count("*") <= 2, 1).otherwise(F.ceil(F.count("*") / 2)).alias("_need"))
         per = hits.join(parts.select("_key", unit_id), "_key").groupBy(unit_id, doc_id).agg(F.count_distinct("_key").alias("_n"))
-        best = per.join(need, unit_id).where("_n >= _need").groupBy(unit_id).agg(F.min(doc_id).alias(doc_id)).select(unit_id, F.lit(stage).alias("stage"), doc_id)
+        best = cut(per.join(need, unit_id).where("_n >= _need").groupBy(unit_id).agg(F.min(doc_id).alias(doc_id)).select(unit_id, F.lit(stage).alias("stage"), doc_id))
         out = best if out is None else out.union(best)
         left = left.join(best.select(unit_id), unit_id, "left_anti")
     return out

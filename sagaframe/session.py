@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: AQE splits skewed joins and coalesces small shuffle partitions, so the number of them is set high.
 DEFAULTS = {
@@ -25,3 +27,11 @@ def session(name: str = "sagaframe", **options: str) -> SparkSession:
 
 def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the session's shared checkpoint folder and cut its lineage; a temporary folder only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
