@@ -24,10 +24,18 @@ def keyword(df: DataFrame, value: Column, keywords: Column, query: str) -> DataF
     return df.where(F.concat_ws(" ", value, keywords).contains(query))
 
 
+CHUNK = 256
+
+
 def grams(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
-    """(key, gram): the distinct substrings of ``size`` characters."""
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size)))
-    return df.where(F.length(text) >= size).select(key, F.explode(F.array_distinct(every)).alias("gram"))
+    """(key, gram): the substrings of ``size`` characters, repeats within a chunk left out.
+
+    A substring is found by walking from the start of its text, so texts are cut into overlapping chunks first.
+    """
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1, F.lit(CHUNK))
+    chunks = df.where(F.length(text) >= size).select(key, F.explode(F.transform(starts, lambda i: F.substring(text, i, F.lit(CHUNK + size - 1)))).alias("_c"))
+    every = F.transform(F.sequence(F.lit(1), F.length("_c") - size + 1), lambda i: F.substring("_c", i, F.lit(size)))
+    return chunks.select(key, F.explode(F.array_distinct(every)).alias("gram"))
 
 
 def contained(needles: DataFrame, hay: DataFrame, needle_id: str, needle: str, hay_id: str, text: str, gram: int = 12) -> DataFrame:
@@ -41,7 +49,7 @@ def contained(needles: DataFrame, hay: DataFrame, needle_id: str, needle: str, h
     for size in sorted({*(n for n in lengths if n < gram), gram}):
         mine = needles.where(F.length(needle) == size if size < gram else F.length(needle) >= size)
         wanted = grams(mine.select(needle_id, F.col(needle).alias("_n")), needle_id, F.col("_n"), size)
-        there = grams(hay.select(hay_id, F.col(text).alias("_t")), hay_id, F.col("_t"), size).join(wanted.select("gram").distinct(), "gram", "left_semi")
+        there = cut(grams(hay.select(hay_id, F.col(text).alias("_t")), hay_id, F.col("_t"), size).join(wanted.select("gram").distinct(), "gram", "left_semi").distinct())
         often = there.groupBy("gram").agg(F.count("*").alias("n"))
         rarest = wanted.join(often, "gram", "left").groupBy(needle_id).agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram"))["gram"].alias("gram"))
         pairs = rarest.join(there, "gram").select(needle_id, hay_id)

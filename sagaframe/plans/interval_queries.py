@@ -91,27 +91,52 @@ def _items(spark, sf):
     return spans(spark, sf).withColumnRenamed("o_orderkey", "id")
 
 
-@query()
+_ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {by}) AS k FROM {src})"
+#: Packing as a recursion whose state is the list of the lanes' ends.
+_PACKED = """packed AS (SELECT o_custkey, o_orderkey AS id, a, b, k, CAST(0 AS BIGINT) AS lane, [b] AS ends FROM o WHERE k = 1
+UNION ALL SELECT o.o_custkey, o.o_orderkey, o.a, o.b, o.k, CASE WHEN p > 0 THEN p - 1 ELSE len(ends) END, CASE WHEN p > 0 THEN list_concat(list_append(ends[1:p - 1], o.b), ends[p + 1:]) ELSE list_append(ends, o.b) END
+FROM (SELECT w.*, coalesce(list_position(list_transform(w.ends, lambda e: e {op} n.a), true), 0) AS p FROM packed w JOIN o n ON n.o_custkey = w.o_custkey AND n.k = w.k + 1) w JOIN o ON o.o_custkey = w.o_custkey AND o.k = w.k + 1)"""
+_BY_START = _ORDERED.format(by="a, b DESC, o_orderkey", src="spans")
+
+
+@query(f"WITH RECURSIVE {SPANS}, {_BY_START}, {_PACKED.format(op='<=')} SELECT o_custkey, id, a, b, lane FROM packed")
 def lane_pack_touching(spark, sf):
     return lanes.pack(_items(spark, sf), ["o_custkey"])
 
 
-@query()
+@query(f"WITH RECURSIVE {SPANS}, {_BY_START}, {_PACKED.format(op='<')} SELECT o_custkey, id, a, b, lane FROM packed")
 def lane_pack_strict(spark, sf):
     return lanes.pack(_items(spark, sf), ["o_custkey"], touching=False)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS}, {_ORDERED.format(by="o_orderkey % 7, o_orderkey", src="spans")},
+w AS (SELECT o_custkey, o_orderkey AS id, a, b, k, CAST(0 AS BIGINT) AS lane, [{{'a': a, 'b': b, 'lane': CAST(0 AS BIGINT)}}] AS placed FROM o WHERE k = 1
+UNION ALL SELECT o_custkey, id, a, b, k, lane, list_append(placed, {{'a': a, 'b': b, 'lane': lane}}) FROM (
+  SELECT o.o_custkey, o.o_orderkey AS id, o.a, o.b, o.k, w.placed,
+         list_filter(generate_series(CAST(0 AS BIGINT), len(w.placed)), lambda x: NOT list_contains(list_transform(list_filter(w.placed, lambda r: r.b > o.a AND r.a < o.b), lambda r: r.lane), x))[1] AS lane
+  FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.k = w.k + 1))
+SELECT o_custkey, id, a, b, lane FROM w""")
 def lane_first_fit(spark, sf):
     return lanes.first_fit(_items(spark, sf).withColumn("priority", F.col("id") % 7), ["o_custkey"], "priority")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS}, {_BY_START}, {_PACKED.format(op='<=')},
+w AS (SELECT o_custkey, id, a, b, k, lane, CAST(1 AS BIGINT) AS slot, [{{'a': a, 'b': b, 'lane': lane, 'slot': CAST(1 AS BIGINT)}}] AS placed FROM packed WHERE k = 1
+UNION ALL SELECT o_custkey, id, a, b, k, lane, slot, list_append(placed, {{'a': a, 'b': b, 'lane': lane, 'slot': slot}}) FROM (
+  SELECT p.o_custkey, p.id, p.a, p.b, p.k, p.lane, w.placed,
+         coalesce(list_filter(generate_series(CAST(1 AS BIGINT), CAST(8 AS BIGINT)), lambda x: NOT list_contains(list_transform(list_filter(w.placed, lambda r: r.b >= p.a AND r.a <= p.b), lambda r: r.slot), x)
+           AND x IS DISTINCT FROM list_filter(w.placed, lambda r: r.lane = p.lane)[-1].slot)[1], p.lane % 8 + 1) AS slot
+  FROM w JOIN packed p ON p.o_custkey = w.o_custkey AND p.k = w.k + 1))
+SELECT o_custkey, id, a, b, slot FROM w""")
 def slot_colouring(spark, sf):
     return lanes.colour(lanes.pack(_items(spark, sf), ["o_custkey"]), ["o_custkey"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {SPANS}, {_ORDERED.format(by="a, b, o_orderkey", src="spans")},
+w AS (SELECT o_custkey, o_orderkey AS id, a, b, k, CAST(a AS DOUBLE) AS start, CASE WHEN b > a THEN CAST(b AS DOUBLE) ELSE a + 0.5 END AS stop FROM o WHERE k = 1
+UNION ALL SELECT o.o_custkey, o.o_orderkey, o.a, o.b, o.k, greatest(CAST(o.a AS DOUBLE), w.stop), CASE WHEN o.b > greatest(CAST(o.a AS DOUBLE), w.stop) THEN CAST(o.b AS DOUBLE) ELSE greatest(CAST(o.a AS DOUBLE), w.stop) + 0.5 END
+FROM w JOIN o ON o.o_custkey = w.o_custkey AND o.k = w.k + 1)
+SELECT o_custkey, id, a, b, start, stop FROM w""")
 def running_cursor(spark, sf):
     return lanes.cursor(_items(spark, sf), ["o_custkey"])
 
@@ -185,7 +210,11 @@ def range_containment(spark, sf):
     return shipped.join(bounds, "o_custkey").where(~F.col("ship").between(F.col("lo"), F.col("hi"))).groupBy("o_custkey").agg(F.count("*").alias("n_outside"))
 
 
-@query()
+@query(f"""WITH {SPANS}, {_ISLANDS.format(k='o_custkey', gap=7, src='spans')},
+p AS (SELECT row_number() OVER () AS line, l_orderkey, l_linenumber, o_custkey, CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) AS t FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+x AS (SELECT line, max(m.a) FILTER (WHERE m.a <= t) AS latest, min(m.a) AS first FROM p JOIN merged m ON m.o_custkey = p.o_custkey GROUP BY line)
+SELECT l_orderkey, l_linenumber, p.o_custkey, t AS "at", t <= m.b AS inside, coalesce(latest, first) AS begun
+FROM p JOIN x ON x.line = p.line LEFT JOIN merged m ON m.o_custkey = p.o_custkey AND m.a = latest""")
 def span_at(spark, sf):
     """The merged span of the same customer that holds each shipping day, else the latest begun, else the first."""
     merged = intervals.merge(spans(spark, sf), ["o_custkey"], 7)

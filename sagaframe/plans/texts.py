@@ -28,6 +28,18 @@ def char_class_keep(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(kept).cast("long").alias("n_kept"), F.md5(T.mapped(kept, dict(zip("éèêç", "eeec")))).alias("mapped"))
 
 
+@query("SELECT doc_id, md5(translate(coalesce(text, ''), 'äöüßñé', 'aousne')) AS digest FROM documents")
+def variant_map(spark, sf):
+    variants = dict(zip("äöüßñé", "aousne"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.mapped(F.coalesce("text", F.lit("")), variants)).alias("digest"))
+
+
+@query("""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(coalesce(text, ''), '"([^"]*)"', 1), lambda x: length(regexp_replace(x, '[^a-zA-Z]', '', 'g')) >= 6 AND NOT regexp_matches(x, '[0-9]'))) AS BIGINT) AS n_spans FROM documents""")
+def quoted_spans(spark, sf):
+    found = T.quoted(F.coalesce("text", F.lit("")), '"', '"', 6, "a-zA-Z", "0-9")
+    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n_spans"))
+
+
 @query("""WITH q AS (SELECT doc_id, list_filter(regexp_extract_all(coalesce(text, ''), '"([^"]*)"', 1), lambda x: length(regexp_replace(x, '[^a-zA-Z]', '', 'g')) >= 6 AND NOT regexp_matches(x, '[0-9]')) AS qs FROM documents),
 u AS (SELECT doc_id, unnest(qs) AS span, generate_subscripts(qs, 1) - 1 AS i FROM q)
 SELECT doc_id, CAST(i AS BIGINT) AS i, span, CAST(doc_id AS VARCHAR) || '|text|' || substr(sha1(span), 1, 12) AS key FROM u""")
