@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +40,15 @@ def words(text: Column) -> Column:
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only id, text as bytes, and ``key``, which tells rows of one id with different texts apart."""
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
+
+
+def portions(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``limit`` bytes of a column each (or one row), so that a task holds no more at once."""
+    start = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if i > start and held + n > limit:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(batch):
+        yield batch.slice(start)

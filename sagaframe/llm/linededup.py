@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagaframe.llm.common import cut, keyed
+from sagaframe.llm.common import cut, keyed, portions
 
 SHARD_KEYS, BROADCAST_BYTES = 500_000, 64 << 20
 
@@ -157,7 +157,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             indexes = {k: pickle.loads(v) for k, v in held.value.items()}
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole)):
                 texts = batch.column("text").to_pylist()
                 split = [line_hashes(x, min_chars) for x in texts]
                 hashes = np.concatenate([h for _, h in split]) if split else np.zeros((0, 2), np.uint64)
@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("doc_id")[i], len(hashes)), pa.repeat(batch.column("key")[i], len(hashes)), *parts], ["doc_id", "key", "at", "h1", "h2"])
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             texts, hits = batch.column("text").to_pylist(), batch.column("hits").to_pylist()
             lines = [(x or b"").split(b"\n") for x in texts]
             gone = [np.isin(np.arange(len(x)), h or []) for x, h in zip(lines, hits)]
