@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sagaframe.session import cut as _cut
 
+#: Rounds of relaxation between two checkpoints.
+ROUNDS = 4
+
 
 def roots(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """Vertices ``id`` that no edge (src, dst) enters."""
@@ -65,12 +68,13 @@ def relax(vertices: DataFrame, edges: DataFrame, tolerance: float = 1e-6, max_ro
     """
     both = _cut(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct())
     now = _cut(vertices.select("id", "value", F.col("value").isNotNull().alias("known")))
-    for _ in range(max_rounds):
-        means = both.join(now.where("value IS NOT NULL").select(F.col("id").alias("dst"), F.col("value").alias("_v")), "dst").groupBy(F.col("src").alias("id")).agg(F.avg("_v").alias("_mean"))
-        moved = now.join(means, "id", "left").select("id", F.when(F.col("known"), F.col("value")).otherwise(F.coalesce("_mean", "value")).alias("value"), "known", F.col("value").alias("_was"))
-        moved = _cut(moved)
-        most, fresh = moved.agg(F.max(F.abs(F.col("value") - F.col("_was"))), F.count(F.when(F.col("value").isNotNull() & F.col("_was").isNull(), 1))).first()
-        now = moved.drop("_was")
+    for _ in range(-(-max_rounds // ROUNDS)):
+        for _ in range(ROUNDS):
+            means = both.join(now.where("value IS NOT NULL").select(F.col("id").alias("dst"), F.col("value").alias("_v")), "dst").groupBy(F.col("src").alias("id")).agg(F.avg("_v").alias("_mean"))
+            moved = F.when(F.col("known"), F.col("value")).otherwise(F.coalesce("_mean", "value"))
+            now = now.select("id", "value", "known").join(means, "id", "left").select("id", moved.alias("value"), "known", F.col("value").alias("_was"))
+        now = _cut(now)
+        most, fresh = now.agg(F.max(F.abs(F.col("value") - F.col("_was"))), F.count(F.when(F.col("value").isNotNull() & F.col("_was").isNull(), 1))).first()
         if not fresh and (most or 0) <= tolerance:
             break
     if lost := now.where("value IS NULL").count():
