@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MANIFEST = "run string, tier int, path string, bytes long, files long"
-_ARRIVAL = "__arrival"
+_ARRIVAL = "_arrival"
 
 
 class ShardStore:
@@ -60,8 +60,10 @@ class ShardStore:
         """Add the rows as ``arrivals`` runs of small shards, dealt by hash in the tasks that read them; the new version."""
         version = max(self.versions(), default=0) + 1
         batch = f"{self.root}/runs/a{version:08d}-{uuid.uuid4().hex[:8]}"
-        df.withColumn(_ARRIVAL, F.pmod(F.xxhash64(*df.columns), F.lit(arrivals)).cast("int")).write.partitionBy(_ARRIVAL).parquet(batch)
-        folders = [s.getPath() for s in self._files.listStatus(self._paths(batch)) if s.isDirectory() and s.getPath().getName().startswith(_ARRIVAL)]
+        arrival = max([_ARRIVAL, *df.columns], key=len) + "_"  # longer than any column's name
+        dealt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(arrivals)).cast("int")
+        df.withColumn(arrival, dealt).write.partitionBy(arrival).parquet(batch)
+        folders = [s.getPath() for s in self._files.listStatus(self._paths(batch)) if s.isDirectory() and s.getPath().getName().startswith(f"{arrival}=")]
         new = [self._run(f"a{version:08d}-{p.getName().split('=')[1]}", p.toString()) for p in folders]
         return self.commit(self.runs(version - 1) + new, version)
 
