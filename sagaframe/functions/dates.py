@@ -71,12 +71,21 @@ def depth(date: Column) -> Column:
     return F.when(date["d"].isNotNull() & date["m"].isNotNull(), 3).when(date["m"].isNotNull(), 2).otherwise(1)
 
 
+def _once(a: Column, b: Column, f) -> Column:
+    """f(a, b) of two dates that are computed once, however often f names them; their texts are long to parse."""
+    return F.get(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda x: f(x["a"], x["b"])), F.lit(0))
+
+
 def compare(a: Column, b: Column) -> Column:
     """-1, 0 or 1 at the precision that both have."""
-    to = F.least(depth(a), depth(b))
-    part = lambda x, name, n: F.when(to >= n, x[name]).otherwise(0)
-    key = lambda x: x["y"].cast("long") * 10000 + part(x, "m", 2) * 100 + part(x, "d", 3)
-    return F.signum(key(a) - key(b)).cast("int")
+
+    def made(a: Column, b: Column) -> Column:
+        to = F.least(depth(a), depth(b))
+        part = lambda x, name, n: F.when(to >= n, x[name]).otherwise(0)
+        key = lambda x: x["y"].cast("long") * 10000 + part(x, "m", 2) * 100 + part(x, "d", 3)
+        return F.signum(key(a) - key(b)).cast("int")
+
+    return _once(a, b, made)
 
 
 def jdn(y: Column, m: Column, d: Column) -> Column:
@@ -91,8 +100,8 @@ def jdn(y: Column, m: Column, d: Column) -> Column:
 
 def exact_days(a: Column, b: Column) -> Column:
     """Days between two dates with day precision, else null."""
-    known = (depth(a) == 3) & (depth(b) == 3)
-    return F.when(known, jdn(b["y"], b["m"], b["d"]) - jdn(a["y"], a["m"], a["d"]))
+    known = lambda a, b: (depth(a) == 3) & (depth(b) == 3)
+    return _once(a, b, lambda a, b: F.when(known(a, b), jdn(b["y"], b["m"], b["d"]) - jdn(a["y"], a["m"], a["d"])))
 
 
 def counted_age(birth: Column, at: Column) -> Column:
