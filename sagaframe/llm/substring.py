@@ -9,10 +9,14 @@ each passage learns for all its windows in which document they are met first. Wo
 a smaller id has are removed.
 
 Automata over all documents would grow with the corpus and could not be broadcast, so they are built
-shard by shard in the tasks that the passages of their anchors are sent to. What is broadcast is the
-set of repeated anchors, behind a check of its size; beyond it the anchors are joined. An anchor with
-more than ``passage_cap`` distinct passages gets no automaton: its windows are grouped by their hashes,
-which is as exact and needs no group in one task.
+shard by shard in the tasks that the passages of their anchors are sent to. What is broadcast is sets
+of repeated anchors, behind a check of their size; beyond it the anchors are joined.
+
+Passages are told apart by two hashes, and their texts go only where an automaton needs them. An
+anchor with one distinct passage needs none: all its windows are met first where the passage is. An
+anchor with more than ``passage_cap`` of them, or met more than ``row_cap`` times, gets none either: its
+windows are grouped by their hashes, which is as exact and needs no group in one task. So the rows of
+a shard are bounded, whatever is copied how often. Tasks keep one copy of each passage before they send any.
 """
 
 from __future__ import annotations
@@ -27,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sagaframe.llm.common import checkpoint_dir, cut, keyed
+from sagaframe.llm.common import checkpoint_dir, cut, keyed, portions
 
-GRAM, BROADCAST_ANCHORS, SHARD_PASSAGES = 12, 8_000_000, 4000
+GRAM, BROADCAST_ANCHORS, SHARD_ROWS, HELD_BYTES = 12, 8_000_000, 8000, 32 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -122,8 +126,8 @@ class SuffixAutomaton:
 
 
 def matched_passages(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """One shard: (h, s1, s2, passage, least) to (h, s1, s2, firsts), an automaton for each anchor of several passages."""
-    rows, out = rows.sort_values("h", kind="stable"), []
+    """One shard: (h, s1, s2, passage, least) to (h, s1, s2, firsts), an automaton for each anchor. Rows may repeat a passage with another ``least``."""
+    rows, out = rows.sort_values(["h", "s1", "s2", "least"], kind="stable").drop_duplicates(["h", "s1", "s2"]), []
     h, least, texts = rows["h"].to_numpy(), rows["least"].to_numpy(), [bytes(x).split() for x in rows["passage"]]
     ends = [*np.flatnonzero(np.diff(h)) + 1, len(h)]
     for a, b in zip([0, *ends], ends):
@@ -138,30 +142,41 @@ def matched_passages(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return rows[["h", "s1", "s2"]].assign(firsts=out)
 
 
+def _sorted(anchors: DataFrame) -> np.ndarray:
+    """The anchors ``h`` of a table whose size has been checked."""
+    return np.sort(anchors.select("h").toPandas()["h"].to_numpy(np.int64))
+
+
+def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of ``h`` are in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
 def _passages(batch: pa.RecordBatch, places: list, length: int) -> pa.RecordBatch | None:
     """The passage around each of a row's anchors: (position, hash) pairs in ``places``."""
     reach, rows = length - min(GRAM, length), []
     for n, (text, found) in enumerate(zip(batch.column("text").to_pylist(), places)):
         words = text.split() if found else []
         for at, h in found:
-            start = max(0, at - reach)
-            passage = b" ".join(words[start : at + length])
-            rows.append((n, start, h, xxhash.xxh64_intdigest(passage, 1) - 2**63, xxhash.xxh64_intdigest(passage, 2) - 2**63, passage))
+            start, end = max(0, at - reach), min(len(words), at + length)
+            passage = b" ".join(words[start:end])
+            rows.append((n, start, end - start - length + 1, h, xxhash.xxh64_intdigest(passage, 1) - 2**63, xxhash.xxh64_intdigest(passage, 2) - 2**63, passage))
     if not rows:
         return None
     index, *columns = zip(*rows)
     taken = [batch.column(c).take(pa.array(index, pa.int64())) for c in ("doc_id", "key")]
-    return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())))], ["doc_id", "key", "start", "h", "s1", "s2", "passage"])
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(columns, types))], ["doc_id", "key", "start", "windows", "h", "s1", "s2", "passage"])
 
 
-_PASSAGES = "doc_id long, key long, start long, h long, s1 long, s2 long, passage binary"
+_PASSAGES = "doc_id long, key long, start long, windows int, h long, s1 long, s2 long, passage binary"
 
 
 def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """(doc_id, key, start, h, s1, s2, passage) for each anchor that two documents or more have."""
+    """(doc_id, key, start, windows, h, s1, s2, passage) for each anchor that two documents or more have; ``windows`` is how many the passage holds."""
 
     def listed(batches: Iterator[pa.RecordBatch], ids: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             found = [anchors((x or b"").split(), length) for x in batch.column("text").to_pylist()]
             index = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
             columns = {"doc_id": batch.column("doc_id").take(index), "key": batch.column("key").take(index), "at": pa.array(np.concatenate([p for p, _ in found] or [np.zeros(0, np.int64)])), "h": pa.array(np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)]))}
@@ -170,15 +185,15 @@ def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BR
     ends = slim.mapInArrow(lambda b: listed(b, ("doc_id", "h")), "doc_id long, h long").groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     repeated = cut(ends.where("a < b").select("h"))
     if repeated.count() <= broadcast_anchors:
-        held = slim.sparkSession.sparkContext.broadcast(np.sort(repeated.toPandas()["h"].to_numpy(np.int64)))
+        held = slim.sparkSession.sparkContext.broadcast(_sorted(repeated))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = held.value
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole)):
                 places = []
                 for text in batch.column("text").to_pylist():
                     at, h = anchors((text or b"").split(), length)
-                    hit = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+                    hit = _among(known, h)
                     places.append(list(zip(at[hit].tolist(), h[hit].tolist())))
                 if (made := _passages(batch, places, length)) is not None:
                     yield made
@@ -186,7 +201,7 @@ def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BR
         return slim.mapInArrow(near, _PASSAGES)
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             if (made := _passages(batch, [[(x["at"], x["h"]) for x in found] for found in batch.column("hits").to_pylist()], length)) is not None:
                 yield made
 
@@ -195,21 +210,56 @@ def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BR
     return slim.join(hits, ["doc_id", "key"]).mapInArrow(around, _PASSAGES)
 
 
-def first_documents(passages: DataFrame, length: int, passage_cap: int) -> DataFrame:
+def _texts(passages: DataFrame, anchors: DataFrame, n_anchors: int, broadcast_anchors: int) -> DataFrame:
+    """(h, s1, s2, least, passage) of the given anchors' passages, one copy of each for a task as long as it can hold them."""
+    few = n_anchors <= broadcast_anchors
+    held = passages.sparkSession.sparkContext.broadcast(_sorted(anchors)) if few else None
+    columns = ["h", "s1", "s2", "least", "passage"]
+
+    def made(seen: dict) -> pa.RecordBatch:
+        types = [*[pa.int64()] * 4, pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*zip(*seen), *zip(*seen.values())], types)], columns)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, size = {}, 0
+        for batch in batches:
+            if held is not None:
+                batch = batch.filter(pa.array(_among(held.value, batch.column("h").to_numpy())))
+            for *key, doc, passage in zip(*(batch.column(c).to_pylist() for c in ("h", "s1", "s2", "doc_id")), batch.column("passage")):
+                found = seen.get(tuple(key))
+                if found is None:
+                    seen[tuple(key)] = [doc, text := passage.as_py()]
+                    size += len(text) + 200
+                else:
+                    found[0] = min(found[0], doc)
+            if size > HELD_BYTES:
+                yield made(seen)
+                seen, size = {}, 0
+        if seen:
+            yield made(seen)
+
+    chosen = passages.select("h", "s1", "s2", "doc_id", "passage")
+    return (chosen if few else chosen.join(anchors.select("h"), "h", "left_semi")).mapInArrow(once, "h long, s1 long, s2 long, least long, passage binary")
+
+
+def first_documents(passages: DataFrame, length: int, passage_cap: int, row_cap: int, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """(h, s1, s2, firsts) for each distinct passage of an anchor: the least id that has each of its windows."""
-    distinct = passages.groupBy("h", "s1", "s2", "passage").agg(F.min("doc_id").alias("least"))
-    sizes = cut(passages.select("h", "s1", "s2").distinct().groupBy("h").agg(F.count("*").alias("n")))
-    hot = sizes.where(F.col("n") > passage_cap).select("h")
-    total, any_hot = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], not hot.isEmpty()
-    cold = distinct.join(hot, "h", "left_anti") if any_hot else distinct
-    shards = max(1, -(-total // SHARD_PASSAGES))
+    distinct = cut(passages.groupBy("h", "s1", "s2").agg(F.min("doc_id").alias("least"), F.min("windows").alias("windows"), F.count("*").alias("met")))
+    sizes = cut(distinct.groupBy("h").agg(F.count("*").alias("n"), F.sum("met").alias("met")))
+    few = (F.col("n") <= passage_cap) & (F.col("met") <= row_cap)
+    some, hot = sizes.where((F.col("n") > 1) & few), sizes.where((F.col("n") > 1) & ~few)
+    n_some, total = some.agg(F.count("*"), F.coalesce(F.sum("met"), F.lit(0))).first()
+    n_hot = hot.count()
+    alone = distinct.join(sizes.where("n = 1").select("h"), "h", "left_semi").select("h", "s1", "s2", F.array_repeat("least", F.col("windows")).alias("firsts"))
     schema = "h long, s1 long, s2 long, firsts array<long>"
-    out = cold.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(lambda rows: matched_passages(rows, length), schema)
-    if not any_hot:
+    shards = max(1, -(-total // SHARD_ROWS))
+    texts = _texts(passages, some, n_some, broadcast_anchors).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    out = alone.union(texts.groupBy("shard").applyInPandas(lambda rows: matched_passages(rows, length), schema))
+    if not n_hot:
         return out
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, "passage", 256 << 10)):
             split = [x.split() for x in batch.column("passage").to_pylist()]
             texts = [b" ".join(w[i : i + length]) for w in split for i in range(len(w) - length + 1)]
             index = pa.array([n for n, w in enumerate(split) for _ in range(len(w) - length + 1)], pa.int64())
@@ -217,13 +267,13 @@ def first_documents(passages: DataFrame, length: int, passage_cap: int) -> DataF
             hashes = [pa.array(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in texts), np.uint64, len(texts)).view(np.int64)) for seed in (3, 4)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("h", "s1", "s2", "least")), at, *hashes], ["h", "s1", "s2", "least", "at", "w1", "w2"])
 
-    each = distinct.join(hot, "h", "left_semi").mapInArrow(windows, "h long, s1 long, s2 long, least long, at int, w1 long, w2 long")
+    each = _texts(passages, hot, n_hot, broadcast_anchors).mapInArrow(windows, "h long, s1 long, s2 long, least long, at int, w1 long, w2 long")
     least = each.groupBy("w1", "w2").agg(F.min("least").alias("first"))
-    told = each.drop("least").join(least, ["w1", "w2"]).groupBy("h", "s1", "s2").agg(F.sort_array(F.collect_list(F.struct("at", "first"))).alias("each"))
+    told = each.drop("least").join(least, ["w1", "w2"]).groupBy("h", "s1", "s2").agg(F.sort_array(F.collect_set(F.struct("at", "first"))).alias("each"))
     return out.union(told.select("h", "s1", "s2", F.transform("each", lambda x: x["first"])))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, passage_cap: int = 64, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, passage_cap: int = 1000, row_cap: int = 4000, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """(doc_id, n_words, n_removed, text) for each row, without the words of windows of ``length`` words
     that also start in a row of smaller id; the kept words are joined by one space.
 
@@ -236,13 +286,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     path = f"{checkpoint_dir(spark)}/passages-{uuid.uuid4().hex}"
     reference_passages(slim.where("doc_id IS NOT NULL"), length, broadcast_anchors).write.mode("overwrite").option("compression", "zstd").parquet(path)
     passages = spark.read.parquet(path)
-    told = first_documents(passages, length, passage_cap)
+    told = first_documents(passages, length, passage_cap, row_cap, broadcast_anchors)
     mine = passages.select("doc_id", "key", "start", "h", "s1", "s2").join(told, ["h", "s1", "s2"])
     earlier = F.filter(F.transform("firsts", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i)), lambda x: x.isNotNull())
     runs = mine.select("doc_id", "key", earlier.alias("starts")).where(F.size("starts") > 0).groupBy("doc_id", "key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             kept, totals, gone = [], [], []
             for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
                 words = (text or b"").split()

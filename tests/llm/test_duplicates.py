@@ -96,7 +96,7 @@ def passages(df, **kw):
     return Counter(map(tuple, substring.remove_repeats(df, **kw).select("doc_id", "n_words", "n_removed", F.sha2("text", 256)).collect()))
 
 
-@pytest.mark.parametrize("kw", [{}, {"broadcast_anchors": -1}, {"passage_cap": 1}])
+@pytest.mark.parametrize("kw", [{}, {"broadcast_anchors": -1}, {"passage_cap": 1}, {"row_cap": 3}])
 def test_passages(spark, kw):
     df, rows = table(spark, 3, 40)
     assert passages(df, **kw) == Counter(brute.passages([(d, t) for d, t, *_ in rows]))
