@@ -35,11 +35,12 @@ def rank_filtered_anchor(spark, sf):
     return ranking.competition_rank(kept, "n_orders").select("c_custkey", "n_orders", "rank").orderBy("n_orders", "c_custkey")
 
 
-@query("""SELECT n_name, round(m, 2) AS mean, CAST(row_number() OVER (ORDER BY m DESC, n_nationkey) AS BIGINT) AS place
-FROM (SELECT n_nationkey, n_name, avg(c_acctbal) AS m FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)""")
+@query("""SELECT n_name, floor(m + 0.5) / 100 AS mean, CAST(row_number() OVER (ORDER BY m DESC, n_nationkey) AS BIGINT) AS place
+FROM (SELECT n_nationkey, n_name, CAST(sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS DOUBLE) / count(*) AS m FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)""")
 def row_rank_by_mean(spark, sf):
-    means = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.avg("c_acctbal").alias("m")).join(table(spark, sf, "nation"), "n_nationkey")
-    return ranking.row_rank(means, "place", [F.desc("m"), F.asc("n_nationkey")], []).select("n_name", F.round("m", 2).alias("mean"), "place")
+    cents = F.sum(F.round(F.col("c_acctbal") * 100).cast("long"))  # whole, so that the order of summing doesn't matter
+    means = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((cents / F.count("*")).alias("m")).join(table(spark, sf, "nation"), "n_nationkey")
+    return ranking.row_rank(means, "place", [F.desc("m"), F.asc("n_nationkey")], []).select("n_name", (F.floor(F.col("m") + 0.5) / 100).alias("mean"), "place")
 
 
 @query("SELECT p_partkey, p_size, p_name FROM part ORDER BY p_size DESC, p_partkey LIMIT 10")
