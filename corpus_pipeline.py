@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sagaframe.llm import decontaminate, mixing, quality, sharding, simhash
+from sagaframe.llm import decontaminate, mixing, nearcopies, quality, sharding
 from sagaframe.llm.common import checkpoint_dir
 
 
@@ -16,8 +16,8 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: one document of each group of near duplicates, the one with the smallest id."""
-    return simhash.representatives(docs)
+    """One document of each group of near copies (five words, similarity 0.8 or more), the one with the smallest id."""
+    return nearcopies.representatives(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
