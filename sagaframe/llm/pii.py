@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and terms that give protected entities away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers. The words around each such
-entity are then weighed over the whole corpus: P(entity | term), from the documents that hold the
-term near the entity and those that hold the term at all, tells how strongly the term reveals it.
-Terms beyond the disclosure thresholds are spans of kind ``term`` wherever they stand near the entity.
+Patterns find e-mail addresses, IP addresses, card and phone numbers. The words of the documents that
+hold such an entity are then weighed over the whole corpus: P(entity | term), from the documents that
+hold both and those that hold the term at all, tells how strongly the term reveals it. Terms beyond the
+disclosure thresholds are spans of kind ``term`` wherever they stand, in documents without the entity too.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sagaframe.llm.common import cut, keyed
+from sagaframe.llm.common import cut, keyed, portions
 
 KINDS = ("email", "ip", "card", "phone")
 REACH, BROADCAST_TERMS, HELD_TERMS = 5, 200_000, 200_000
@@ -60,33 +60,38 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
-    """The terms within REACH of each entity, with their places; ``first``, ``first_entity``
-    and ``first_term`` mark what is met first in the text."""
+def _inside(spans: list[tuple[str, int, int]]):
+    """Whether a place meets one of the spans."""
+    covered, ends = sorted((s, e) for _, s, e in spans), []
+    for _, e in covered:
+        ends.append(max(e, ends[-1]) if ends else e)
+    return lambda a, b: (i := bisect_left(covered, (b,))) and ends[i - 1] > a
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[dict], list[str]]:
+    """The entities with the hash of the terms within REACH of each place, ``first`` marking what is met
+    first in the text, and all the text's distinct terms outside the entities."""
     if not spans:
-        return []
-    covered = sorted((s, e) for _, s, e in spans)
-    inside = lambda a, b: (i := bisect_left(covered, (b,))) and covered[i - 1][1] > a
+        return [], []
+    inside = _inside(spans)
     terms = [(m[0].lower(), *m.span()) for m in _TERM.finditer(text) if not inside(*m.span())]
     starts, met, out = [x[1] for x in terms], set(), []
     for kind, start, end in spans:
         value = text[start:end].lower()
         entity = f"{kind}:{value if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
         i = bisect_left(starts, start)
-        near = terms[max(0, i - REACH) : i + REACH]
-        context = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in near), 0) >> 1
-        for term, a, b in near:
-            out.append({"entity": entity, "context": context, "term": term, "start": a, "end": b, "first": (entity, term) not in met, "first_entity": entity not in met, "first_term": ("", term) not in met})
-            met |= {entity, (entity, term), ("", term)}
-    return out
+        context = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in terms[max(0, i - REACH) : i + REACH]), 0) >> 1
+        out.append({"entity": entity, "context": context, "first": entity not in met})
+        met.add(entity)
+    return out, sorted({t for t, _, _ in terms})
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_CONTEXT = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("first", pa.bool_()), ("first_entity", pa.bool_()), ("first_term", pa.bool_())])
+_ENTITY = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("first", pa.bool_())])
 
 
 def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, key, base, contexts) for each row."""
+    """(doc_id, key, base, entities, terms) for each row."""
     slim = keyed(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +100,10 @@ def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             spans = [base_spans(x) for x in texts]
             near = [contexts(x, s) for x, s in zip(texts, spans)]
             base = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_CONTEXT))], ["doc_id", "key", "base", "contexts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, pa.list_(_SPAN)), pa.array([x for x, _ in near], pa.list_(_ENTITY)), pa.array([x for _, x in near], pa.list_(pa.string()))], ["doc_id", "key", "base", "entities", "terms"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, key long, base array<struct<kind:string,start:int,end:int>>, contexts array<struct<entity:string,context:long,term:string,start:int,end:int,first:boolean,first_entity:boolean,first_term:boolean>>")
+    return slim.mapInArrow(run, f"doc_id {kind}, key long, base array<struct<kind:string,start:int,end:int>>, entities array<struct<entity:string,context:long,first:boolean>>, terms array<string>")
 
 
 def documents_with(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
@@ -128,21 +133,55 @@ def documents_with(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFram
     return (met if few else met.join(terms, "term", "left_semi")).groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(docs: DataFrame, text_col: str, near: DataFrame, min_contexts: int, min_share: float, min_bits: float) -> DataFrame | None:
+def places(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """(doc_id, key, start, end): each occurrence of ``terms`` in the whole texts that doesn't meet a base span.
+
+    The terms are broadcast if few, else joined with all the occurrences.
+    """
+    slim, few = keyed(docs, id_col, text_col), terms.count() <= BROADCAST_TERMS
+    held = docs.sparkSession.sparkContext.broadcast({r[0] for r in terms.toLocalIterator()}) if few else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in portions(whole):
+                at, found = [], []
+                for i, raw in enumerate(batch.column("text").to_pylist()):
+                    text = (raw or b"").decode("utf-8", "replace")
+                    hits = [(t, *m.span()) for m in _TERM.finditer(text) if (t := m[0].lower()) in held.value] if held else [(m[0].lower(), *m.span()) for m in _TERM.finditer(text)]
+                    inside = _inside(base_spans(text)) if hits else None
+                    mine = [x for x in hits if not inside(*x[1:])]
+                    at += [i] * len(mine)
+                    found += mine
+                if found:
+                    rows = batch.take(pa.array(at))
+                    term, start, end = zip(*found)
+                    yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("key"), pa.array(term, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc_id", "key", "term", "start", "end"])
+
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    met = slim.mapInArrow(run, f"doc_id {kind}, key long, term string, start int, end int")
+    return (met if few else met.join(terms, "term", "left_semi")).drop("term")
+
+
+def disclosing(docs: DataFrame, text_col: str, found: DataFrame, min_contexts: int, min_share: float, min_bits: float) -> DataFrame | None:
     """(entity, term, share, bits) of the terms that reveal an entity; None where none has the contexts for it.
 
     ``share`` is P(entity | term) over documents and ``bits`` its logarithm against P(entity). Copies of
-    a passage are no evidence: a term needs ``min_contexts`` different surroundings. The documents that
-    have a term near some entity are a lower bound of those that have it, so terms whose share is too
-    small already by that bound are left out before the documents are searched for the others.
+    a passage are no evidence: a term needs ``min_contexts`` different surroundings of the entity. An
+    entity that has fewer is left out first. The documents with any entity that have the term are a lower
+    bound of those that have it, so terms whose share is too small already by that bound are left out
+    before the documents are searched for the others.
     """
+    held = found.where(F.size("entities") > 0)
+    places_of = held.select(F.inline("entities"))
+    enough = places_of.groupBy("entity").agg(F.count_distinct("context").alias("kinds")).where(F.col("kinds") >= min_contexts).select("entity")
+    near = held.select("terms", F.inline("entities")).join(enough, "entity").select("entity", "context", "first", F.explode("terms").alias("term"))
     pairs = near.groupBy("entity", "term", "context").agg(F.sum(F.col("first").cast("long")).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("kinds"))
-    least = near.where("first_term").groupBy("term").agg(F.count("*").alias("least"))
+    least = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
     candidates = cut(pairs.where(F.col("kinds") >= min_contexts).join(least, "term").where(F.col("both") >= min_share * F.col("least")).drop("least"))
     if candidates.isEmpty():
         return None
     counted = documents_with(docs, text_col, candidates.select("term").distinct())
-    entities = near.where("first_entity").groupBy("entity").agg(F.count("*").alias("n_entity"))
+    entities = places_of.where("first").groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = docs.count()
     told = candidates.join(counted, "term").join(entities, "entity").withColumn("share", F.col("both") / F.col("n")).withColumn("bits", F.log2(F.col("share") * total / F.col("n_entity")))
     return told.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("entity", "term", "share", "bits")
@@ -156,12 +195,11 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other than id and text aren't read.
     """
     found = cut(find(docs, id_col, text_col))
-    near = found.select("doc_id", "key", F.inline("contexts"))
-    telling = disclosing(docs, text_col, near, min_contexts, min_share, min_bits)
+    telling = disclosing(docs, text_col, found, min_contexts, min_share, min_bits)
     if telling is None:
         return found.select("doc_id", "key", "base", F.col("base").alias("spans"))
     span = F.struct(F.lit("term").alias("kind"), "start", "end")
-    more = near.join(telling.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(span)).alias("more"))
+    more = places(docs, id_col, text_col, cut(telling.select("term").distinct())).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set(span)).alias("more"))
     a, b = found.alias("a"), more.alias("b")
     joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")), "left")
     both = F.when(F.col("b.more").isNull(), F.col("a.base")).otherwise(F.concat("a.base", "b.more"))
