@@ -1,137 +1,242 @@
-"""Near copies by the similarity of whole texts: sets of five-word shingles with a Jaccard index of 0.8 or more.
-
-The search is exact. Two sets that similar share a shingle among the first n - ceil(0.8 n) + 1 of each in
-any order common to all sets; the order is rarest first as far as a sample of the sets tells, so that
-few sets meet. Pairs that meet are verified on the whole sets. Members of a shingle's bucket are compared
-with the bucket's least first; only buckets with several components left are then compared by pairs
-across components, which loses no link between components.
+"""SimHash near-dedup of whole texts: five-word shingles, a Jaccard index of 0.8 or more.
+
+Two bits of 64, as operator 1's query has them, link hardly more than equal shingles; sets with an index of
+0.8 differ in 15 % of their bits. So fingerprints are wide here and multi-index hashing looks at segments of
+24 bits: each set's fingerprint enters the table under the value of every segment, and probes it with the
+values of a Hamming ball around it. A ball holds the ``PROBES`` likeliest ways to differ in the segment: bits
+whose votes are about even flip first, so few probes do what a ball over all bits would need thousands for.
+Pairs met in the table are verified by the distance of whole fingerprints and last on the whole sets.
+
+Texts that are equal are one node. Members of a bucket are compared with its lead, each with the nearest
+leads first; only buckets whose members are still in several components are then compared across
+components, which loses no link between components and never makes all pairs of a group of copies.
 """
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sagaframe.llm.common import cut, portions
+from sagaframe.llm.common import checkpoint_dir, cut, portions
 from sagaframe.llm.graph import connected_components
 
-SHINGLE, SAMPLED, RANKED, BROADCAST_NODES, SEED = 5, 4_000, 500_000, 1_000_000, 42
+SHINGLE, SEGMENTS, WIDTH, UNSURE, PROBES, BROADCAST_NODES = 5, 16, 24, 8, 16, 1_000_000
+#: Bits that may differ, of the 64 that probes carry and of all others. At an index of 0.8 they are 10 and 58 on average, 3.5 deviations less.
+PRINT_BITS, SEGMENT_BITS = 20, 82
+_GOLDEN, _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: The ways to flip some of a segment's UNSURE least certain bits.
+_WAYS = np.array([x for x in range(1 << UNSURE) if x.bit_count() <= 4], np.int64)
+_FLIPS = (_WAYS[:, None] >> np.arange(UNSURE) & 1).astype(np.float32)
 
 
-def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 of a UTF-8 text's shingles, sorted; a shorter text is one shingle, a blank one has none."""
-    found = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
-    joined = map(b" ".join, zip(*(found[i:] for i in range(size)))) if len(found) >= size else [b" ".join(found)] if found else []
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in joined), np.uint64).view(np.int64))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _A
+    x = (x ^ (x >> np.uint64(27))) * _B
+    return x ^ (x >> np.uint64(31))
 
 
-def _mapped(docs: DataFrame, size: int, schema: str, rows) -> DataFrame:
-    """``rows(id, node, shingles)`` of each document, as lists of columns; node names the set of shingles."""
+def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a UTF-8 text's shingles, sorted; a shorter text is one shingle, a blank one has none."""
+    found = (text or b"").lower().split()  # bytes: A-Z and ASCII white space only
+    words = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    size = min(size, len(words))
+    if not size:
+        return np.zeros(0, np.uint64)
+    x = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        x = _mixed(x * np.uint64(_GOLDEN) + words[i : len(words) - size + 1 + i])
+    return np.unique(x)
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How far over half of the shingles set each of the SEGMENTS * WIDTH + 64 bits of a fingerprint; none over for no shingles."""
+    out = np.zeros(SEGMENTS * WIDTH + 64, np.int32)
+    for at in range(0, len(hashes), 255):
+        part = hashes[at : at + 255]
+        bits = np.hstack([_mixed(part ^ np.uint64((k + 1) * _GOLDEN % 2**64))[:, None] for k in range(len(out) // 64)])
+        out += np.unpackbits(bits.view(np.uint8), axis=1).sum(0, dtype=np.uint8)
+    return 2 * out - len(hashes)
+
+
+def balls(made: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probes, exact) of fingerprints' segments, of shape (rows, SEGMENTS, PROBES); the exact probe is the segment's own value."""
+    margins = made[:, : SEGMENTS * WIDTH].reshape(-1, SEGMENTS, WIDTH)
+    places = 1 << np.arange(WIDTH)
+    unsure = np.argpartition(np.abs(margins), UNSURE, axis=2)[:, :, :UNSURE]
+    costs = np.square(np.take_along_axis(margins, unsure, 2).astype(np.float32)) @ _FLIPS.T
+    costs[:, :, 0] = -1  # no flip, whatever the votes
+    ways = np.argpartition(costs, PROBES, axis=2)[:, :, :PROBES]
+    flips = np.take_along_axis(places[unsure].astype(np.float32) @ _FLIPS.T, ways, 2).astype(np.int64)
+    return ((margins > 0) @ places)[:, :, None] ^ flips, ways == 0
+
+
+def node_of(text: Column) -> Column:
+    """Names a text by its hash; all texts without a word are one."""
+    return F.xxhash64(F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise(""))
+
+
+def _once(docs: DataFrame, schema: str, rows) -> DataFrame:
+    """``rows(nodes, votes, shingles)`` of the documents (node, text), as lists of columns; a task takes a node once."""
     names = [x.split()[0] for x in schema.split(", ")]
 
+    def made(new: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(rows(np.array(list(new), np.int64), np.stack([votes(x) for x in new.values()]), list(new.values())), names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in portions(whole):
-                made = [shingles(x, size) for x in batch.column("text").to_pylist()]
-                nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in made], np.uint64).view(np.int64)
-                if (columns := rows(batch.column("doc_id"), nodes, made)) is not None:
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-    return docs.mapInArrow(run, schema)
-
-
-def _prefixes(docs: DataFrame, size: int, total: int) -> DataFrame:
-    """(token, node, size, at): the first shingles of each document's set, rarest first. The sample decides only the order."""
-    step = max(1, total // SAMPLED)
-
-    def sampled(_, nodes, made):
-        mine = [x for x, node in zip(made, nodes) if node % step == 0]
-        return [pa.array(np.concatenate(mine))] if mine else None
-
-    often = _mapped(docs, size, "token long", sampled).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "token").limit(RANKED)
-    seen = sorted(map(tuple, often.toLocalIterator()))
-    ranks = docs.sparkSession.sparkContext.broadcast((np.array([x for x, _ in seen], np.int64), np.array([n for _, n in seen], np.int64)))
-
-    def first(_, nodes, made):
-        (tokens, counts), parts = ranks.value, []
-        for node, mine in zip(nodes, made):
-            n = len(mine)
-            if not n:
-                continue
-            count = np.zeros(n, np.int64)
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, mine), len(tokens) - 1)
-                count = np.where(tokens[at] == mine, counts[at], 0)
-            head = mine[np.lexsort((mine, count))][: n - (4 * n + 4) // 5 + 1]
-            k = len(head)
-            parts.append((head, np.full(k, node, np.int64), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
-        return [pa.array(np.concatenate(x)) for x in zip(*parts)] if parts else None
-
-    return _mapped(docs, size, "token long, node long, size int, at int", first)
-
-
-def _may(a: str, b: str) -> Column:
-    """Whether sets that meet at these places can be similar, by their sizes and what follows there."""
-    m, n, i, j = (F.col(x).cast("long") for x in (f"{a}.size", f"{b}.size", f"{a}.at", f"{b}.at"))
-    return (5 * m >= 4 * n) & (5 * n >= 4 * m) & (9 * (F.least(m - i, n - j) + F.least(i, j)) >= 4 * (m + n))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs (src, dst) whose whole sets have a Jaccard index of 0.8 or more; sets are made anew for those met only."""
-    nodes = cut(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
+        seen: set[int] = set()
+        for batch in (part for whole in batches for part in portions(whole, limit=1 << 20)):
+            new: dict[int, np.ndarray] = {}
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text")):
+                if node not in seen:
+                    seen.add(node)
+                    new[node] = shingles(text.as_py())
+                if len(new) == 256:
+                    yield made(new)
+                    new = {}
+            if len(seen) > BROADCAST_NODES:
+                seen.clear()
+            if new:
+                yield made(new)
+
+    return docs.select("node", F.col("text").cast("binary")).mapInArrow(run, schema)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits > 0, axis=1).view(np.int64)
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """(key, node, print, exact): the table's entries and the probes of each document; key names a segment and its value."""
+
+    def rows(nodes: np.ndarray, made: np.ndarray, _) -> list[pa.Array]:
+        probes, exact = balls(made)
+        keys, each = probes + (np.arange(SEGMENTS) << WIDTH)[None, :, None], SEGMENTS * PROBES
+        return [pa.array(keys.ravel()), pa.array(nodes.repeat(each)), pa.array(_packed(made[:, -64:]).ravel().repeat(each)), pa.array(exact.ravel())]
+
+    return _once(docs, "key long, node long, print long, exact boolean", rows)
+
+
+def _apart(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+
+
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, whole, shingles): whole fingerprints and sets of the given nodes, written as a table."""
+    spark, path = docs.sparkSession, f"{checkpoint_dir(docs.sparkSession)}/sets-{uuid.uuid4().hex}"
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    sets = _mapped(docs, size, "node long, shingles array<long>", lambda _, nodes, made: [pa.array(nodes), pa.array(made, pa.list_(pa.int64()))])
-    sets = sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    a, b = sets.select(F.col("node").alias("src"), F.col("shingles").alias("_a")), sets.select(F.col("node").alias("dst"), F.col("shingles").alias("_b"))
-    same, both = F.size(F.array_intersect("_a", "_b")), F.size("_a") + F.size("_b")
-    return cut(pairs.join(a, "src").join(b, "dst").where(9 * same >= 4 * both).select("src", "dst"))
-
-
-def links(docs: DataFrame, size: int, total: int) -> DataFrame:
-    """Edges (src, dst) among the sets of documents (doc_id, text) with the components of all pairs that are similar."""
-    every = _prefixes(docs, size, total).repartition("token")
-    many = every.groupBy("token").agg(F.min(F.struct("node", "size", "at")).alias("lead"), F.max("node").alias("high")).where("lead.node <> high").select("token", "lead")
-    met = cut(every.join(many, "token").dropDuplicates(["token", "node"]))
-    x = met.select("token", F.struct("node", "size", "at").alias("x"), "lead")
-    stars = x.where((F.col("x.node") != F.col("lead.node")) & _may("x", "lead")).select(F.col("lead.node").alias("src"), F.col("x.node").alias("dst")).distinct()
-    stars = cut(stars)
-    near = _verified(stars, docs, size)
-    roots = connected_components(near)
-    member = F.struct("node", "size", "at", F.coalesce("root", "node").alias("root"))
-    rooted = met.join(roots, "node", "left").select("token", member.alias("x"))
-    mixed = rooted.groupBy("token").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.mode("x.root").alias("most")).where("low <> high").select("token", "most")
-    inside = cut(rooted.join(mixed, "token"))
-    few = inside.where("x.root <> most")
-    rest = inside.select("token", F.col("x").alias("y"))
+    rows = lambda found, made, sets: [pa.array(found), pa.array(list(_packed(made[:, :-64])), pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+    made = _once(docs.join(wanted, "node", "left_semi"), "node long, whole array<long>, shingles array<long>", rows)
+    made.groupBy("node").agg(F.first("whole").alias("whole"), F.first("shingles").alias("shingles")).write.option("compression", "none").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _sided(sets: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(sets.select(F.col("node").alias(end), F.col(column).alias(f"_{end}")) for end in ("src", "dst"))
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose whole fingerprints are near enough, with their distance ``apart``."""
+    a, b = _sided(sets, "whole")
+    words = [F.bit_count(F.get("_src", F.lit(i)).bitwiseXOR(F.get("_dst", F.lit(i)))) for i in range(SEGMENTS * WIDTH // 64)]
+    both = pairs.select("src", "dst").join(a, "src").join(b, "dst").withColumn("apart", functools.reduce(Column.__add__, words))
+    return both.where(F.col("apart") <= SEGMENT_BITS).select("src", "dst", "apart")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets have a Jaccard index of 0.8 or more; two empty sets are equal."""
+    a, b = _sided(sets, "shingles")
+    same, both = F.size(F.array_intersect("_src", "_dst")), F.size("_src") + F.size("_dst")
+    return cut(pairs.select("src", "dst").join(a, "src").join(b, "dst").where(9 * same >= 4 * both).select("src", "dst"))
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends aren't in one component."""
+    for end in ("src", "dst"):
+        pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}")), end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    return pairs.where("_src <> _dst").drop("_src", "_dst")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Edges (src, dst) among the nodes of documents (node, text) with the components of all similar pairs that the table holds."""
+    every = entries(docs).repartition("key")
+    own = F.when(F.col("exact"), F.col("node"))
+    met = every.groupBy("key").agg(F.min(F.when(F.col("exact"), F.struct("node", "print"))).alias("lead"), F.max(own).alias("last"), F.min("node").alias("low"), F.max("node").alias("high"))
+    met = met.where("lead IS NOT NULL AND low <> high").select("key", F.col("lead.node").alias("lead"), F.col("lead.print").alias("lead_print"), (F.col("last") != F.col("lead.node")).alias("many"))
+    met = every.join(met, "key").where((F.col("node") == F.col("lead")) | F.col("many") | (_apart("print", "lead_print") <= PRINT_BITS))
+    met = cut(met.groupBy("key", "node").agg(F.first("print").alias("print"), F.max("exact").alias("exact"), *(F.first(x).alias(x) for x in ("lead", "lead_print", "many"))))
+    near_lead = (F.col("node") != F.col("lead")) & (_apart("print", "lead_print") <= PRINT_BITS)
+    stars = cut(met.where(near_lead).select(F.col("lead").alias("src"), F.col("node").alias("dst")).distinct())
+    sets = _sets(docs, stars.select(F.col("src").alias("node")).union(stars.select("dst")).distinct())
+    left = cut(_likely(stars, sets))
+    near, roots = None, None
+    for nearest in (1, 4):
+        place = F.row_number().over(Window.partitionBy("dst").orderBy("apart", "src"))
+        ranked = cut(left.withColumn("place", place))
+        found = _verified(ranked.where(F.col("place") <= nearest), sets)
+        near = found if near is None else near.union(found)
+        roots = connected_components(near)
+        left = cut(_across(ranked.where(F.col("place") > nearest).drop("place"), roots))
+    member = F.struct("node", "print", "exact", F.coalesce("root", "node").alias("root"))
+    rooted = met.where("many").join(roots, "node", "left").select("key", member.alias("x"))
+    mixed = rooted.groupBy("key").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.mode("x.root").alias("most")).where("low <> high").select("key", "most")
+    inside = cut(rooted.join(mixed, "key"))
     across = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("most")) | (F.col("x.node") < F.col("y.node")))
-    pairs = few.join(rest, "token").where(across & _may("x", "y")).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).distinct()
-    pairs = pairs.join(stars.select(F.col("dst").alias("src"), F.col("src").alias("dst")).union(stars), ["src", "dst"], "left_anti")
-    return near.union(_verified(cut(pairs), docs, size))
+    possible = (F.col("x.exact") | F.col("y.exact")) & (_apart("x.print", "y.print") <= PRINT_BITS)
+    pairs = inside.where("x.root <> most").join(inside.select("key", F.col("x").alias("y")), "key").where(across & possible)
+    pairs = pairs.select(F.least("x.node", "y.node").alias("src"), F.greatest("x.node", "y.node").alias("dst")).distinct()
+    tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    pairs = cut(pairs.join(tried, ["src", "dst"], "left_anti"))
+    more = _sets(docs, pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
+    return near.union(_verified(left, sets)).union(_verified(_likely(pairs, more), more))
+
 
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("node", node_of(F.col("text")))
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, least, root) of the nodes of documents (doc_id, text, node), and (root, component_id)."""
+    nodes = docs.groupBy("node").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(links(docs.select("node", "text"))).withColumnRenamed("root", "_root")
+    rooted = cut(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("_root", "node").alias("root")))
+    return rooted, rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for each row of ``docs``.
 
-    component_id is the smallest id reachable over links of a Jaccard index of 0.8 or more. Null, empty
-    and blank texts link with one another. Ids are treated as by ``simhash.near_duplicates``.
+    component_id is the smallest id reachable over links of a Jaccard index of 0.8 or more; it is null
+    where no text of a component has an id. Null, empty and blank texts link with one another. Rows that
+    repeat an id are rows of their own. An empty table gives no rows. Other columns aren't read.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
-    each = cut(_mapped(slim, size, f"doc_id {kind}, node long", lambda ids, nodes, _: [ids, pa.array(nodes)]))
-    sets = cut(each.groupBy("node").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(slim, size, sets.count())).withColumnRenamed("root", "_root")
-    rooted = sets.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("_root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select("node", "root").join(named, "root").select("node", "component_id")
-    return each.join(classes, "node").select("doc_id", "component_id")
+    named = _named(docs, id_col, text_col)
+    rooted, least = _rooted(named)
+    return named.select("doc_id", "node").join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the one document of each component that has its smallest id; rows of one id stay or go together, null ids stay."""
-    gone = near_copies(docs, id_col, text_col).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One row of each component of ``docs``, with the same columns: a row with the smallest id, or with none where no row has one.
+
+    Of rows that repeat that id or have none in a component one stays, whatever else they hold. Whole texts
+    move only where nodes that lose rows are too many to broadcast.
+    """
+    named = _named(docs, id_col, text_col)
+    rooted, _ = _rooted(named)
+    best = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("best")
+    kept = rooted.groupBy("root").agg(best).select("root", F.col("best.node").alias("kept"), F.col("best.least").alias("id"))
+    counts = named.groupBy("node").agg(F.count("*").alias("n"))
+    # Nodes of which rows go: all of them, or all but one that has the id.
+    told = rooted.join(kept, "root").join(counts, "node").withColumn("stays", F.col("node") == F.col("kept"))
+    told = cut(told.where(~F.col("stays") | (F.col("n") > 1)).select("node", "stays", "id"))
+    few = F.broadcast if told.count() <= BROADCAST_NODES else lambda x: x
+    tagged = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), node_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("node"))
+    whole = tagged.join(few(told.select("node")), "node", "left_anti")
+    one = tagged.join(few(told.where("stays")), "node").where(F.col("_id").eqNullSafe(F.col("id"))).dropDuplicates(["node"])
+    return whole.select("_row").union(one.select("_row")).select("_row.*")
