@@ -142,11 +142,11 @@ def _sided(sets: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose whole fingerprints are near enough, with their distance ``apart``."""
+    """The pairs whose whole fingerprints are near enough."""
     a, b = _sided(sets, "whole")
     words = [F.bit_count(F.get("_src", F.lit(i)).bitwiseXOR(F.get("_dst", F.lit(i)))) for i in range(SEGMENTS * WIDTH // 64)]
-    both = pairs.select("src", "dst").join(a, "src").join(b, "dst").withColumn("apart", functools.reduce(Column.__add__, words))
-    return both.where(F.col("apart") <= SEGMENT_BITS).select("src", "dst", "apart")
+    both = pairs.select("src", "dst").join(a, "src").join(b, "dst")
+    return both.where(functools.reduce(Column.__add__, words) <= SEGMENT_BITS).select("src", "dst")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -172,13 +172,11 @@ def links(docs: DataFrame) -> DataFrame:
     met = every.join(met, "key").where((F.col("node") == F.col("lead")) | F.col("many") | (_apart("print", "lead_print") <= PRINT_BITS))
     met = cut(met.groupBy("key", "node").agg(F.first("print").alias("print"), F.max("exact").alias("exact"), *(F.first(x).alias(x) for x in ("lead", "lead_print", "many"))))
     near_lead = (F.col("node") != F.col("lead")) & (_apart("print", "lead_print") <= PRINT_BITS)
-    stars = cut(met.where(near_lead).select(F.col("lead").alias("src"), F.col("node").alias("dst")).distinct())
+    stars = cut(met.where(near_lead).groupBy(F.col("lead").alias("src"), F.col("node").alias("dst")).agg(F.min(_apart("print", "lead_print")).alias("apart")))
     sets = _sets(docs, stars.select(F.col("src").alias("node")).union(stars.select("dst")).distinct())
-    left = cut(_likely(stars, sets))
-    near, roots = None, None
+    left, near, roots = stars, None, None
     for nearest in (1, 4):
-        place = F.row_number().over(Window.partitionBy("dst").orderBy("apart", "src"))
-        ranked = cut(left.withColumn("place", place))
+        ranked = cut(left.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("apart", "src"))))
         found = _verified(ranked.where(F.col("place") <= nearest), sets)
         near = found if near is None else near.union(found)
         roots = connected_components(near)
@@ -194,7 +192,7 @@ def links(docs: DataFrame) -> DataFrame:
     tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     pairs = cut(pairs.join(tried, ["src", "dst"], "left_anti"))
     more = _sets(docs, pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
-    return near.union(_verified(left, sets)).union(_verified(_likely(pairs, more), more))
+    return near.union(_verified(_likely(left, sets), sets)).union(_verified(_likely(pairs, more), more))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
