@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sagaframe.llm.common import portions
+
 BLOCK_BYTES, MIN_PIECE = 16 << 20, 8
 
 
@@ -129,7 +131,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             texts, item_ids = held.value
             matcher = _matcher(texts, error_rate)
-            for batch in batches:
+            for batch in (part for whole in batches for part in portions(whole)):
                 hits = [(n, *hit) for n, text in enumerate(batch.column(1)) if text.is_valid for hit in matcher.find(normal(text.as_py()))]
                 rows = [(n, item, d, matcher.budgets[i]) for n, i, d, _ in hits for item in item_ids[i]]
                 columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows]) if rows else pa.array([], pa.int64()), *(pa.array([r[j] for r in rows], pa.int32()) for j in (2, 3))]
@@ -141,7 +143,20 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that hold no item. The id names a document: rows that repeat it stay or go
-    together; rows without an id stay."""
-    leaks = contaminated(docs, items, id_col, text_col, item_id_col, item_text_col, error_rate)
-    return docs.join(leaks.select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs``, with the same columns, whose text holds no item within its budget.
+
+    Each row is judged by its own text, with or without an id, in the task that reads it: nothing is
+    shuffled. A row goes with the first block of items that it holds one of.
+    """
+    out = docs
+    for block in _blocks(items, item_id_col, item_text_col):
+        held = docs.sparkSession.sparkContext.broadcast(tuple(x for x, _ in block))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(held.value, error_rate)
+            for batch in (part for whole in batches for part in portions(whole, text_col)):
+                clean = [not text.is_valid or not matcher.find(normal(text.as_py())) for text in batch.column(text_col)]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -19,11 +19,11 @@ HASH_BITS, BUCKET_BITS, BROADCAST_SOURCES = 60, 12, 10_000
 _SHIFT = HASH_BITS - BUCKET_BITS
 
 
-def _described(docs: DataFrame, id_col: str, text_col: str | None, source_col: str, seed: str) -> list[Column]:
+def _described(id_col: str, text_col: str, source_col: str, seed: str, sized: bool = True) -> list[Column]:
     source = F.col(source_col).cast("string")
-    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, HASH_BITS // 4), 16, 10).cast("long")
+    hashed = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))), 1, HASH_BITS // 4), 16, 10).cast("long")
     made = [F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("_source"), hashed.alias("_hash")]
-    return made + ([F.size(words(F.col(text_col))).cast("long").alias("_size")] if text_col else [])
+    return made + ([F.size(words(F.col(text_col))).cast("long").alias("_size")] if sized else [])
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -74,18 +74,18 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """(doc_id, size, source_size, target, taken) for each row of ``docs``.
 
     Null and blank texts have size 0; a null source is a source of its own, after all others; where no
-    text has a word all targets are 0. Rows that repeat an id, or have none, have one hash and are taken
-    together. An empty table gives no rows. Columns other than id, text and source aren't read.
+    text has a word all targets are 0. Rows are taken by the hash of id and text: rows that repeat an id, or
+    have none, are taken apart unless they have the same text too, and then together. An empty table gives no rows. Columns other than id, text and source aren't read.
     """
-    sized = cut(docs.select(F.col(id_col).alias("doc_id"), *_described(docs, id_col, text_col, source_col, seed)))
+    sized = cut(docs.select(F.col(id_col).alias("doc_id"), *_described(id_col, text_col, source_col, seed)))
     made = _with_plan(sized, plan(sized, weights, max_epochs))
     return made.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * _times()).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """The rows of ``docs`` as often as the mixture takes them, with the same columns."""
-    sized = cut(docs.select(*_described(docs, id_col, text_col, source_col, seed)))
-    tagged = docs.select(F.struct("*").alias("_row"), *_described(docs, id_col, None, source_col, seed))
+    sized = cut(docs.select(*_described(id_col, text_col, source_col, seed)))
+    tagged = docs.select(F.struct("*").alias("_row"), *_described(id_col, text_col, source_col, seed, sized=False))
     made = _with_plan(tagged, plan(sized, weights, max_epochs)).select("_row", _times().alias("_times")).where("_times > 0")
     return made.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select("_row.*")
 
@@ -93,7 +93,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS h
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sources),

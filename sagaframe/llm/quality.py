@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sagaframe.llm.common import cut
+from sagaframe.llm.common import cut, portions
 
 FEATURES, SEED, BINS = 128, 7, 1000
+#: Documents that a model is fitted on at most; they are few enough to broadcast their ids.
+FIT_ROWS = 50_000
 STATISTICS = ("log_words", "mean_chars", "deviation_chars", "distinct_words", "distinct_triples", "top_word", "upper", "digits", "symbols", "exclamations", "points", "not_ascii", "repeated_lines", "log_line_words")
 
 
@@ -47,10 +49,10 @@ def statistics(text: bytes | None) -> list[float]:
 
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of each row."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole)):
             made = [statistics(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], ["doc_id", "x"])
 
@@ -99,7 +101,7 @@ def _rows(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, ridge: float = 1e-3) -> Model:
-    """A model from (x, y), y 0 or 1. All rows are used."""
+    """A model from (x, y), y 0 or 1."""
     k = len(STATISTICS)
     each = [F.get("x", F.lit(i)) for i in range(k)]
     row = labelled.agg(F.count("*"), *(F.avg(x) for x in each), *(F.stddev_pop(x) for x in each)).first()
@@ -138,17 +140,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def fitted_on(ids: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+    """(doc_id): the ids that the model is fitted on: not held out, with a quality label, the first ``rows`` of them in hash order."""
+    known = ids.where(~held_out(F.col("doc_id"))).join(labels.where(F.col("quality").isin(0, 1)).select("doc_id"), "doc_id", "left_semi").distinct()
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+
+
 def trained(table: DataFrame, labels: DataFrame) -> Model:
-    """The model fitted on the rows of ``described`` that aren't held out and have a quality label."""
+    """The model fitted on the rows of ``described`` with the ids of ``fitted_on``."""
+    known = cut(fitted_on(table.select("doc_id"), labels))
     marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("double").alias("y"))
-    return fit(cut(table.where(~held_out(F.col("doc_id"))).join(marks, "doc_id").select("x", "y")))
+    return fit(cut(table.join(F.broadcast(known), "doc_id").join(marks, "doc_id").select("x", "y")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row.
 
     Null, empty and blank texts have statistics of zero and are scored like others. Labels that are null
-    or neither 0 nor 1 don't count; a document with several labels, or rows that repeat an id, count once
+    or neither 0 nor 1 don't count; at most FIT_ROWS documents are fitted on; a document with several labels, or rows that repeat an id, count once
     for each. Without usable labels every score is 1. An empty table gives no rows. Columns of ``docs``
     other than id and text aren't read.
     """
@@ -165,12 +174,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs``, with the same columns, whose score reaches the threshold; no shuffle of texts."""
-    model = trained(cut(described(docs, id_col, text_col)), labels)
+    """The rows of ``docs``, with the same columns, whose score reaches the threshold; no shuffle of texts.
+
+    Rows are scored as by ``classify``, and only those that the model is fitted on are described twice.
+    """
+    known = fitted_on(docs.select(F.col(id_col).alias("doc_id")), labels)
+    chosen = docs.join(F.broadcast(known.select(F.col("doc_id").alias(id_col))), id_col, "left_semi")
+    model = trained(cut(described(chosen, id_col, text_col)), labels)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, text_col)):
             made = [statistics(x.as_py()) for x in batch.column(place).cast(pa.binary())]
             x = np.array(made, float).reshape(len(batch), len(STATISTICS))
             yield batch.filter(pa.array(model.score(x) >= threshold))

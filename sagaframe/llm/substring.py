@@ -3,10 +3,10 @@
 A passage of ``length`` words or more that two documents share has one anchor in both, whatever
 stands around it: of the k-grams of any window of ``length`` words the one with the least hash
 (winnowing). Anchors met in two documents or more are kept; around each, a document's reference
-passage holds all its windows that have this anchor. The distinct passages of an anchor go into a
-suffix automaton whose states know the least document id of their occurrences; streamed through it,
-each passage learns for all its windows in which document they are met first. Words of windows that
-a smaller id has are removed.
+passage holds all its windows that have this anchor. The distinct passages of an anchor are streamed
+through a suffix automaton in order of their documents: by matching statistics each learns for all its
+windows in which document they are met first, and what it has first is added. Words of windows that a
+smaller id has are removed.
 
 Automata over all documents would grow with the corpus and could not be broadcast, so they are built
 shard by shard in the tasks that the passages of their anchors are sent to. What is broadcast is sets
@@ -21,6 +21,7 @@ a shard are bounded, whatever is copied how often. Tasks keep one copy of each p
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -30,10 +31,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sagaframe.llm.common import checkpoint_dir, cut, keyed, portions
 
-GRAM, BROADCAST_ANCHORS, SHARD_ROWS, HELD_BYTES = 12, 8_000_000, 8000, 32 << 20
+GRAM, BROADCAST_ANCHORS, SHARD_ROWS, HELD_BYTES, SALTS = 12, 8_000_000, 8000, 32 << 20, 8
+CHUNK, _PLACES = 1 << 16, (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -44,55 +47,70 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def anchors(words: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the k-grams that are the least of some window of ``length`` words."""
-    gram = min(GRAM, length)
-    if len(words) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashed = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * _powers(_BASE, len(words)), dtype=np.uint64)])
-    x = (sums[gram:] - sums[:-gram]) * _powers(_INVERSE, len(words) - gram + 1)
+def anchors(texts: list[bytes | None], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash) of the k-grams that are the least of some window of ``length`` words of a text."""
+    gram, split = min(GRAM, length), [(x or b"").split() for x in texts]
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    n = int(counts.sum())
+    if n < length:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashed = np.fromiter(map(xxhash.xxh64_intdigest, itertools.chain.from_iterable(split)), np.uint64, n)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashed * _powers(_BASE, n), dtype=np.uint64)])
+    x = (sums[gram:] - sums[:-gram]) * _powers(_INVERSE, n - gram + 1)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
+    text, first = np.repeat(np.arange(len(counts)), counts), np.cumsum(counts) - counts
     width, places = length - gram + 1, []
-    for at in range(0, len(x) - width + 1, 1 << 16):
-        part = np.lib.stride_tricks.sliding_window_view(x[at : at + (1 << 16) + width - 1], width)
-        places.append(np.unique(np.arange(len(part)) + part.argmin(1)) + at)
+    for at in range(0, len(x) - width + 1, CHUNK):
+        # The high bits of a hash with its place tell the leftmost least; minima over 1, 2, 4, ... places make those over ``width``.
+        part = x[at : at + CHUNK + width - 1]
+        least = part & ~np.uint64(_PLACES) | np.arange(len(part), dtype=np.uint64)
+        reach = 1
+        while 2 * reach <= width:
+            least, reach = np.minimum(least[:-reach], least[reach:]), 2 * reach
+        if reach < width:
+            least = np.minimum(least[: reach - width], least[width - reach :])
+        own = slice(at, at + len(least))
+        inside = np.arange(at, at + len(least)) + length <= (first + counts)[text[own]]  # the window ends in its text
+        places.append(np.unique((least[inside] & np.uint64(_PLACES)).astype(np.int64)) + at)
     found = np.unique(np.concatenate(places))
-    return found, x[found].view(np.int64)
+    return text[found], found - first[text[found]], x[found].view(np.int64)
 
 
 class SuffixAutomaton:
-    """A generalised suffix automaton over word sequences; ``first`` of a state is the least id of its occurrences."""
+    """A generalised suffix automaton over sequences of words, named by numbers, added in rising order of their documents.
+
+    ``first`` of a state is the least document of its occurrences: the one that was added when it came to be, which a clone inherits.
+    """
 
     def __init__(self) -> None:
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.size, self.first = [-1], [0], [np.iinfo(np.int64).max]
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.size, self.first = [-1], [0], [0]
 
-    def _state(self, size: int, following: dict, link: int) -> int:
+    def _state(self, size: int, following: dict, link: int, first: int) -> int:
         self.next.append(following)
         self.size.append(size)
         self.link.append(link)
-        self.first.append(np.iinfo(np.int64).max)
+        self.first.append(first)
         return len(self.size) - 1
 
-    def _clone(self, p: int, q: int, word: bytes) -> int:
-        copy = self._state(self.size[p] + 1, dict(self.next[q]), self.link[q])
+    def _clone(self, p: int, q: int, word: int) -> int:
+        copy = self._state(self.size[p] + 1, dict(self.next[q]), self.link[q], self.first[q])
         self.link[q] = copy
         while p >= 0 and self.next[p].get(word) == q:
             self.next[p][word] = copy
             p = self.link[p]
         return copy
 
-    def add(self, words: list[bytes], doc: int) -> None:
+    def add(self, words: list[int], doc: int) -> None:
         last = 0
         for word in words:
             q = self.next[last].get(word)
             if q is not None:
                 last = q if self.size[q] == self.size[last] + 1 else self._clone(last, q, word)
             else:
-                now, p = self._state(self.size[last] + 1, {}, 0), last
+                now, p = self._state(self.size[last] + 1, {}, 0, doc), last
                 while p >= 0 and word not in self.next[p]:
                     self.next[p][word] = now
                     p = self.link[p]
@@ -100,16 +118,9 @@ class SuffixAutomaton:
                     q = self.next[p][word]
                     self.link[now] = q if self.size[q] == self.size[p] + 1 else self._clone(p, q, word)
                 last = now
-            self.first[last] = min(self.first[last], doc)
-
-    def settle(self) -> None:
-        """Hand each state's least id on to the shorter suffixes."""
-        for v in sorted(range(1, len(self.size)), key=self.size.__getitem__, reverse=True):
-            if (up := self.link[v]) > 0 and self.first[v] < self.first[up]:
-                self.first[up] = self.first[v]
 
-    def firsts(self, words: list[bytes], length: int) -> list[int | None]:
-        """For each window of ``length`` words the least id of a sequence that has it, by matching statistics."""
+    def firsts(self, words: list[int], length: int) -> list[int | None]:
+        """For each window of ``length`` words the least document that has it, by matching statistics."""
         out, v, matched = [], 0, 0
         for at, word in enumerate(words, 1):
             while v and word not in self.next[v]:
@@ -124,21 +135,27 @@ class SuffixAutomaton:
                 out.append(self.first[u] if matched >= length else None)
         return out
 
+    def meet(self, words: list[int], length: int, doc: int) -> list[int]:
+        """``firsts`` of a document no less than those before; what it has first is added."""
+        out, at = self.firsts(words, length), 0
+        while at < len(out):
+            start = at
+            while at < len(out) and out[at] is None:
+                out[at], at = doc, at + 1
+            if at > start:
+                self.add(words[start : at - 1 + length], doc)
+            at += 1
+        return out
+
 
 def matched_passages(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """One shard: (h, s1, s2, passage, least) to (h, s1, s2, firsts), an automaton for each anchor. Rows may repeat a passage with another ``least``."""
-    rows, out = rows.sort_values(["h", "s1", "s2", "least"], kind="stable").drop_duplicates(["h", "s1", "s2"]), []
-    h, least, texts = rows["h"].to_numpy(), rows["least"].to_numpy(), [bytes(x).split() for x in rows["passage"]]
-    ends = [*np.flatnonzero(np.diff(h)) + 1, len(h)]
-    for a, b in zip([0, *ends], ends):
-        if b - a == 1:  # the automaton of one passage would say the same
-            out.append([int(least[a])] * max(0, len(texts[a]) - length + 1))
-            continue
-        automaton = SuffixAutomaton()
-        for i in range(a, b):
-            automaton.add(texts[i], int(least[i]))
-        automaton.settle()
-        out += [automaton.firsts(texts[i], length) for i in range(a, b)]
+    rows, out, held = rows.sort_values("least", kind="stable").drop_duplicates(["h", "s1", "s2"]), [], None
+    rows, named = rows.sort_values("h", kind="stable"), {}
+    for h, least, text in zip(rows["h"].to_numpy(), rows["least"].to_numpy(), rows["passage"]):
+        if h != held:
+            held, automaton = h, SuffixAutomaton()
+        out.append(automaton.meet([named.setdefault(w, len(named)) for w in bytes(text).split()], length, int(least)))
     return rows[["h", "s1", "s2"]].assign(firsts=out)
 
 
@@ -177,9 +194,8 @@ def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BR
 
     def listed(batches: Iterator[pa.RecordBatch], ids: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole)):
-            found = [anchors((x or b"").split(), length) for x in batch.column("text").to_pylist()]
-            index = pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found]))
-            columns = {"doc_id": batch.column("doc_id").take(index), "key": batch.column("key").take(index), "at": pa.array(np.concatenate([p for p, _ in found] or [np.zeros(0, np.int64)])), "h": pa.array(np.concatenate([x for _, x in found] or [np.zeros(0, np.int64)]))}
+            text, at, h = anchors(batch.column("text").to_pylist(), length)
+            columns = {"doc_id": batch.column("doc_id").take(pa.array(text)), "key": batch.column("key").take(pa.array(text)), "at": pa.array(at), "h": pa.array(h)}
             yield pa.RecordBatch.from_arrays([columns[c] for c in ids], list(ids))
 
     ends = slim.mapInArrow(lambda b: listed(b, ("doc_id", "h")), "doc_id long, h long").groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
@@ -190,11 +206,11 @@ def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BR
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = held.value
             for batch in (part for whole in batches for part in portions(whole)):
-                places = []
-                for text in batch.column("text").to_pylist():
-                    at, h = anchors((text or b"").split(), length)
-                    hit = _among(known, h)
-                    places.append(list(zip(at[hit].tolist(), h[hit].tolist())))
+                places: list[list] = [[] for _ in range(len(batch))]
+                text, at, h = anchors(batch.column("text").to_pylist(), length)
+                hit = _among(known, h)
+                for i, *place in zip(*(x[hit].tolist() for x in (text, at, h))):
+                    places[i].append(place)
                 if (made := _passages(batch, places, length)) is not None:
                     yield made
 
@@ -268,8 +284,9 @@ def first_documents(passages: DataFrame, length: int, passage_cap: int, row_cap:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(index) for c in ("h", "s1", "s2", "least")), at, *hashes], ["h", "s1", "s2", "least", "at", "w1", "w2"])
 
     each = _texts(passages, hot, n_hot, broadcast_anchors).mapInArrow(windows, "h long, s1 long, s2 long, least long, at int, w1 long, w2 long")
-    least = each.groupBy("w1", "w2").agg(F.min("least").alias("first"))
-    told = each.drop("least").join(least, ["w1", "w2"]).groupBy("h", "s1", "s2").agg(F.sort_array(F.collect_set(F.struct("at", "first"))).alias("each"))
+    # A very common window is spread over SALTS keys.
+    least = each.groupBy("w1", "w2").agg(F.min("least").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = each.drop("least").withColumn("salt", F.pmod("s1", F.lit(SALTS)).cast("int")).join(least, ["w1", "w2", "salt"]).groupBy("h", "s1", "s2").agg(F.sort_array(F.collect_set(F.struct("at", "first"))).alias("each"))
     return out.union(told.select("h", "s1", "s2", F.transform("each", lambda x: x["first"])))
 
 
@@ -277,12 +294,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, text) for each row, without the words of windows of ``length`` words
     that also start in a row of smaller id; the kept words are joined by one space.
 
-    Ids are whole numbers. Null, empty and blank texts have no words. Rows that repeat an id are rows of
+    Ids are whole numbers; others raise a TypeError, as they need an order that the automata can hold. Null, empty and blank texts have no words. Rows that repeat an id are rows of
     their own and don't repeat each other; rows without an id are kept whole and are no reference. An
     empty table gives no rows. Columns other than id and text aren't read.
     """
     spark = docs.sparkSession
-    slim = keyed(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    slim = keyed(docs, id_col, text_col)
+    kind = slim.schema["doc_id"].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{id_col} is {kind.simpleString()}; whole numbers are needed")
+    slim = slim.withColumn("doc_id", F.col("doc_id").cast("long"))
     path = f"{checkpoint_dir(spark)}/passages-{uuid.uuid4().hex}"
     reference_passages(slim.where("doc_id IS NOT NULL"), length, broadcast_anchors).write.mode("overwrite").option("compression", "zstd").parquet(path)
     passages = spark.read.parquet(path)
@@ -307,4 +328,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "text"])
 
     joined = slim.join(runs, ["doc_id", "key"], "left").select("doc_id", "text", "starts")
-    return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, text string")
+    return joined.mapInArrow(strip, "doc_id long, n_words long, n_removed long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))

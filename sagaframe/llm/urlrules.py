@@ -78,15 +78,18 @@ def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=BASE_RULES, min_support: float = 0.005, min_count: int = 20, min_confidence: float = 0.8) -> DataFrame:
     """(page_id, host, path, rule, verdict, mined) for each row of ``pages``.
 
-    ``labels`` (doc_id, quality, toxic) mark pages of the same id; a page is bad if any of its labels has
-    quality 0 or toxic 1. The fixed rule decides where one fits, else a mined rule blocks, else the url is
-    allowed. Null urls and urls without :// have an empty host and path and are allowed; repeated urls
-    and ids are judged alike; without labels nothing is mined. Other columns aren't read.
+    Rules are mined from the pages whose verdict is known: by the fixed rules where one fits, else by
+    ``labels`` (doc_id, quality, toxic), which mark pages of the same id; such a page is bad if any of its
+    labels has quality 0 or toxic 1. The fixed rule decides where one fits, else a mined rule blocks, else
+    the url is allowed. Null urls and urls without :// have an empty host and path and are allowed; repeated urls
+    and ids are judged alike; where no verdict is known nothing is mined. Other columns aren't read.
     """
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     bad = F.coalesce(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)), F.lit(False))
     marks = labels.groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("bad"))
-    mined = mine(slim.join(marks, "page_id").select(tokens_of(F.col("url")).alias("tokens"), "bad"), min_support, min_count, min_confidence)
+    ruled = base_rule(host_of(F.col("url")), path_of(F.col("url")), rules)
+    known = slim.join(marks, "page_id", "left").withColumn("bad", F.coalesce(ruled["verdict"] == "block", "bad")).where("bad IS NOT NULL")
+    mined = mine(known.select(tokens_of(F.col("url")).alias("tokens"), "bad"), min_support, min_count, min_confidence)
     if mined is not None:
         mined = cut(mined)
     if mined is None or mined.isEmpty():

@@ -47,14 +47,8 @@ def test_links_lose_none_in_hot_buckets(spark, cap):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def test_representatives(spark):
-    df, rows = table(spark, 2)
-    kept = simhash.representatives(df)
-    assert kept.columns == df.columns
-    prints = [(d, brute.fingerprint(t)) for d, t, *_ in rows]
-    want = Counter(d for (d, _), c in zip(prints, brute.components(prints)) if d is None or d == c)
-    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == want
-    assert simhash.near_duplicates(hostile(spark, [])).count() == 0 and simhash.representatives(hostile(spark, [])).count() == 0
+def test_no_fingerprints(spark):
+    assert simhash.near_duplicates(hostile(spark, [])).count() == 0
 
 
 def test_components_of_a_long_chain(spark):
@@ -116,7 +110,27 @@ def test_passages_of_the_table(spark):
 
 def test_automaton():
     automaton = substring.SuffixAutomaton()
-    automaton.add(b"a b c a b d".split(), 5)
     automaton.add(b"c a b d e".split(), 3)
-    automaton.settle()
+    assert automaton.meet(b"a b c a b d".split(), 3, 5) == [5, 5, 3, 3]
     assert automaton.firsts(b"b c a b d e x a".split(), 3) == [5, 3, 3, 3, None, None]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_automaton_of_many(seed):
+    """Growing automata against every window of every earlier sequence."""
+    r, automaton, seen = random.Random(seed), substring.SuffixAutomaton(), {}
+    for doc in range(40):
+        words = [r.randrange(3) for _ in range(r.randrange(0, 30))]
+        windows = [tuple(words[i : i + 4]) for i in range(len(words) - 3)]
+        for w in windows:
+            seen.setdefault(w, doc)
+        assert automaton.meet(words, 4, doc) == [seen[w] for w in windows]
+
+
+def test_ids_of_passages(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id int, text string")
+    assert sorted((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(df).collect()) == [(1, 0), (2, 60)]
+    assert substring.remove_repeats(df).schema["doc_id"].dataType.simpleString() == "int"
+    with pytest.raises(TypeError):
+        substring.remove_repeats(df.withColumn("doc_id", F.col("doc_id").cast("string")))

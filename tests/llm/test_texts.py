@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import brute
@@ -24,7 +25,9 @@ def test_patterns(text):
 
 def test_patterns_on_long_runs():
     for text in ("a" * 50_000 + "@", "1" * 50_000, "1." * 30_000, "+1" + "-" * 50_000, "1-" * 30_000):
-        assert len(pii.base_spans(text)) == len(pii.base_spans(text))
+        began = time.monotonic()
+        assert len(pii.base_spans(text)) <= 1
+        assert time.monotonic() - began < 20  # linear, not quadratic in the run
 
 
 def test_personal_data(spark):
@@ -108,9 +111,9 @@ def test_contaminated(spark, monkeypatch, block):
     got = decontaminate.contaminated(df, bench)
     assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in got.collect()) == expected(items, docs)
     kept = decontaminate.decontaminate(df, bench)
-    bad = {d for d, _, _ in expected(items, docs)}
+    found = [{d for d, _, _ in expected(items, [row])} for row in docs]
     assert kept.columns == df.columns
-    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter(d for d, _ in docs if d is None or d not in bad)
+    assert Counter(r["doc_id"] for r in kept.select("doc_id").collect()) == Counter(d for (d, _), f in zip(docs, found) if not f)
     assert decontaminate.contaminated(hostile(spark, []), bench).count() == 0
     assert decontaminate.contaminated(df, bench.where("item_id < 0")).count() == 0
 
