@@ -28,8 +28,8 @@ from sagaframe.llm.common import checkpoint_dir, cut, portions
 from sagaframe.llm.graph import connected_components
 
 SHINGLE, SEGMENTS, WIDTH, UNSURE, PROBES, BROADCAST_NODES = 5, 24, 24, 8, 12, 1_000_000
-#: Bits that may differ, of the 64 that probes carry and of all others: at an index of 0.8 they are 10 and 86 on average, over 3.5 deviations less.
-PRINT_BITS, SEGMENT_BITS = 20, 116
+#: Bits that may differ, of the 64 that probes carry and of all 640: at an index of 0.8 they are 10 and 96 on average, 3.5 and 2.7 deviations less.
+PRINT_BITS, WHOLE_BITS = 20, 120
 _GOLDEN, _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: The ways to flip some of a segment's UNSURE least certain bits.
 _WAYS = np.array([x for x in range(1 << UNSURE) if x.bit_count() <= 4], np.int64)
@@ -127,26 +127,32 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, whole, shingles): whole fingerprints and sets of the given nodes, written as a table."""
-    spark, path = docs.sparkSession, f"{checkpoint_dir(docs.sparkSession)}/sets-{uuid.uuid4().hex}"
+def _made(docs: DataFrame, nodes: DataFrame, sets: bool) -> DataFrame:
+    """(node, whole) of the given nodes, and their ``shingles`` if ``sets``; written as a table."""
+    spark, path = docs.sparkSession, f"{checkpoint_dir(docs.sparkSession)}/nodes-{uuid.uuid4().hex}"
     wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes
-    rows = lambda found, made, sets: [pa.array(found), pa.array(list(_packed(made[:, :-64])), pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
-    made = _once(docs.join(wanted, "node", "left_semi"), "node long, whole array<long>, shingles array<long>", rows)
-    made.groupBy("node").agg(F.first("whole").alias("whole"), F.first("shingles").alias("shingles")).write.option("compression", "none").parquet(path)
+    listed = lambda x: pa.array(list(x), pa.list_(pa.int64()))
+    rows = lambda found, made, own: [pa.array(found), listed(_packed(made)), *([listed(x.view(np.int64) for x in own)] if sets else [])]
+    columns = ["whole", "shingles"] if sets else ["whole"]
+    each = _once(docs.join(wanted, "node", "left_semi"), ", ".join(["node long", *(f"{c} array<long>" for c in columns)]), rows)
+    each.groupBy("node").agg(*(F.first(c).alias(c) for c in columns)).write.option("compression", "none").parquet(path)
     return spark.read.parquet(path)
 
 
-def _sided(sets: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(sets.select(F.col("node").alias(end), F.col(column).alias(f"_{end}")) for end in ("src", "dst"))
+def _sided(made: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(made.select(F.col("node").alias(end), F.col(column).alias(f"_{end}")) for end in ("src", "dst"))
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _close(a: str, b: str) -> Column:
+    """Whether whole fingerprints are near enough for similar sets."""
+    words = (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SEGMENTS * WIDTH // 64 + 1))
+    return functools.reduce(Column.__add__, words) <= WHOLE_BITS
+
+
+def _likely(pairs: DataFrame, made: DataFrame) -> DataFrame:
     """The pairs whose whole fingerprints are near enough."""
-    a, b = _sided(sets, "whole")
-    words = [F.bit_count(F.get("_src", F.lit(i)).bitwiseXOR(F.get("_dst", F.lit(i)))) for i in range(SEGMENTS * WIDTH // 64)]
-    both = pairs.select("src", "dst").join(a, "src").join(b, "dst")
-    return both.where(functools.reduce(Column.__add__, words) <= SEGMENT_BITS).select("src", "dst")
+    a, b = _sided(made, "whole")
+    return pairs.select("src", "dst").join(a, "src").join(b, "dst").where(_close("_src", "_dst")).select("src", "dst")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -163,6 +169,10 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where("_src <> _dst").drop("_src", "_dst")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Edges (src, dst) among the nodes of documents (node, text) with the components of all similar pairs that the table holds."""
     every = entries(docs).repartition("key")
@@ -173,26 +183,29 @@ def links(docs: DataFrame) -> DataFrame:
     met = cut(met.groupBy("key", "node").agg(F.first("print").alias("print"), F.max("exact").alias("exact"), *(F.first(x).alias(x) for x in ("lead", "lead_print", "many"))))
     near_lead = (F.col("node") != F.col("lead")) & (_apart("print", "lead_print") <= PRINT_BITS)
     stars = cut(met.where(near_lead).groupBy(F.col("lead").alias("src"), F.col("node").alias("dst")).agg(F.min(_apart("print", "lead_print")).alias("apart")))
-    sets = _sets(docs, stars.select(F.col("src").alias("node")).union(stars.select("dst")).distinct())
+    sets = _made(docs, _ends(stars), sets=True)
     left, near, roots = stars, None, None
-    for nearest in (1, 4):
-        ranked = cut(left.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("apart", "src"))))
-        found = _verified(ranked.where(F.col("place") <= nearest), sets)
+    for nearest in (1, 4, None):
+        if nearest:
+            ranked = cut(left.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("apart", "src"))))
+            now, left = ranked.where(F.col("place") <= nearest), ranked.where(F.col("place") > nearest).drop("place")
+        else:
+            now, left = _likely(left, sets), None
+        found = _verified(now, sets)
         near = found if near is None else near.union(found)
         roots = connected_components(near)
-        left = cut(_across(ranked.where(F.col("place") > nearest).drop("place"), roots))
-    member = F.struct("node", "print", "exact", F.coalesce("root", "node").alias("root"))
-    rooted = met.where("many").join(roots, "node", "left").select("key", member.alias("x"))
-    mixed = rooted.groupBy("key").agg(F.min("x.root").alias("low"), F.max("x.root").alias("high"), F.mode("x.root").alias("most")).where("low <> high").select("key", "most")
-    inside = cut(rooted.join(mixed, "key"))
+        left = left and cut(_across(left, roots))
+    rooted = cut(met.where("many").join(roots, "node", "left").select("key", "node", "exact", F.coalesce("root", "node").alias("root")))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root").alias("most")).where("low <> high").select("key", "most")
+    few = rooted.join(mixed, "key").where("root <> most")
+    whole = _made(docs, rooted.select("node").distinct(), sets=False)
+    x, y = (df.join(whole, "node").alias(name) for df, name in ((few, "x"), (rooted, "y")))
     across = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("most")) | (F.col("x.node") < F.col("y.node")))
-    possible = (F.col("x.exact") | F.col("y.exact")) & (_apart("x.print", "y.print") <= PRINT_BITS)
-    pairs = inside.where("x.root <> most").join(inside.select("key", F.col("x").alias("y")), "key").where(across & possible)
+    pairs = x.join(y, "key").where(across & (F.col("x.exact") | F.col("y.exact")) & _close("x.whole", "y.whole"))
     pairs = pairs.select(F.least("x.node", "y.node").alias("src"), F.greatest("x.node", "y.node").alias("dst")).distinct()
     tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     pairs = cut(pairs.join(tried, ["src", "dst"], "left_anti"))
-    more = _sets(docs, pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct())
-    return near.union(_verified(_likely(left, sets), sets)).union(_verified(_likely(pairs, more), more))
+    return near.union(_verified(pairs, _made(docs, _ends(pairs), sets=True)))
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
