@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from sagaframe.llm.common import checkpoint_dir, cut, portions
 from sagaframe.llm.graph import connected_components
 
-SHINGLE, SEGMENTS, WIDTH, UNSURE, PROBES, BROADCAST_NODES = 5, 24, 24, 8, 12, 1_000_000
-#: Bits that may differ, of the 64 that probes carry and of all 640: at an index of 0.8 they are 10 and 96 on average, 3.5 and 2.7 deviations less.
-PRINT_BITS, WHOLE_BITS = 20, 120
+SHINGLE, SEGMENTS, WIDTH, UNSURE, PROBES, PRINTS, BROADCAST_NODES = 5, 20, 24, 8, 10, 2, 1_000_000
+#: Bits that may differ, of the 64 * PRINTS that probes carry and of all 640: at an index of 0.8 they are 19 and 96 on average, 2.7 deviations less.
+PRINT_BITS, WHOLE_BITS = 30, 120
 _GOLDEN, _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: The ways to flip some of a segment's UNSURE least certain bits.
 _WAYS = np.array([x for x in range(1 << UNSURE) if x.bit_count() <= 4], np.int64)
@@ -56,8 +56,8 @@ def shingles(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def votes(hashes: np.ndarray) -> np.ndarray:
-    """How far over half of the shingles set each of the SEGMENTS * WIDTH + 64 bits of a fingerprint; none over for no shingles."""
-    out = np.zeros(SEGMENTS * WIDTH + 64, np.int32)
+    """How far over half of the shingles set each bit of a fingerprint; none over for no shingles."""
+    out = np.zeros(SEGMENTS * WIDTH + 32 + 64 * PRINTS, np.int32)
     for at in range(0, len(hashes), 255):
         part = hashes[at : at + 255]
         bits = np.hstack([_mixed(part ^ np.uint64((k + 1) * _GOLDEN % 2**64))[:, None] for k in range(len(out) // 64)])
@@ -113,18 +113,18 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """(key, node, print, exact): the table's entries and the probes of each document; key names a segment and its value."""
+    """(key, node, p0, p1, exact): the table's entries and the probes of each document; key names a segment and its value."""
 
     def rows(nodes: np.ndarray, made: np.ndarray, _) -> list[pa.Array]:
         probes, exact = balls(made)
         keys, each = probes + (np.arange(SEGMENTS) << WIDTH)[None, :, None], SEGMENTS * PROBES
-        return [pa.array(keys.ravel()), pa.array(nodes.repeat(each)), pa.array(_packed(made[:, -64:]).ravel().repeat(each)), pa.array(exact.ravel())]
+        return [pa.array(keys.ravel()), pa.array(nodes.repeat(each)), *(pa.array(x.repeat(each)) for x in _packed(made[:, -64 * PRINTS :]).T), pa.array(exact.ravel())]
 
-    return _once(docs, "key long, node long, print long, exact boolean", rows)
+    return _once(docs, "key long, node long, p0 long, p1 long, exact boolean", rows)
 
 
 def _apart(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    return functools.reduce(Column.__add__, (F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(PRINTS)))
 
 
 def _made(docs: DataFrame, nodes: DataFrame, sets: bool) -> DataFrame:
@@ -145,7 +145,7 @@ def _sided(made: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
 
 def _close(a: str, b: str) -> Column:
     """Whether whole fingerprints are near enough for similar sets."""
-    words = (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SEGMENTS * WIDTH // 64 + 1))
+    words = (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range((SEGMENTS * WIDTH + 32) // 64 + PRINTS))
     return functools.reduce(Column.__add__, words) <= WHOLE_BITS
 
 
@@ -177,29 +177,24 @@ def links(docs: DataFrame) -> DataFrame:
     """Edges (src, dst) among the nodes of documents (node, text) with the components of all similar pairs that the table holds."""
     every = entries(docs).repartition("key")
     own = F.when(F.col("exact"), F.col("node"))
-    met = every.groupBy("key").agg(F.min(F.when(F.col("exact"), F.struct("node", "print"))).alias("lead"), F.max(own).alias("last"), F.min("node").alias("low"), F.max("node").alias("high"))
-    met = met.where("lead IS NOT NULL AND low <> high").select("key", F.col("lead.node").alias("lead"), F.col("lead.print").alias("lead_print"), (F.col("last") != F.col("lead.node")).alias("many"))
-    met = every.join(met, "key").where((F.col("node") == F.col("lead")) | F.col("many") | (_apart("print", "lead_print") <= PRINT_BITS))
-    met = cut(met.groupBy("key", "node").agg(F.first("print").alias("print"), F.max("exact").alias("exact"), *(F.first(x).alias(x) for x in ("lead", "lead_print", "many"))))
-    near_lead = (F.col("node") != F.col("lead")) & (_apart("print", "lead_print") <= PRINT_BITS)
-    stars = cut(met.where(near_lead).groupBy(F.col("lead").alias("src"), F.col("node").alias("dst")).agg(F.min(_apart("print", "lead_print")).alias("apart")))
+    prints = [f"p{i}" for i in range(PRINTS)]
+    met = every.groupBy("key").agg(F.min(F.when(F.col("exact"), F.struct("node", *prints))).alias("lead"), F.max(own).alias("last"), F.min("node").alias("low"), F.max("node").alias("high"))
+    met = met.where("lead IS NOT NULL AND low <> high").select("key", F.col("lead.node").alias("lead"), *(F.col(f"lead.{p}").alias(f"l{i}") for i, p in enumerate(prints)), (F.col("last") != F.col("lead.node")).alias("many"))
+    met = every.join(met, "key").where((F.col("node") == F.col("lead")) | F.col("many") | (_apart("p", "l") <= PRINT_BITS))
+    met = cut(met.groupBy("key", "node").agg(F.max("exact").alias("exact"), *(F.first(x).alias(x) for x in (*prints, "lead", "l0", "l1", "many"))))
+    near_lead = (F.col("node") != F.col("lead")) & (_apart("p", "l") <= PRINT_BITS)
+    stars = cut(met.where(near_lead).groupBy(F.col("lead").alias("src"), F.col("node").alias("dst")).agg(F.min(_apart("p", "l")).alias("apart")))
     sets = _made(docs, _ends(stars), sets=True)
-    left, near, roots = stars, None, None
-    for nearest in (1, 4, None):
-        if nearest:
-            ranked = cut(left.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("apart", "src"))))
-            now, left = ranked.where(F.col("place") <= nearest), ranked.where(F.col("place") > nearest).drop("place")
-        else:
-            now, left = _likely(left, sets), None
-        found = _verified(now, sets)
-        near = found if near is None else near.union(found)
-        roots = connected_components(near)
-        left = left and cut(_across(left, roots))
-    rooted = cut(met.where("many").join(roots, "node", "left").select("key", "node", "exact", F.coalesce("root", "node").alias("root")))
+    ranked = cut(stars.withColumn("place", F.row_number().over(Window.partitionBy("dst").orderBy("apart", "src"))))
+    near = _verified(ranked.where("place <= 2"), sets)
+    left = cut(_across(ranked.where("place > 2").select("src", "dst"), connected_components(near)))
+    near = near.union(_verified(_likely(left, sets), sets))
+    roots = connected_components(near)
+    several = met.where("many").select("key", "node", "exact")
+    rooted = several.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted.join(_made(docs, several.select("node").distinct(), sets=False), "node"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root").alias("most")).where("low <> high").select("key", "most")
-    few = rooted.join(mixed, "key").where("root <> most")
-    whole = _made(docs, rooted.select("node").distinct(), sets=False)
-    x, y = (df.join(whole, "node").alias(name) for df, name in ((few, "x"), (rooted, "y")))
+    x, y = rooted.join(mixed, "key").where("root <> most").alias("x"), rooted.alias("y")
     across = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("most")) | (F.col("x.node") < F.col("y.node")))
     pairs = x.join(y, "key").where(across & (F.col("x.exact") | F.col("y.exact")) & _close("x.whole", "y.whole"))
     pairs = pairs.select(F.least("x.node", "y.node").alias("src"), F.greatest("x.node", "y.node").alias("dst")).distinct()
