@@ -44,8 +44,8 @@ def ordered(spark, values: list[str], column: str) -> DataFrame:
 
 
 def distribution(df: DataFrame, category: str, order: list[str]) -> DataFrame:
-    """(category, n, percent, pos) of the categories present, in a fixed order; percent of the rows counted."""
-    counts = df.groupBy(category).agg(F.count("*").alias("n")).join(F.broadcast(ordered(df.sparkSession, order, category)), category)
+    """(category, n, percent, pos) of the categories present, in a fixed order, those that it doesn't list last; percent of all rows."""
+    counts = df.groupBy(category).agg(F.count("*").alias("n")).join(F.broadcast(ordered(df.sparkSession, order, category)), category, "left").withColumn("pos", F.coalesce("pos", F.lit(len(order)).cast("long")))
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all")))).withColumn("percent", percent(F.col("n"), F.col("_all"))).drop("_all")
 
 

@@ -63,8 +63,9 @@ def acyclic_violations(edges: DataFrame) -> DataFrame:
 def relax(vertices: DataFrame, edges: DataFrame, tolerance: float = 1e-6, max_rounds: int = 200) -> DataFrame:
     """(id, value): unknown (null) values become the mean of their neighbours', known ones stay.
 
-    All vertices move at once in each round, until none moves by more than ``tolerance``. A vertex that
-    no known value reaches is an error.
+    All vertices move at once in each round, until none moves by more than ``tolerance``, or for
+    ``max_rounds``, after which values are returned as near as they have come. A vertex that no known
+    value reaches is an error.
     """
     both = _cut(edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).where("src <> dst").distinct())
     now = _cut(vertices.select("id", "value", F.col("value").isNotNull().alias("known")))

@@ -1,7 +1,8 @@
 """Greedy folds over ordered intervals: lanes, first fits, colours, cursors.
 
 Each decision needs all earlier ones, so a group is folded in one task, by ``aggregate`` over its
-sorted intervals. Groups are therefore keys of bounded size; ``max_group`` guards that and raises.
+sorted intervals. Groups are therefore keys of bounded size; ``max_group`` guards that: a larger
+one raises before any group is gathered.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ _ITEM = "struct<a:bigint,b:bigint,id:bigint>"
 
 def _folded(df: DataFrame, keys: list[str], order: list[Column], start: Column, step, result: str, max_group: int) -> DataFrame:
     item = F.struct(*order, F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("id").cast("long").alias("id")).alias("item"))
-    grouped = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
-    checked = grouped.withColumn("_items", F.when(F.col("_n") <= max_group, F.col("_items")).otherwise(F.raise_error(F.lit(f"a group has more than {max_group} intervals"))))
-    return checked.select(*keys, F.inline(F.aggregate("_items", start, step)["out"])).select(*keys, "id", "a", "b", result)
+    if not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group).isEmpty():
+        raise ValueError(f"a group has more than {max_group} intervals")
+    grouped = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
+    return grouped.select(*keys, F.inline(F.aggregate("_items", start, step)["out"])).select(*keys, "id", "a", "b", result)
 
 
 def pack(df: DataFrame, keys: list[str], touching: bool = True, max_group: int = 100_000) -> DataFrame:
@@ -66,8 +68,7 @@ def colour(df: DataFrame, keys: list[str], slots: int = 8, max_group: int = 100_
         return F.struct(F.array_append(acc["out"], F.struct(x["a"].alias("a"), x["b"].alias("b"), x["id"].alias("id"), x["lane"].alias("lane"), slot.alias("slot"))).alias("out"))
 
     grouped = carried.groupBy(*keys).agg(F.count("*").alias("_n"), F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
-    checked = grouped.withColumn("_items", F.when(F.col("_n") <= max_group, F.col("_items")).otherwise(F.raise_error(F.lit(f"a group has more than {max_group} intervals"))))
-    return checked.select(*keys, F.inline(F.aggregate("_items", start, step)["out"])).select(*keys, "id", "a", "b", "slot")
+    return grouped.select(*keys, F.inline(F.aggregate("_items", start, step)["out"])).select(*keys, "id", "a", "b", "slot")
 
 
 def cursor(df: DataFrame, keys: list[str], max_group: int = 100_000) -> DataFrame:
@@ -82,6 +83,7 @@ def cursor(df: DataFrame, keys: list[str], max_group: int = 100_000) -> DataFram
         return F.struct(stop.alias("at"), F.array_append(acc["out"], row).alias("out"))
 
     item = F.struct("a", "b", F.col("id").alias("_i"), F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("id").cast("long").alias("id")).alias("item"))
-    grouped = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
-    checked = grouped.withColumn("_items", F.when(F.col("_n") <= max_group, F.col("_items")).otherwise(F.raise_error(F.lit(f"a group has more than {max_group} intervals"))))
-    return checked.select(*keys, F.inline(F.aggregate("_items", begin, step)["out"]))
+    if not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group).isEmpty():
+        raise ValueError(f"a group has more than {max_group} intervals")
+    grouped = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
+    return grouped.select(*keys, F.inline(F.aggregate("_items", begin, step)["out"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -80,12 +81,19 @@ def unknown_fields(raw: DataFrame, json: str, key: str, known: list[str]) -> Dat
 
 
 def walk(df: DataFrame, value: Column, key: str, depth: int = 8) -> DataFrame:
-    """(key, path, name, text): every member of a nested JSON value, found by unrolling ``depth`` levels of VARIANT."""
+    """(key, path, name, text): every member of a nested JSON value, found by unrolling ``depth`` levels of VARIANT.
+
+    A value that has members below the last level is an error, so that none is left unread.
+    """
     level = df.select(F.col(key).cast("string").alias("key"), F.lit("").alias("path"), value.alias("_v"))
     parts = []
-    for _ in range(depth):
-        level.createOrReplaceTempView("_walk_level")
-        members = level.sparkSession.sql("SELECT w.key, w.path, e.pos, e.key AS name, e.value AS _v FROM _walk_level w, LATERAL variant_explode(w._v) e")
+    for n in range(depth):
+        view = f"_walk_{uuid.uuid4().hex}"
+        level.createOrReplaceTempView(view)
+        members = level.sparkSession.sql(f"SELECT w.key, w.path, e.pos, e.key AS name, e.value AS _v FROM {view} w, LATERAL variant_explode(w._v) e")
+        if n == depth - 1:
+            deeper = F.schema_of_variant("_v").rlike("^(OBJECT<.|ARRAY<(?!VOID>))")
+            members = members.withColumn("_v", F.when(deeper, F.raise_error(F.concat(F.lit(f"members below level {depth} of "), "path"))).otherwise(F.col("_v")))
         step = F.coalesce("name", F.concat(F.lit("["), F.col("pos"), F.lit("]")))
         level = members.select("key", F.concat("path", F.lit("/"), step).alias("path"), "name", "_v")
         parts.append(level.select("key", "path", "name", F.expr("try_variant_get(_v, '$', 'string')").alias("text")))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from sagaframe.session import shared_folder
 from sagaframe.plans.registry import micros, query, table
 from sagaframe.sources import sinks
 from sagaframe.streaming import windows
@@ -14,7 +14,7 @@ from sagaframe.streaming import windows
 
 def _shared(spark) -> str:
     """A new folder where the session's shared checkpoints go, or a temporary one where none is set."""
-    return f"{spark.sparkContext.getCheckpointDir() or spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-export-')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders")

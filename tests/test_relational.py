@@ -127,3 +127,15 @@ def test_relaxation(spark):
     assert got[1] == 0 and got[4] == 9 and abs(got[2] - 3) < 1e-4 and abs(got[3] - 6) < 1e-4
     with pytest.raises(ValueError, match="reached by no known value"):
         graph.relax(spark.createDataFrame([(1, None)], "id long, value double"), edges(spark, []))
+
+
+def test_walk_raises_below_its_depth(spark):
+    raw = spark.createDataFrame([(1, '{"a": {"b": {"c": 1}}, "e": [], "f": {}}')], "id long, j string")
+    assert {r["path"] for r in quality.walk(raw, F.parse_json("j"), "id", 3).collect()} == {"/a", "/a/b", "/a/b/c", "/e", "/f"}
+    with pytest.raises(Exception, match="members below level 2"):
+        quality.walk(raw, F.parse_json("j"), "id", 2).collect()
+
+
+def test_distribution_keeps_unlisted_categories(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("z",), ("z",)], "c string")
+    assert sorted((r["c"], r["n"], r["pos"]) for r in aggregates.distribution(df, "c", ["b", "a"]).collect()) == [("a", 1, 1), ("b", 1, 0), ("z", 2, 2)]
