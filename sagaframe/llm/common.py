@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,16 +9,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sagaframe.session import shared_folder
+
 #: Words are maximal runs of anything but space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; a temporary one only where none is set (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
+    """The session's shared checkpoint folder; a temporary one only in local mode (tests)."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
