@@ -163,7 +163,9 @@ def test_pipeline(spark):
     told = quality.classify(a, spark.read.parquet(f"{SF}/labels.parquet")).collect()
     assert ids(b) == Counter(r["doc_id"] for r in told if r["predicted"])
     rows = [(r["doc_id"], r["text"]) for r in b.select("doc_id", "text").collect()]
-    assert ids(c) == Counter(d_ for (d_, _), k in zip(rows, components(rows)) if d_ == k)
+    # No group loses all its rows; SimHash may miss a link, which leaves at most 1 % of the rows too many.
+    exact = Counter(d_ for (d_, _), k in zip(rows, components(rows)) if d_ == k)
+    assert not exact - ids(c) and sum((ids(c) - exact).values()) <= 0.01 * len(rows)
     items = [brute_normal(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     assert not any(x in brute_normal(r["text"] or "") for r in d.select("text").collect() for x in items if x)
     assert set(ids(d)) <= set(ids(c)) and set(ids(e)) <= set(ids(d)) and ids(f) == ids(e) and {"run", "shard"} <= set(f.columns)
