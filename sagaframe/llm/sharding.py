@@ -3,8 +3,10 @@
 A run is a folder of shards that nobody changes. Arrivals are runs of small shards; runs whose sizes
 fall into one tier are merged, ``fan_in`` at a time, into a run of target-sized files, without a
 shuffle. A manifest version names the live runs. It is written aside and renamed into place, which
-happens whole or not at all, so that readers see one version or the next; a writer that finds its
-version taken fails and leaves the store as it was.
+happens whole or not at all, so that readers see one version or the next. Of two writers that find a
+version free at once, the file system lets one folder take the place; the other's goes inside it,
+which that writer sees, takes away and fails, so that the store stays as the first one left it. The file
+system must rename folders atomically, as HDFS and local ones do and plain object stores don't.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 _MANIFEST = "run string, tier int, path string, bytes long, files long"
 _ARRIVAL = "_arrival"
+#: Parquet row groups of shards are kept small, as a task holds one while it writes.
+_ROW_GROUP = 32 << 20
 
 
 class ShardStore:
@@ -41,13 +45,19 @@ class ShardStore:
 
     def commit(self, runs: list[dict], version: int) -> int:
         """Make ``runs`` the manifest of ``version``; fails if someone else has."""
-        aside, place = f"{self.root}/manifests/_{uuid.uuid4().hex}", f"{self.root}/manifests/v{version:08d}"
+        own, place = f"_{uuid.uuid4().hex}", f"{self.root}/manifests/v{version:08d}"
+        aside = f"{self.root}/manifests/{own}"
         self.spark.createDataFrame([tuple(r[c] for c in ("run", "tier", "path", "bytes", "files")) for r in runs], _MANIFEST).coalesce(1).write.json(aside)
-        if self._files.exists(self._paths(place)) or not self._files.rename(self._paths(aside), self._paths(place)):
-            self._files.delete(self._paths(aside), True)
+        moved = not self._taken(place) and self._files.rename(self._paths(aside), self._paths(place))
+        if not moved or self._files.exists(self._paths(f"{place}/{own}")):
+            for lost in (aside, f"{place}/{own}"):
+                self._files.delete(self._paths(lost), True)
             raise FileExistsError(f"version {version} was committed by another writer")
         return version
 
+    def _taken(self, place: str) -> bool:
+        return self._files.exists(self._paths(place))
+
     def tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(1, size / self.base_bytes), self.fan_in)))
 
@@ -61,8 +71,9 @@ class ShardStore:
         version = max(self.versions(), default=0) + 1
         batch = f"{self.root}/runs/a{version:08d}-{uuid.uuid4().hex[:8]}"
         arrival = max([_ARRIVAL, *df.columns], key=len) + "_"  # longer than any column's name
-        dealt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(arrivals)).cast("int")
-        df.withColumn(arrival, dealt).write.partitionBy(arrival).parquet(batch)
+        hashable = (F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema)  # maps have no hash
+        dealt = F.pmod(F.xxhash64(*hashable), F.lit(arrivals)).cast("int")
+        df.withColumn(arrival, dealt).write.option("parquet.block.size", _ROW_GROUP).partitionBy(arrival).parquet(batch)
         folders = [s.getPath() for s in self._files.listStatus(self._paths(batch)) if s.isDirectory() and s.getPath().getName().startswith(f"{arrival}=")]
         new = [self._run(f"a{version:08d}-{p.getName().split('=')[1]}", p.toString()) for p in folders]
         return self.commit(self.runs(version - 1) + new, version)
@@ -70,7 +81,7 @@ class ShardStore:
     def _merge(self, runs: list[dict], name: str) -> dict:
         size = sum(r["bytes"] for r in runs)
         path = f"{self.root}/runs/{name}-{uuid.uuid4().hex[:8]}"
-        self.spark.read.parquet(*(r["path"] for r in runs)).coalesce(max(1, round(size / self.target_bytes))).write.parquet(path)
+        self.spark.read.parquet(*(r["path"] for r in runs)).coalesce(max(1, round(size / self.target_bytes))).write.option("parquet.block.size", _ROW_GROUP).parquet(path)
         return self._run(name, path)
 
     def compact(self) -> int:

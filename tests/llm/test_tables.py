@@ -120,6 +120,23 @@ def test_shards_round_trip(spark):
     assert store.read(df.schema).count() == len(rows) + 3
 
 
+def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path))
+    store.append(spark.createDataFrame([(1,)], "a int"))
+    first = store.runs(1)
+    monkeypatch.setattr(store, "_taken", lambda place: False)  # both have looked before either renames
+    with pytest.raises(FileExistsError):
+        store.commit([], 1)
+    assert store.versions() == [1] and store.runs(1) == first
+    assert not list((tmp_path / "manifests").glob("**/_*-*")) and [x.name for x in (tmp_path / "manifests").iterdir() if not x.name.startswith(".")] == ["v00000001"]
+    assert store.commit(first, 2) == 2
+
+
+def test_shards_with_maps(spark, tmp_path):
+    df = spark.sql("SELECT 1 AS i, map('a', 2) AS m, array(named_struct('n', map(1, 'x'))) AS s")
+    assert sharding.shard(df, str(tmp_path)).drop("run", "shard").collect() == df.collect()
+
+
 def test_shard_keeps_rows_and_columns(spark):
     df, rows = table(spark, 8)
     out = sharding.shard(df, f"{checkpoint_dir(spark)}/store-{random.random()}")
