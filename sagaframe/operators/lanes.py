@@ -1,89 +1,135 @@
 """Greedy folds over ordered intervals: lanes, first fits, colours, cursors.
 
-Each decision needs all earlier ones, so a group is folded in one task, by ``aggregate`` over its
-sorted intervals. Groups are therefore keys of bounded size; ``max_group`` guards that: a larger
-one raises before any group is gathered.
+Each decision needs all earlier ones, which no built-in expresses without gathering a group in an
+array. So rows are dealt by their keys, sorted inside the partitions (Spark spills that) and streamed
+through a small state in Arrow batches: groups of any size fit, as the state of a group holds only
+its open intervals. ``first_fit``, whose order isn't that of the starts, holds a connected island of
+intervals. One key's rows still pass through one task, in order.
+
+Bounds are whole numbers a <= b; rows without a bound stay, without a result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-_ITEM = "struct<a:bigint,b:bigint,id:bigint>"
+from bisect import bisect_right, insort
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
-
-def _folded(df: DataFrame, keys: list[str], order: list[Column], start: Column, step, result: str, max_group: int) -> DataFrame:
-    item = F.struct(*order, F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("id").cast("long").alias("id")).alias("item"))
-    if not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group).isEmpty():
-        raise ValueError(f"a group has more than {max_group} intervals")
-    grouped = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
-    return grouped.select(*keys, F.inline(F.aggregate("_items", start, step)["out"])).select(*keys, "id", "a", "b", result)
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 
-def pack(df: DataFrame, keys: list[str], touching: bool = True, max_group: int = 100_000) -> DataFrame:
+class _Packing:
+    """Lanes that are busy until an end, and the numbers of free ones."""
+
+    def __init__(self, touching: bool):
+        self.touching, self.busy, self.free, self.n = touching, [], [], 0
+
+    def step(self, a: int, b: int) -> tuple:
+        while self.busy and (self.busy[0][0] < a or self.touching and self.busy[0][0] == a):
+            heappush(self.free, heappop(self.busy)[1])
+        if not self.free:
+            heappush(self.free, self.n)
+            self.n += 1
+        lane = heappop(self.free)
+        heappush(self.busy, (b, lane))
+        return (lane,)
+
+
+class _FirstFit:
+    """The intervals of each lane. None overlap, so in the order of starts their ends rise too."""
+
+    def __init__(self):
+        self.lanes: list[tuple[list, list]] = []
+
+    def step(self, a: int, b: int) -> tuple:
+        for lane, (placed, ends) in enumerate(self.lanes):
+            at = bisect_right(ends, a)  # the first that ends behind the start
+            if at == len(placed) or placed[at][0] >= b:
+                break
+        else:
+            lane, (placed, ends) = len(self.lanes), ([], [])
+            self.lanes.append((placed, ends))
+        insort(placed, (a, b))
+        insort(ends, b)
+        return (lane,)
+
+
+class _Colouring:
+    """Open intervals with their slots, and the last slot of each lane."""
+
+    def __init__(self, slots: int):
+        self.slots, self.open, self.last = slots, [], {}
+
+    def step(self, a: int, b: int, lane: int) -> tuple:
+        while self.open and self.open[0][0] < a:
+            heappop(self.open)
+        taken = {slot for _, start, slot in self.open if start <= b} | {self.last.get(lane)}
+        slot = next((s for s in range(1, self.slots + 1) if s not in taken), lane % self.slots + 1)
+        heappush(self.open, (b, a, slot))
+        self.last[lane] = slot
+        return (slot,)
+
+
+class _Cursor:
+    def __init__(self):
+        self.at = None
+
+    def step(self, a: int, b: int) -> tuple:
+        start = float(a) if self.at is None else max(float(a), self.at)
+        self.at = float(b) if b > start else start + 0.5
+        return start, self.at
+
+
+def _folded(df: DataFrame, keys: list[str], order: list[Column], begin: Callable, results: dict[str, str], given: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, id, a, b, results): the rows of each group in order through a state that ``begin`` makes; ``given`` are further columns of its steps."""
+    places = [F.col(c).cast("long").alias(c) for c in ("id", "a", "b", *given)]
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *places)
+    kinds = {"long": pa.int64(), "double": pa.float64()}
+    nothing = (None,) * len(results)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state = None, None
+        for batch in batches:
+            out = []
+            groups = zip(*(batch.column(i).to_pylist() for i in range(len(keys))))
+            for group, row in zip(groups, zip(*(batch.column(c).to_pylist() for c in ("a", "b", *given)))):
+                if state is None or group != held:
+                    held, state = group, begin()
+                out.append(nothing if None in row else state.step(*row))
+            made = [pa.array(x, kinds[kind]) for x, kind in zip(zip(*out) if out else [()] * len(results), results.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys) + 3], *made], [*batch.schema.names[: len(keys) + 3], *results])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keys) + 3])
+    return rows.mapInArrow(run, ", ".join([fields, *(f"{c} {kind}" for c, kind in results.items())]))
+
+
+def pack(df: DataFrame, keys: list[str], touching: bool = True) -> DataFrame:
     """(keys, id, a, b, lane): by start, the longer first, into the lowest lane that is free.
 
     A lane is free if its last end is before the start, or, with ``touching``, on it.
     """
-    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<struct<a:bigint,b:bigint,id:bigint,lane:bigint>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        free = F.transform(acc["ends"], lambda e: (e <= x["a"]) if touching else (e < x["a"]))
-        found = F.array_position(free, True)
-        lane = F.when(found > 0, found - 1).otherwise(F.size(acc["ends"])).cast("long")
-        ends = F.when(found > 0, F.transform(acc["ends"], lambda e, i: F.when(i == lane, x["b"]).otherwise(e))).otherwise(F.array_append(acc["ends"], x["b"]))
-        return F.struct(ends.alias("ends"), F.array_append(acc["out"], F.struct(x["a"].alias("a"), x["b"].alias("b"), x["id"].alias("id"), lane.alias("lane"))).alias("out"))
+    return _folded(df, keys, [F.asc("a"), F.desc("b"), F.asc("id")], lambda: _Packing(touching), {"lane": "long"})
 
-    return _folded(df, keys, [F.col("a"), (-F.col("b")).alias("_b"), F.col("id")], start, step, "lane", max_group)
 
+def first_fit(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
+    """(keys, id, a, b, lane): in order of ``priority``, into the first lane where every interval ends by the start or starts by the end.
 
-def first_fit(df: DataFrame, keys: list[str], priority: str, max_group: int = 100_000) -> DataFrame:
-    """(keys, id, a, b, lane): in order of ``priority``, into the first lane where every interval ends by the start or starts by the end."""
-    out = "array<struct<a:bigint,b:bigint,id:bigint,lane:bigint>>"
-    start = F.struct(F.array().cast(out).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        taken = F.array_distinct(F.transform(F.filter(acc["out"], lambda o: (o["b"] > x["a"]) & (o["a"] < x["b"])), lambda o: o["lane"]))
-        lane = F.get(F.array_except(F.sequence(F.lit(0).cast("long"), F.size(taken).cast("long")), taken), F.lit(0))
-        return F.struct(F.array_append(acc["out"], F.struct(x["a"].alias("a"), x["b"].alias("b"), x["id"].alias("id"), lane.alias("lane"))).alias("out"))
-
-    return _folded(df, keys, [F.col(priority).alias("_p"), F.col("id")], start, step, "lane", max_group)
+    Intervals behind the end of all earlier ones begin a new island, which is filled by itself.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.asc("a"), F.desc("b"), F.asc("id"))
+    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = df.withColumn("_new", F.coalesce((F.col("a") >= reach).cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return _folded(islands, [*keys, "_island"], [F.asc(priority), F.asc("id")], _FirstFit, {"lane": "long"}).drop("_island")
 
 
-def colour(df: DataFrame, keys: list[str], slots: int = 8, max_group: int = 100_000) -> DataFrame:
+def colour(df: DataFrame, keys: list[str], slots: int = 8) -> DataFrame:
     """(keys, id, a, b, slot) from packed lanes: the lowest slot from 1 on that no earlier overlapping interval
     and not the previous one of the lane has; where none is left (lane mod slots) + 1."""
-    state = "array<struct<a:bigint,b:bigint,id:bigint,lane:bigint,slot:bigint>>"
-    start = F.struct(F.array().cast(state).alias("out"))
-    carried = df.withColumn("id", F.struct("id", "lane"))
-    item = F.struct("a", (-F.col("b")).alias("_b"), F.col("id.id").alias("_i"), F.struct("a", "b", F.col("id.id").alias("id"), F.col("id.lane").alias("lane")).alias("item"))
-
-    def step(acc: Column, x: Column) -> Column:
-        near = F.transform(F.filter(acc["out"], lambda o: (o["b"] >= x["a"]) & (o["a"] <= x["b"])), lambda o: o["slot"])
-        same = F.filter(acc["out"], lambda o: o["lane"] == x["lane"])
-        last = F.transform(F.slice(same, F.greatest(F.lit(1), F.size(same)), 1), lambda o: o["slot"])
-        free = F.array_except(F.sequence(F.lit(1).cast("long"), F.lit(slots).cast("long")), F.concat(near, last))
-        slot = F.coalesce(F.get(free, F.lit(0)), x["lane"] % slots + 1)
-        return F.struct(F.array_append(acc["out"], F.struct(x["a"].alias("a"), x["b"].alias("b"), x["id"].alias("id"), x["lane"].alias("lane"), slot.alias("slot"))).alias("out"))
-
-    grouped = carried.groupBy(*keys).agg(F.count("*").alias("_n"), F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
-    return grouped.select(*keys, F.inline(F.aggregate("_items", start, step)["out"])).select(*keys, "id", "a", "b", "slot")
+    return _folded(df, keys, [F.asc("a"), F.desc("b"), F.asc("id")], lambda: _Colouring(slots), {"slot": "long"}, ("lane",))
 
 
-def cursor(df: DataFrame, keys: list[str], max_group: int = 100_000) -> DataFrame:
+def cursor(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, a, b, start, stop): each interval starts no earlier than the one before stops; empty ones get half a unit."""
-    state = "struct<at:double,out:array<struct<a:bigint,b:bigint,id:bigint,start:double,stop:double>>>"
-    begin = F.struct(F.lit(None).cast("double").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint,id:bigint,start:double,stop:double>>").alias("out")).cast(state)
-
-    def step(acc: Column, x: Column) -> Column:
-        start = F.greatest(x["a"].cast("double"), acc["at"])
-        stop = F.when(x["b"] > start, x["b"].cast("double")).otherwise(start + 0.5)
-        row = F.struct(x["a"].alias("a"), x["b"].alias("b"), x["id"].alias("id"), start.alias("start"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.array_append(acc["out"], row).alias("out"))
-
-    item = F.struct("a", "b", F.col("id").alias("_i"), F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("id").cast("long").alias("id")).alias("item"))
-    if not df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_group).isEmpty():
-        raise ValueError(f"a group has more than {max_group} intervals")
-    grouped = df.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias("_items"))
-    return grouped.select(*keys, F.inline(F.aggregate("_items", begin, step)["out"]))
+    return _folded(df, keys, [F.asc("a"), F.asc("b"), F.asc("id")], _Cursor, {"start": "double", "stop": "double"})

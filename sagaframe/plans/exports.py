@@ -29,7 +29,7 @@ def flat_export_roundtrip(spark, sf):
 def stream_hourly_counts(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events*.parquet")
-    return windows.drain(windows.counts(stream, "ts", ["event_type"]), f"hourly_{uuid.uuid4().hex[:8]}", _shared(spark)).select(F.floor(micros("start") / 3_600_000_000).alias("hour"), "event_type", "n")
+    return windows.drain(windows.counts(stream, "ts", ["event_type"]), _shared(spark)).select(F.floor(micros("start") / 3_600_000_000).alias("hour"), "event_type", "n")
 
 
 @query("""WITH e AS (SELECT user_id, epoch_us(ts) AS us FROM events), f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < 7200000000 THEN 0 ELSE 1 END AS c FROM e),
@@ -38,5 +38,5 @@ SELECT user_id, CAST(min(us) AS BIGINT) AS a, CAST(max(us) + 7200000000 AS BIGIN
 def stream_sessions(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events*.parquet")
-    found = windows.drain(windows.sessions(stream, "ts", ["user_id"], "2 hours"), f"sessions_{uuid.uuid4().hex[:8]}", _shared(spark))
+    found = windows.drain(windows.sessions(stream, "ts", ["user_id"], "2 hours"), _shared(spark))
     return found.select("user_id", micros("start").alias("a"), micros("stop").alias("b"), "n")

@@ -23,8 +23,22 @@ def first_seen(units: DataFrame, time: str, key: str, late: str = "1 day") -> Da
     return units.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, through the stream into a memory table: for tests and small results."""
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """All that is there now, through the stream into Parquet under ``folder``, which all executors share.
+
+    Each batch is written as a table of its own by the executors, again if it is repeated after a failure. In
+    complete mode the last batch holds all rows, else they are those of all batches. Without any input there are no rows.
+    """
+    spark, rows = stream.sparkSession, f"{folder}/rows"
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch-{n}")
+
+    running = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    place = spark._jvm.org.apache.hadoop.fs.Path(rows)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = sorted(int(s.getPath().getName().split("-")[1]) for s in files.listStatus(place)) if files.exists(place) else []
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(f"{rows}/batch-{n}" for n in (batches[-1:] if mode == "complete" else batches)))

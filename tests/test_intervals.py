@@ -95,11 +95,20 @@ def test_colour(spark):
             last[lane] = slot
 
 
-def test_cursor_and_limit(spark):
+def test_cursor(spark):
     got = lanes.cursor(spans(spark, [(1, 1, 0, 4), (1, 2, 2, 3), (1, 3, 9, 9)]), ["k"]).orderBy("id").collect()
     assert [(r["start"], r["stop"]) for r in got] == [(0, 4), (4, 4.5), (9, 9.5)]
-    with pytest.raises(Exception, match="more than 1 intervals"):
-        lanes.pack(spans(spark, some(1)), ["k"], max_group=1).collect()
+    missing = spark.createDataFrame([(1, 1, None, 4), (1, 2, 2, 3)], "k long, id long, a long, b long")
+    assert [tuple(r) for r in lanes.pack(missing, ["k"]).orderBy("id").collect()] == [(1, 1, None, 4, None), (1, 2, 2, 3, 0)]
+    assert lanes.first_fit(missing.withColumn("p", F.lit(1)).limit(0), ["k"], "p").collect() == []
+
+
+def test_one_large_group(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).alias("k"), "id", (F.col("id") * 2).alias("a"), (F.col("id") * 2 + 5).alias("b"))
+    assert [tuple(r) for r in lanes.pack(rows, ["k"]).groupBy("lane").count().orderBy("lane").collect()] == [(0, n // 3), (1, n // 3), (2, n // 3)]
+    assert lanes.first_fit(rows.withColumn("p", F.col("id")), ["k"], "p").agg(F.max("lane"), F.count("*")).first()[:] == (2, n)
+    assert lanes.cursor(rows, ["k"]).count() == n
 
 
 @pytest.mark.parametrize("closed", [True, False])

@@ -123,9 +123,9 @@ def test_streams(spark, tmp_path):
     rows = [(1, "2024-01-01 00:10:00"), (1, "2024-01-01 00:20:00"), (1, "2024-01-01 03:00:00"), (2, "2024-01-01 00:59:00")]
     spark.createDataFrame(rows, "u int, t string").select("u", F.col("t").cast("timestamp").alias("t")).write.parquet(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema("u int, t timestamp").parquet(str(tmp_path / "in"))
-    hourly = windows.drain(windows.counts(stream(), "t", ["u"]), "t_counts", str(tmp_path / "c1"))
+    hourly = windows.drain(windows.counts(stream(), "t", ["u"]), str(tmp_path / "c1"))
     assert sorted((r["start"].hour, r["u"], r["n"]) for r in hourly.collect()) == [(0, 1, 2), (0, 2, 1), (3, 1, 1)]
-    spans = windows.drain(windows.sessions(stream(), "t", ["u"]), "t_sessions", str(tmp_path / "c2"))
+    spans = windows.drain(windows.sessions(stream(), "t", ["u"]), str(tmp_path / "c2"))
     assert sorted((r["u"], r["n"]) for r in spans.collect()) == [(1, 1), (1, 2), (2, 1)]
-    fresh = windows.drain(windows.first_seen(stream(), "t", "u"), "t_seen", str(tmp_path / "c3"), "append")
+    fresh = windows.drain(windows.first_seen(stream(), "t", "u"), str(tmp_path / "c3"), "append")
     assert sorted(r["u"] for r in fresh.collect()) == [1, 2]
