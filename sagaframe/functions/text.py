@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -109,12 +110,17 @@ def unit_key(key: Column, path: Column, span: Column) -> Column:
     return F.concat_ws("|", key.cast("string"), path, F.substring(F.sha1(span), 1, 12))
 
 
-def fragments(c: Column, size: int = 10, least: int = 6, most: int = 4) -> Column:
-    """Of each part between ellipses, dashes or slashes the first ``size`` characters, and as many from its
-    middle if it is twice as long; short ones are left out."""
-    parts = F.split(c, "…+|—+|[/／]")
-    cut = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) >= 2 * size, F.array(F.substring(p, 1, size), F.substring(p, F.floor(F.length(p) / 2).cast("int") + 1, F.lit(size)))).otherwise(F.array(F.substring(p, 1, size)))))
-    return F.slice(F.filter(cut, lambda x: F.length(x) >= least), 1, most)
+#: What separates the parts of a quotation.
+PARTS = r"[…⋯]+|\.{3,}|——|/|／"
+
+
+def fragments(c: Column, normal: Callable[[Column], Column] = lambda c: c, size: int = 10, least: int = 6, most: int = 4) -> Column:
+    """Of each part between ellipses, dashes or slashes, made ``normal``, the first ``size`` characters, and as many
+    from its middle if it is twice as long; short parts are left out."""
+    parts = F.filter(F.transform(F.split(c, PARTS), normal), lambda p: F.length(p) >= least)
+    middle = lambda p: F.substring(p, F.floor(F.length(p) / 2).cast("int") + 1, F.lit(size))
+    taken = F.transform(parts, lambda p: F.when(F.length(p) >= 2 * size, F.array(F.substring(p, 1, size), middle(p))).otherwise(F.array(F.substring(p, 1, size))))
+    return F.slice(F.flatten(taken), 1, most)
 
 
 def sliding_fragments(c: Column, size: int = 6, step: int = 3, most: int = 8, least: int = 4) -> Column:

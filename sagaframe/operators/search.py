@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sagaframe.functions import text as T
 from sagaframe.session import cut
@@ -25,6 +30,8 @@ def keyword(df: DataFrame, value: Column, keywords: Column, query: str) -> DataF
 
 
 CHUNK = 256
+#: Bytes of needles that go to the tasks, and of one automaton, which takes some fifty times as much.
+NEEDLE_BYTES, BLOCK_BYTES = 16 << 20, 2 << 20
 
 
 def grams(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
@@ -38,8 +45,59 @@ def grams(df: DataFrame, key: str, text: Column, size: int) -> DataFrame:
     return chunks.select(key, F.explode(F.array_distinct(every)).alias("gram"))
 
 
-def contained(needles: DataFrame, hay: DataFrame, needle_id: str, needle: str, hay_id: str, text: str, gram: int = 12) -> DataFrame:
-    """(needle_id, hay_id) where the needle is part of the text.
+def contained(needles: DataFrame, hay: DataFrame, needle_id: str, needle: str, hay_id: str, text: str, gram: int = 12, broadcast_bytes: int = NEEDLE_BYTES) -> DataFrame:
+    """(needle_id, hay_id) where the needle is part of the text; null and empty ones are part of none.
+
+    Needles of at most ``broadcast_bytes`` go to the tasks in blocks; each block becomes an Aho-Corasick automaton that
+    the texts are streamed through, so that only hits leave the scan. More needles are joined by ``by_grams``.
+    """
+    wanted = needles.select(needle_id, F.col(needle).alias("_n")).where(F.length("_n") > 0)
+    texts = wanted.select("_n").distinct()
+    if (texts.agg(F.sum(F.octet_length("_n"))).first()[0] or 0) > broadcast_bytes:
+        return by_grams(needles, hay, needle_id, needle, hay_id, text, gram)
+    slim, hits = hay.select(hay_id, F.col(text).alias("_t")).where(F.col("_t").isNotNull()), None
+    schema = f"`{hay_id}` {slim.schema[hay_id].dataType.simpleString()}, _n string"
+    for block in blocks(sorted(r["_n"] for r in texts.collect()), BLOCK_BYTES):
+        found = slim.mapInArrow(searched(slim.sparkSession.sparkContext.broadcast(block)), schema)
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        return hay.sparkSession.createDataFrame([], StructType([wanted.schema[needle_id], hay.schema[hay_id]]))
+    return hits.join(wanted, "_n").select(needle_id, hay_id).distinct()
+
+
+def blocks(texts: list[str], limit: int) -> Iterator[list[str]]:
+    """Runs of texts with about ``limit`` bytes each."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text.encode())
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def searched(block: Broadcast) -> Callable:
+    """For ``mapInArrow`` over (id, text): (id, needle) for each needle of the block in a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for needle in block.value:
+            automaton.add_word(needle, needle)
+        automaton.make_automaton()
+        for batch in batches:
+            hits = [(n, needle) for n, text in enumerate(batch.column(1)) for needle in {x for _, x in automaton.iter(text.as_py())}]
+            if hits:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([n for n, _ in hits])), pa.array([x for _, x in hits])], [batch.schema.names[0], "_n"])
+
+    return run
+
+
+def by_grams(needles: DataFrame, hay: DataFrame, needle_id: str, needle: str, hay_id: str, text: str, gram: int = 12) -> DataFrame:
+    """``contained`` for needles of any number, by joins alone; a row for each character of the texts.
 
     Of each needle one gram, its rarest, is looked up among the texts' grams; only texts that have it
     are searched. Needles shorter than a gram are matched by themselves as grams of their length.
@@ -58,20 +116,29 @@ def contained(needles: DataFrame, hay: DataFrame, needle_id: str, needle: str, h
     return out
 
 
-def staged(units: DataFrame, corpus: DataFrame, unit_id: str, span: str, doc_id: str, text: str) -> DataFrame:
-    """(unit_id, stage, doc_id): the first stage that finds a unit, and the first document it is found in.
+def staged(units: DataFrame, corpus: DataFrame, unit_id: str, span: str, doc_id: str, text: str, own: DataFrame | None = None, normal: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """(unit_id, stage, doc_id): the first stage that finds a unit, and the document that its first found part is in (of several the least).
 
-    Stages go from whole spans over fixed fragments to short shingles; a later one only sees what is
-    left. Of fragments one must be found if there are one or two, else half, rounded up.
+    Stages go from whole spans over fixed fragments to short shingles; a later one only sees what is left.
+    Parts are looked for in the whole corpus, not in one document: one must be found if there are one or
+    two, else half, rounded up. With ``own`` texts (unit_id, text) a stage of that name comes first: half
+    of a unit's fragments in its own text; it has no document. Spans and texts are compared by ``normal``.
     """
-    stages = [("whole", lambda c: F.array(c)), ("fragment", T.fragments), ("shingle", T.sliding_fragments)]
+    stages = [("whole", lambda c: F.array(normal(c))), ("fragment", lambda c: T.fragments(c, normal)), ("shingle", lambda c: T.sliding_fragments(normal(c)))]
+    texts = corpus.select(doc_id, normal(F.col(text)).alias("_text"))
     left, out = units.select(unit_id, F.col(span).alias("_span")), None
+    if own is not None:
+        mine = left.join(own.select(unit_id, normal(F.col("text")).alias("_own")), unit_id).withColumn("_parts", T.fragments(F.col("_span"), normal))
+        half = F.size(F.filter("_parts", lambda x: F.contains("_own", x))) * 2 >= F.size("_parts")
+        out = cut(mine.where((F.size("_parts") > 0) & half).select(unit_id, F.lit("own").alias("stage"), F.lit(None).cast(corpus.schema[doc_id].dataType).alias(doc_id)).distinct())
+        left = left.join(out.select(unit_id), unit_id, "left_anti")
     for stage, split in stages:
         parts = cut(left.select(unit_id, F.posexplode(split(F.col("_span"))).alias("_i", "_part")).withColumn("_key", F.concat_ws("#", F.col(unit_id).cast("string"), "_i")))
-        hits = contained(parts, corpus, "_key", "_part", doc_id, text, 6 if stage == "shingle" else 10)
+        hits = contained(parts, texts, "_key", "_part", doc_id, "_text", 6 if stage == "shingle" else 10)
         need = parts.groupBy(unit_id).agg(F.when(F.count("*") <= 2, 1).otherwise(F.ceil(F.count("*") / 2)).alias("_need"))
-        per = hits.join(parts.select("_key", unit_id), "_key").groupBy(unit_id, doc_id).agg(F.count_distinct("_key").alias("_n"))
-        best = cut(per.join(need, unit_id).where("_n >= _need").groupBy(unit_id).agg(F.min(doc_id).alias(doc_id)).select(unit_id, F.lit(stage).alias("stage"), doc_id))
+        first = hits.groupBy("_key").agg(F.min(doc_id).alias(doc_id)).join(parts.select("_key", "_i", unit_id), "_key")
+        per = first.groupBy(unit_id).agg(F.count("*").alias("_n"), F.min_by(doc_id, "_i").alias(doc_id))
+        best = cut(per.join(need, unit_id).where("_n >= _need").select(unit_id, F.lit(stage).alias("stage"), doc_id))
         out = best if out is None else out.union(best)
         left = left.join(best.select(unit_id), unit_id, "left_anti")
     return out

@@ -49,7 +49,7 @@ def keyed_units(spark, sf):
     return units.select("doc_id", F.col("i").cast("long").alias("i"), "span", T.unit_key(F.col("doc_id"), F.lit("text"), F.col("span")).alias("key"))
 
 
-@query("""WITH p AS (SELECT item_id, unnest(regexp_split_to_array(text, '…+|—+|[/／]')) AS p, generate_subscripts(regexp_split_to_array(text, '…+|—+|[/／]'), 1) AS i FROM benchmark),
+@query(rf"""WITH p AS (SELECT item_id, unnest(regexp_split_to_array(text, '{T.PARTS}')) AS p, generate_subscripts(regexp_split_to_array(text, '{T.PARTS}'), 1) AS i FROM benchmark),
 f AS (SELECT item_id, i, 0 AS j, substr(p, 1, 10) AS x FROM p UNION ALL SELECT item_id, i, 1, substr(p, length(p) // 2 + 1, 10) FROM p WHERE length(p) >= 20),
 g AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i, j) AS r FROM f WHERE length(x) >= 6)
 SELECT item_id, string_agg(x, '|' ORDER BY r) AS parts FROM g WHERE r <= 4 GROUP BY 1""")
@@ -75,7 +75,19 @@ def staged_whole(spark, sf):
     return pairs.groupBy("item_id").agg(F.min("doc_id").alias("doc_id")).select("item_id", F.lit("whole").alias("stage"), "doc_id")
 
 
-@query()
+@query(rf"""WITH whole AS (SELECT item_id, min(doc_id) AS doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1),
+l1 AS (SELECT item_id, text FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM whole)),
+p AS (SELECT item_id, unnest(regexp_split_to_array(text, '{T.PARTS}')) AS p, generate_subscripts(regexp_split_to_array(text, '{T.PARTS}'), 1) AS i FROM l1),
+f AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY i, j) AS r FROM (SELECT item_id, i, 0 AS j, substr(p, 1, 10) AS x FROM p WHERE length(p) >= 6 UNION ALL SELECT item_id, i, 1, substr(p, length(p) // 2 + 1, 10) FROM p WHERE length(p) >= 20)),
+f4 AS (SELECT item_id, r, x, count(*) OVER (PARTITION BY item_id) AS n FROM f WHERE r <= 4),
+fh AS (SELECT item_id, r, n, min(doc_id) AS doc_id FROM f4 JOIN documents d ON contains(d.text, x) GROUP BY 1, 2, 3),
+frag AS (SELECT item_id, arg_min(doc_id, r) AS doc_id FROM fh GROUP BY item_id, n HAVING count(*) >= CASE WHEN n <= 2 THEN 1 ELSE ceil(n / 2) END),
+l2 AS (SELECT item_id, text FROM l1 WHERE item_id NOT IN (SELECT item_id FROM frag)),
+s AS (SELECT item_id, i AS r, CASE WHEN length(text) >= 6 THEN substr(text, CAST(1 + 3 * i AS BIGINT), 6) ELSE text END AS x FROM (SELECT item_id, text, unnest(generate_series(0, greatest(0, least(7, (length(text) - 6) // 3)))) AS i FROM l2 WHERE length(text) >= 4)),
+s8 AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS n FROM s),
+sh AS (SELECT item_id, r, n, min(doc_id) AS doc_id FROM s8 JOIN documents d ON contains(d.text, x) GROUP BY 1, 2, 3),
+shingle AS (SELECT item_id, arg_min(doc_id, r) AS doc_id FROM sh GROUP BY item_id, n HAVING count(*) >= CASE WHEN n <= 2 THEN 1 ELSE ceil(n / 2) END)
+SELECT item_id, 'whole' AS stage, doc_id FROM whole UNION ALL SELECT item_id, 'fragment', doc_id FROM frag UNION ALL SELECT item_id, 'shingle', doc_id FROM shingle""")
 def staged_containment(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"))
     return search.staged(table(spark, sf, "benchmark"), docs, "item_id", "text", "doc_id", "body")

@@ -103,7 +103,11 @@ def test_provenance_and_containment(spark):
     assert [tuple(r) for r in corpus.provenance(books, wanted, {"乱": "亂"}).collect()] == [("天下大乱之時", "p1")]
     needles = spark.createDataFrame([(1, "abcdefghijklmnop"), (2, "xy"), (3, ""), (4, "zzzzzzzzzzzzzzzz")], "i int, n string")
     hay = spark.createDataFrame([(10, "..abcdefghijklmnop.."), (11, "xy"), (12, None)], "h int, t string")
-    assert {tuple(r) for r in search.contained(needles, hay, "i", "n", "h", "t").collect()} == {(1, 10), (2, 11)}
+    for broadcast_bytes in (0, 1 << 20):
+        assert {tuple(r) for r in search.contained(needles, hay, "i", "n", "h", "t", broadcast_bytes=broadcast_bytes).collect()} == {(1, 10), (2, 11)}
+    none = search.contained(needles.where("i = 3"), hay, "i", "n", "h", "t")
+    assert none.collect() == [] and none.columns == ["i", "h"]
+    assert list(search.blocks(["ab", "c", "d"], 2)) == [["ab"], ["c", "d"]]
 
 
 def test_staged_search(spark):
@@ -112,6 +116,15 @@ def test_staged_search(spark):
     assert {tuple(r) for r in search.staged(units, hay, "i", "s", "d", "t").collect()} == {(1, "whole", 7), (2, "fragment", 8)}
 
 
+def test_staged_search_counts_parts_in_the_whole_corpus(spark):
+    units = spark.createDataFrame([(1, "ABCDEFGHIJ⋯klmnopqrst...uvwxyzab——0123456789"), (2, "only in its own text"), (3, "ABCDEFGHIJ/not there/nor there")], "i int, s string")
+    hay = spark.createDataFrame([(9, "..klmnopqrst.."), (7, "x uvwxyzab"), (8, "UVWXYZAB, klmnopqrst")], "d int, t string")
+    own = spark.createDataFrame([(2, "it is ONLY IN ITS own text"), (1, "nothing")], "i int, text string")
+    got = {tuple(r) for r in search.staged(units, hay, "i", "s", "d", "t", own, F.lower).collect()}
+    # of the first unit's four parts two are found, in different documents; the first of them in 8 and 9
+    assert got == {(1, "fragment", 8), (2, "own", None)}
+
+
 def test_token_search(spark):
     df = spark.createDataFrame([(1, "abc かな"), (2, "abc")], "i int, t string")
     assert [r["i"] for r in search.multi_token(df, F.col("t"), " ａｂｃ　カナ ").collect()] == [1]
