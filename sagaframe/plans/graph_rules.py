@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagaframe.functions import dates as D
@@ -102,6 +102,38 @@ def orphans(people: DataFrame, edges: DataFrame) -> DataFrame:
     return people.join(touched, "id", "left_anti").select(F.col("id").alias("key"), F.lit("touched by no edge").alias("detail"))
 
 
+def sources(rows: DataFrame, recognised: Column, required: bool = True) -> DataFrame:
+    """Rows (key, page) with a source that is missing, if it is ``required``, empty, or not ``recognised``; ``source`` tells whether there is one."""
+    none = ~F.coalesce("source", F.lit(False))
+    empty = F.coalesce(F.col("page"), F.lit("")) == ""
+    parts = [quality.where(rows, "key", ~none & empty, "the source names no page"), quality.where(rows, "key", ~none & ~empty & ~F.coalesce(recognised, F.lit(False)), "a source that isn't recognised")]
+    return _union([*parts, quality.where(rows, "key", none, "no source")] if required else parts)
+
+
+def claims(told: DataFrame, records: DataFrame, recognised: Column) -> DataFrame:
+    """Claims (claimant, claimedAncestry, source, page) by nobody known, of nothing, or without a recognised source."""
+    each = told.withColumn("key", F.coalesce("claimant", F.lit("-")))
+    lost = each.join(records.select(F.col("id").alias("claimant")), "claimant", "left_anti")
+    empty = F.coalesce(F.col("claimedAncestry"), F.lit("")) == ""
+    return _union([lost.select("key", F.lit("nobody's claim").alias("detail")), quality.where(each, "key", empty, "claims nothing"), sources(each, recognised)])
+
+
+#: The members of a graph document, and its phases.
+MEMBERS = ("meta", "persons", "edges", "genealogicalClaims")
+PHASES = ("succession", "parentage", "interdynastic", "crosscheck")
+
+
+def _named(kind: str):
+    return lambda name: F.concat(F.lit(kind), name)
+
+
+def structure(documents: DataFrame) -> DataFrame:
+    """Members and phases that a graph document (path, text as JSON) lacks."""
+    inside = [(F.json_object_keys("text"), MEMBERS, ""), (F.json_object_keys(F.get_json_object("text", "$.meta.status.phases")), PHASES, "phase ")]
+    lacking = F.flatten(F.array(*(F.transform(F.array_except(F.array(*map(F.lit, names)), F.coalesce(found, F.array().cast("array<string>"))), _named(kind)) for found, names, kind in inside)))
+    return documents.select(F.col("path").alias("key"), F.explode(lacking).alias("detail"))
+
+
 def rules(people: DataFrame, edges: DataFrame, records: DataFrame, rootless: tuple[str, ...] = (), complete: bool = True, vocabularies: dict[str, list[str]] | None = None) -> list[Rule]:
     """The suite. Coverage is only asked for a ``complete`` graph; the ids in ``rootless`` may lack an edge and go stale."""
     every = records.select("id").union(people.select("id"))

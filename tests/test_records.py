@@ -174,3 +174,17 @@ def test_quotation_ledger(spark):
     corpus = spark.createDataFrame([(1, "a quick brown fox jumps over the lazy dog"), (2, "the quick brown fox")], "doc_id int, text string")
     got = {r["key"]: (r["status"], r["doc_id"]) for r in graph_rules.quotations(units, known, corpus).collect()}
     assert got == {"k1": ("whole", 2), "k2": ("manual", None), "k3": ("unresolved", None), "k4": ("whole", 1)}
+
+
+def test_graph_sources_claims_and_structure(spark):
+    listed = F.col("page").contains("書")
+    rows = spark.createDataFrame([("a", True, "漢書"), ("b", True, ""), ("c", True, "a wiki"), ("d", None, None), ("e", True, None)], "key string, source boolean, page string")
+    got = {tuple(r) for r in graph_rules.sources(rows, listed).collect()}
+    assert got == {("b", "the source names no page"), ("e", "the source names no page"), ("c", "a source that isn't recognised"), ("d", "no source")}
+    assert {r["key"] for r in graph_rules.sources(rows, listed, required=False).collect()} == {"b", "c", "e"}
+    told = spark.createDataFrame([("x", "a king", True, "漢書"), ("y", "", True, "漢書"), (None, "a king", None, None)], "claimant string, claimedAncestry string, source boolean, page string")
+    known = spark.createDataFrame([("x",), ("y",)], "id string")
+    assert sorted(tuple(r) for r in graph_rules.claims(told, known, listed).collect()) == [("-", "no source"), ("-", "nobody's claim"), ("y", "claims nothing")]
+    texts = [("whole", '{"meta": {"status": {"phases": {"succession": 1, "parentage": 1, "interdynastic": 1, "crosscheck": 1}}}, "persons": [], "edges": [], "genealogicalClaims": []}'), ("part", '{"meta": {}, "persons": [], "edges": []}'), ("none", None)]
+    lacks = graph_rules.structure(spark.createDataFrame(texts, "path string, text string")).groupBy("key").count().collect()
+    assert {r["key"]: r["count"] for r in lacks} == {"part": 5, "none": 8}
