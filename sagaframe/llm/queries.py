@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sagaframe.llm import decontaminate, linededup, mixing, pii, quality, qualityrules, sharding, simhash, substring, urlrules
+from sagaframe.llm import centroids, decontaminate, fim, linededup, minhash, mixing, pii, quality, qualityrules, sharding, simhash, substring, urlrules
 from sagaframe.llm.common import checkpoint_dir, documents
 
 
@@ -54,7 +54,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qualityrules.judge(documents(spark, sf_dir)).withColumn("failed", F.array_join("failed", ", "))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_url_rules, op3_personal_data, op4_shards, op5_decontaminate, op6_lines, op7_mixture, op8_passages, op9_classifier, op10_quality_rules)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return made.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_url_rules, op3_personal_data, op4_shards, op5_decontaminate, op6_lines, op7_mixture, op8_passages, op9_classifier, op10_quality_rules, op11_fill_in_middle, op12_centroids, op13_minhash)}
 
 #: Statements that DuckDB can run; the other operators are tested against brute force.
 ORACLES: dict[str, str] = {
@@ -78,4 +93,6 @@ kept AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.i) AS text, count(*) A
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
     "op10_quality_rules": qualityrules.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op12_centroids": centroids.oracle(),
 }

@@ -1,6 +1,7 @@
 """Plain versions of the operators, written from their contracts."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -119,3 +120,62 @@ def mixture(rows):
         if not above:
             return {s: (size[s], target[s]) for s in order}
         capped |= above
+
+
+def cut_in_the_middle(doc_id, text):
+    """(n, form, prefix, middle, output) of operator 11."""
+    t = text or ""
+    units = re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+", t)
+    h = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[i : i + 8], 16) for i in range(0, 32, 8))
+    if not t or any(m in t for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 50:
+        return len(units), "plain", None, None, t
+    a, b = sorted((h1 % (len(units) + 1), h2 % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    spm = h4 % 100 < 80
+    return len(units), "spm" if spm else "psm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}" if spm else f"<P>{p}<S>{s}<M>{m}"
+
+
+def clusters(rows, k=8, rounds=10, scale=1024, seed=3):
+    """(id, cluster, distance, inertia of the cluster, inertia, centroid) of operator 12, for rows of (id, kept vector)."""
+    made = [(i, tuple(math.floor(scale * x) for x in v)) for i, v in rows]
+    first = sorted((hashlib.sha256(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), v) for i, v in made)
+    centers = [v for _, v in first[:k]]
+    apart = lambda v, c: sum((x - y) ** 2 for x, y in zip(v, c))
+    nearest = lambda v: min(range(len(centers)), key=lambda j: (apart(v, centers[j]), j))
+    for _ in range(rounds):
+        own = defaultdict(list)
+        for _, v in made:
+            own[nearest(v)].append(v)
+        centers = [tuple(sum(x) // len(own[j]) for x in zip(*own[j])) if own[j] else c for j, c in enumerate(centers)]
+    told = [(i, j := nearest(v), apart(v, centers[j])) for i, v in made]
+    each = Counter()
+    for _, j, d in told:
+        each[j] += d
+    return [(i, j, d, each[j], sum(each.values()), centers[j]) for i, j, d in told]
+
+
+def similar_components(rows, shingle=2, percent=80):
+    """(id, size, component, kept) of operator 13, over every pair that has a shingle in common."""
+    made = []
+    for _, t in rows:
+        w = words((t or "").translate(LOWER))
+        made.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    parent, holders = list(range(len(rows))), defaultdict(list)
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(made):
+        for j, n in Counter(j for x in a for j in holders[x]).items():
+            if 100 * n >= percent * (len(a) + len(made[j]) - n):
+                parent[find(i)] = find(j)
+        for x in a:
+            holders[x].append(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [(d, len(made[i]), c := least.get(find(i)), d is not None and d == c) for i, (d, _) in enumerate(rows)]

@@ -26,8 +26,9 @@ def test_patterns(text):
 def test_patterns_on_long_runs():
     for text in ("a" * 50_000 + "@", "1" * 50_000, "1." * 30_000, "+1" + "-" * 50_000, "1-" * 30_000):
         began = time.monotonic()
-        assert len(pii.base_spans(text)) <= 1
+        found = pii.base_spans(text)
         assert time.monotonic() - began < 20  # linear, not quadratic in the run
+        assert found == brute.spans(text) if text[:2] == "1." else len(found) <= 1
 
 
 def test_personal_data(spark):
