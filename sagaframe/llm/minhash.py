@@ -68,35 +68,36 @@ def node_of(hashes: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, node, n_shingles, signature) of documents (doc_id, key, text): key names the text, node its set; the signature is null where the set is empty or the task had it before."""
+    """(doc_id, key, node, n_shingles, signature, sketch) of documents (doc_id, key, text): key names the text, node its set; the last two are null where the set is empty or the task had it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, tuple[int, int]] = {}
         nodes: set[int] = set()
         for batch in (part for whole in batches for part in portions(whole)):
-            named, made = [], []
+            named, made, drawn = [], [], []
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text")):
                 made.append(None)
+                drawn.append(None)
                 if key not in texts:
                     own = shingles(text.as_py(), shingle)
                     node = node_of(own)
                     texts[key] = node, len(own)
                     if len(own) and node not in nodes:
                         nodes.add(node)
-                        made[-1] = signature(own)
+                        made[-1], drawn[-1] = signature(own), sketch(own)
                 named.append(texts[key])
             if len(texts) > BROADCAST_NODES:
                 texts.clear()
                 nodes.clear()
             node, size = zip(*named)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "key", "node", "n_shingles", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(made, pa.list_(pa.int64())), pa.array(drawn, pa.list_(pa.int64()))], ["doc_id", "key", "node", "n_shingles", "signature", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key long, node long, n_shingles long, signature array<long>")
+    return docs.select("doc_id", "key", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key long, node long, n_shingles long, signature array<long>, sketch array<long>")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles, sketch) of the ``wanted`` (key, node), from documents (key, text); written as a table."""
+    """(node, shingles) of the ``wanted`` (key, node), from documents (key, text); written as a table."""
     spark, path = docs.sparkSession, f"{checkpoint_dir(docs.sparkSession)}/sets-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,16 +107,16 @@ def sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             seen.update(new)
             if len(seen) > BROADCAST_NODES:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([x.view(np.int64) for x in new.values()], pa.list_(pa.int64())), pa.array([sketch(x) for x in new.values()], pa.list_(pa.int64()))], ["node", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64()), pa.array([x.view(np.int64) for x in new.values()], pa.list_(pa.int64()))], ["node", "shingles"])
 
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    each = docs.join(few, "key").select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>, sketch array<long>")
-    each.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("sketch").alias("sketch")).write.option("compression", "none").parquet(path)
+    each = docs.join(few, "key").select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, shingles array<long>")
+    each.groupBy("node").agg(F.first("shingles").alias("shingles")).write.option("compression", "none").parquet(path)
     return spark.read.parquet(path)
 
 
 def posts(nodes: DataFrame) -> DataFrame:
-    """(token, node, central, size, signature): the lists that are merged, each node under the rarest of its shared values.
+    """(token, node, central): the lists that are merged, each node under the rarest of its shared values.
 
     ``central`` is how often a node's values are shared in all: what other texts are copies of comes before those copies.
     """
@@ -125,7 +126,7 @@ def posts(nodes: DataFrame) -> DataFrame:
     prefix = F.slice("shared", 1, F.size("shared") - (MATCHES - 1))
     central = F.aggregate("shared", F.lit(0).cast("long"), lambda n, x: n + x["n"])
     kept = each.where(F.size("shared") >= MATCHES).select("node", F.transform(prefix, lambda x: x["token"]).alias("prefix"), central.alias("central"))
-    return kept.join(nodes, "node").select(F.explode("prefix").alias("token"), "node", "central", "size", "signature")
+    return kept.select(F.explode("prefix").alias("token"), "node", "central")
 
 
 def collisions(a: str, b: str) -> Column:
@@ -138,11 +139,26 @@ def apart(a: str, b: str) -> Column:
     return functools.reduce(Column.__add__, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)))
 
 
-def confirmed(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs (src, dst) whose sets have ``percent`` or more of their union in common."""
-    a, b = (whole.select(F.col("node").alias(end), F.col("shingles").alias(f"_{end}")) for end in ("src", "dst"))
-    same, both = F.size(F.array_intersect("_src", "_dst")), F.size("_src") + F.size("_dst")
-    return cut(pairs.join(a, "src").join(b, "dst").where(100 * same >= percent * (both - same)).select("src", "dst"))
+def _sided(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (src, dst) with columns of their nodes as ``a_`` and ``b_``."""
+    for end, mark in (("dst", "b"), ("src", "a")):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{mark}_{c}") for c in columns)), end)
+    return pairs
+
+
+def alike(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and sketches allow ``percent`` in common; a pair that has it fails with a probability of 2e-7."""
+    sizes = F.col(f"{a}size"), F.col(f"{b}size")
+    return (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (apart(f"{a}sketch", f"{b}sketch") <= APART)
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (src, dst) with MATCHES collisions or more whose sets have ``percent`` or more of their union in common."""
+    retained = cut(_sided(pairs, nodes, "signature").where(collisions("a_signature", "b_signature") >= MATCHES).select("src", "dst"))
+    ends = retained.select(F.col("src").alias("node")).union(retained.select("dst")).distinct()
+    whole = sets(docs, nodes.join(ends, "node", "left_semi").select("key", "node"), shingle)
+    same, both = F.size(F.array_intersect("a_shingles", "b_shingles")), F.size("a_shingles") + F.size("b_shingles")
+    return cut(_sided(retained, whole, "shingles").where(100 * same >= percent * (both - same)).select("src", "dst"))
 
 
 def _rooted(lists: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -160,15 +176,8 @@ def _pairs(rooted: DataFrame) -> float:
 
 
 def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Edges (src, dst) among nodes (node, key, size, signature) with the components of all retained and confirmed pairs."""
-    lists = cut(posts(nodes.select("node", "size", "signature")))
-    whole = sets(docs, nodes.join(lists.select("node").distinct(), "node", "left_semi").select("key", "node"), shingle)
-    lists = lists.join(whole.select("node", "sketch"), "node")
-
-    def fits(a: str, b: str) -> Column:
-        sizes = F.col(f"{a}.size"), F.col(f"{b}.size")
-        return (F.col(f"{a}.root") != F.col(f"{b}.root")) & (100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (apart(f"{a}.sketch", f"{b}.sketch") <= APART) & (collisions(f"{a}.signature", f"{b}.signature") >= MATCHES)
-
+    """Edges (src, dst) among nodes (node, key, size, signature, sketch) with the components of all retained and confirmed pairs."""
+    lists = cut(posts(nodes.select("node", "signature")))
     found = tried = None
     left = float("inf")
     while True:
@@ -179,17 +188,17 @@ def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Data
             if not left:
                 return found
         last = found is not None and left > SHRINKS * was
-        x = rooted.alias("x")
         if last:
-            pairs = x.join(rooted.alias("y"), "token").where((F.col("x.node") < F.col("y.node")) & fits("x", "y")).select(F.col("x.node").alias("src"), F.col("y.node").alias("dst"))
+            x, y = (rooted.join(nodes.select("node", "size", "sketch"), "node").select("token", *(F.col(c).alias(f"{mark}_{c}") for c in ("node", "root", "size", "sketch"))) for mark in "ab")
+            pairs = x.join(y, "token").where("a_node < b_node AND a_root <> b_root").where(alike("a_", "b_", percent)).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")).distinct()
         else:
             # A list's lead is its most central node, later the most central one outside the component that is in it most.
             heads = rooted if found is None else rooted.join(rooted.groupBy("token").agg(F.mode("root").alias("_most")), "token").where("root <> _most")
-            lead = heads.groupBy("token").agg(F.max(F.struct("central", "node", "size", "signature", "sketch", "root")).alias("y"))
-            pairs = x.join(lead, "token").where(fits("x", "y")).select(F.least("x.node", "y.node").alias("src"), F.greatest("x.node", "y.node").alias("dst"))
-        pairs = pairs.distinct()
+            lead = heads.groupBy("token").agg(F.max(F.struct("central", "node", "root")).alias("y"))
+            pairs = rooted.join(lead, "token").where("root <> y.root").select(F.least("node", "y.node").alias("src"), F.greatest("node", "y.node").alias("dst")).distinct()
+            pairs = _sided(pairs, nodes, "size", "sketch").where(alike("a_", "b_", percent)).select("src", "dst")
         pairs = cut(pairs.join(tried, ["src", "dst"], "left_anti") if tried is not None else pairs)
-        near = confirmed(pairs, whole, percent)
+        near = confirmed(pairs, nodes, docs, shingle, percent)
         tried, found = (pairs, near) if tried is None else (tried.union(pairs), found.union(near))
         if last:
             return found
@@ -206,10 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     each = cut(signatures(slim, shingle))
-    nodes = cut(each.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("signature", ignorenulls=True).alias("signature")))
+    nodes = cut(each.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("size"), F.first("signature", ignorenulls=True).alias("signature"), F.first("sketch", ignorenulls=True).alias("sketch")))
     roots = connected_components(links(nodes, slim, shingle, percent)).withColumnRenamed("root", "_root")
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("_root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("node", "component_id")
-    told = each.join(classes, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    told = each.select("doc_id", "node", "n_shingles").join(classes, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return told.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
