@@ -1,8 +1,9 @@
 """Size-tiered compaction of immutable shards under a versioned manifest, with DataFrame operations only.
 
-A run is a folder of shards that nobody changes. Arrivals are runs of small shards; runs whose sizes
-fall into one tier are merged, ``fan_in`` at a time, into a run of target-sized files, without a
-shuffle. A manifest version names the live runs. It is written aside and renamed into place, which
+A run is a folder of shards that nobody changes. Arrivals are runs of small shards; once ``fan_in`` runs
+or more have sizes of one tier, all of them are merged into a run of target-sized files, without a shuffle.
+Runs may differ in their columns: a merged run has the columns of all, null where a run lacks one; a column
+of two types that Parquet can't reconcile is an error before anything is committed. A manifest version names the live runs. It is written aside and renamed into place, which
 happens whole or not at all, so that readers see one version or the next. Of two writers that find a
 version free at once, the file system lets one folder take the place; the other's goes inside it,
 which that writer sees, takes away and fails, so that the store stays as the first one left it. The file
@@ -44,13 +45,14 @@ class ShardStore:
         return [r.asDict() for r in self.spark.read.schema(_MANIFEST).json(f"{self.root}/manifests/v{version:08d}").orderBy("run").collect()]
 
     def commit(self, runs: list[dict], version: int) -> int:
-        """Make ``runs`` the manifest of ``version``; fails if someone else has."""
+        """Make ``runs`` the manifest of ``version``; fails if someone else has, and then deletes what only it would have named."""
         own, place = f"_{uuid.uuid4().hex}", f"{self.root}/manifests/v{version:08d}"
         aside = f"{self.root}/manifests/{own}"
         self.spark.createDataFrame([tuple(r[c] for c in ("run", "tier", "path", "bytes", "files")) for r in runs], _MANIFEST).coalesce(1).write.json(aside)
         moved = not self._taken(place) and self._files.rename(self._paths(aside), self._paths(place))
         if not moved or self._files.exists(self._paths(f"{place}/{own}")):
-            for lost in (aside, f"{place}/{own}"):
+            named = {r["path"] for v in self.versions() for r in self.runs(v)}
+            for lost in (aside, f"{place}/{own}", *(r["path"] for r in runs if r["path"] not in named)):
                 self._files.delete(self._paths(lost), True)
             raise FileExistsError(f"version {version} was committed by another writer")
         return version
@@ -81,7 +83,7 @@ class ShardStore:
     def _merge(self, runs: list[dict], name: str) -> dict:
         size = sum(r["bytes"] for r in runs)
         path = f"{self.root}/runs/{name}-{uuid.uuid4().hex[:8]}"
-        self.spark.read.parquet(*(r["path"] for r in runs)).coalesce(max(1, round(size / self.target_bytes))).write.option("parquet.block.size", _ROW_GROUP).parquet(path)
+        self.spark.read.option("mergeSchema", "true").parquet(*(r["path"] for r in runs)).coalesce(max(1, round(size / self.target_bytes))).write.option("parquet.block.size", _ROW_GROUP).parquet(path)
         return self._run(name, path)
 
     def compact(self) -> int:

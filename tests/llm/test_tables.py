@@ -132,6 +132,33 @@ def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
     assert store.commit(first, 2) == 2
 
 
+def test_runs_of_different_columns_merge(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path), fan_in=2)
+    store.append(spark.createDataFrame([(1, "x")], "a int, b string"))
+    store.append(spark.createDataFrame([(2, 2.5)], "a int, c double"))
+    schema = "a int, b string, c double"
+    before = Counter((r["a"], r["b"], r["c"]) for r in store.read(schema).collect())
+    store.compact()
+    store.vacuum()
+    assert len(store.runs()) == 1 and before == Counter([(1, "x", None), (2, None, 2.5)])
+    assert Counter((r["a"], r["b"], r["c"]) for r in store.read(schema).collect()) == before
+    store.append(spark.createDataFrame([("three",)], "a string"))
+    last = store.versions()[-1]
+    with pytest.raises(Exception, match="(?i)merg|type"):
+        store.compact()
+    assert store.versions()[-1] == last and len(store.runs()) == 2
+
+
+def test_a_lost_commit_leaves_no_runs(spark, tmp_path, monkeypatch):
+    store = sharding.ShardStore(spark, str(tmp_path))
+    store.append(spark.createDataFrame([(1,)], "a int"))
+    monkeypatch.setattr(store, "versions", lambda: [])  # it hasn't seen the other's version yet
+    with pytest.raises(FileExistsError):
+        store.append(spark.createDataFrame([(2,)], "a int"))
+    monkeypatch.undo()
+    assert [r["a"] for r in store.read("a int").collect()] == [1]
+
+
 def test_shards_with_maps(spark, tmp_path):
     df = spark.sql("SELECT 1 AS i, map('a', 2) AS m, array(named_struct('n', map(1, 'x'))) AS s")
     assert sharding.shard(df, str(tmp_path)).drop("run", "shard").collect() == df.collect()
