@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+BROADCAST_RANGES, BUCKETS = 1_000_000, 64
+
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], width: int, closed: bool = True) -> DataFrame:
     """Pairs of intervals [a, b] and [ra, rb] of equal keys that overlap; open intervals with closed=False.
@@ -55,6 +59,51 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, take: l
     return both.select(*left.columns, choose("_place").alias("near_at"), *(choose(c).alias(f"near_{c}") for c in take))
 
 
+def nearest_span(points: DataFrame, spans: DataFrame, keys: list[str], at: str, take: list[str]) -> DataFrame:
+    """``points`` with near_a, near_b and ``take`` (near_*) of the nearest span [a, b] of equal keys, and its ``distance``, 0 inside.
+
+    Of spans as near the first by a, b and ``take`` wins. Only spans that end later than all before them can
+    win, and their ends rise with their starts: so the first of them that ends at or after the point, and the
+    last that ends before it, are all there is to compare, two as-of joins instead of all pairs.
+    """
+    order = Window.partitionBy(*keys).orderBy("a", "b", *(c for c in take if c not in ("a", "b")))
+    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rising = spans.withColumn("_reach", reach).where("_reach IS NULL OR b > _reach").select(*keys, F.col("b").alias(at), F.struct("b", "a", *(F.col(c).alias(f"_{c}") for c in take)).alias("_span"))
+    back = asof(points, rising, keys, at, ["_span"]).withColumnRenamed("_span", "_back")
+    both = asof(back, rising, keys, at, ["_span"], forward=True)
+    after, before = F.greatest(F.col("_span.a") - F.col(at), F.lit(0)), F.col(at) - F.col("_back.b")
+    best = F.when(F.col("_back").isNotNull() & (F.col("_span").isNull() | (before <= after) & (after > 0)), F.col("_back")).otherwise(F.col("_span"))
+    told = both.withColumn("_best", best)
+    distance = F.greatest(F.col("_best.a") - F.col(at), F.col(at) - F.col("_best.b"), F.lit(0))
+    return told.select(*points.columns, F.col("_best.a").alias("near_a"), F.col("_best.b").alias("near_b"), F.when(F.col("_best").isNotNull(), distance).alias("distance"), *(F.col(f"_best._{c}").alias(f"near_{c}") for c in take))
+
+
+def in_ranges(points: DataFrame, ranges: DataFrame, at: str, take: list[str], bound: int = BROADCAST_RANGES, buckets: int = BUCKETS) -> DataFrame:
+    """``points`` with ``take`` of the range [a, b] that holds ``at``, null outside of all; ranges don't overlap.
+
+    Up to ``bound`` ranges go to the tasks as sorted arrays of 16 bytes a range and are searched by halving;
+    more are dealt into buckets between quantiles of their starts, each of which joins its points as of the
+    last start.
+    """
+    if ranges.count() <= bound:
+        held = ranges.select("a", "b").orderBy("a").toPandas()
+        starts, stops = held["a"].to_numpy(), held["b"].to_numpy()
+
+        @F.pandas_udf("long")
+        def start(x: pd.Series) -> pd.Series:
+            i = np.searchsorted(starts, x.to_numpy(), side="right") - 1
+            inside = (i >= 0) & (x.to_numpy() <= stops[i]) if len(starts) else np.zeros(len(x), bool)
+            return pd.Series(starts[i] if len(starts) else np.zeros(len(x), np.int64)).where(inside).astype("Int64")
+
+        found = points.withColumn("_a", F.when(F.col(at).isNotNull(), start(F.coalesce(F.col(at), F.lit(0)).cast("long"))))
+        return found.join(ranges.select(F.col("a").alias("_a"), *take), "_a", "left").select(*points.columns, *take)
+    edges = sorted(set(ranges.agg(F.percentile_approx("a", [i / buckets for i in range(1, buckets)], 10_000)).first()[0]))
+    bucket = lambda c: F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col(c)))
+    spread = ranges.withColumn("_bucket", F.explode(F.sequence(bucket("a"), bucket("b")))).select("_bucket", F.col("a").alias(at), F.col("b").alias("_b"), *take)
+    found = asof(points.withColumn("_bucket", bucket(at)), spread, ["_bucket"], at, ["_b", *take])
+    return found.select(*points.columns, *(F.when(F.col(at) <= F.col("_b"), F.col(c)).alias(c) for c in take))
+
+
 def containing_else_latest(points: DataFrame, spans: DataFrame, keys: list[str], at: str, take: list[str]) -> DataFrame:
     """``points`` with the span of equal keys that holds them, else the latest begun, else the first.
 

@@ -6,9 +6,13 @@ values in buckets between approximate quantiles, of which only the bucket totals
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagaframe.session import cut as _cut
+
 BUCKETS = 64
 
 
@@ -46,7 +50,21 @@ def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def row_rank(df: DataFrame, name: str, order: list[Column], within: list[str]) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
+    """``df`` with each row's number in an order, counted from 1 in each group of ``within``; the order should end with a unique column.
+
+    Rows are sorted over range partitions and numbered inside them; only the partitions' sizes meet in one
+    place, and a group may be spread over many partitions.
+    """
+    # The id that Spark gives a row is its partition, times 2^33, plus its place there.
+    placed = _cut(df.orderBy(*within, *order).withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    numbered = placed.join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_part", "_base")
+    if not within:
+        return numbered
+    first = numbered.groupBy(*(F.col(c).alias(f"_{c}") for c in within)).agg((F.min(name) - 1).alias("_before"))
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within))
+    return numbered.join(first, same).withColumn(name, F.col(name) - F.col("_before")).drop("_before", *(f"_{c}" for c in within))
 
 
 def neighbours(df: DataFrame, column: str, order: list[Column], within: list[str]) -> DataFrame:

@@ -52,6 +52,13 @@ def cycle_detect(spark, sf):
     return graph.cycles(_partners(spark, sf, 1))
 
 
+@query(f"""WITH RECURSIVE {_TRADE.format(k=2)}, walk AS (SELECT src AS start, dst AS here, [src] AS path FROM edges WHERE dst >= src
+  UNION ALL SELECT start, dst, list_append(path, here) FROM walk JOIN edges ON src = here WHERE here <> start AND dst >= start AND len(path) < 5 AND NOT list_contains(path, here))
+SELECT array_to_string(path, '>') AS path, CAST(len(path) AS INTEGER) AS n FROM walk WHERE here = start""")
+def cycle_paths(spark, sf):
+    return graph.cycle_paths(_partners(spark, sf, 2), 5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), F.size("path").alias("n"))
+
+
 @query(f"SELECT dst AS id, 'partner' AS kind, CAST(count(*) AS BIGINT) AS n, 4 AS allowed FROM (WITH {_TRADE.format(k=3)} SELECT * FROM edges) GROUP BY 1 HAVING count(*) > 4")
 def in_degree_limits(spark, sf):
     return graph.cardinality(_partners(spark, sf, 3).withColumn("kind", F.lit("partner")), {"partner": 4})

@@ -201,6 +201,23 @@ def nearest_event(spark, sf):
     return matching.nearest(left, right, ["user_id"], "at", ["seen"]).select("user_id", "event_id", "near_at", F.abs(F.col("near_at") - F.col("at")).alias("distance"))
 
 
+@query(f"""WITH {SPANS}, p AS (SELECT o_orderkey AS point, o_custkey, a + 45 + o_orderkey % 90 AS t FROM spans),
+j AS (SELECT p.*, s.a, s.b, s.o_orderkey, greatest(s.a - t, t - s.b, 0) AS d FROM p JOIN spans s ON s.o_custkey = p.o_custkey),
+k AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY d, a, b, o_orderkey) AS r FROM j)
+SELECT point, o_orderkey AS nearest, CAST(d AS BIGINT) AS distance FROM k WHERE r = 1""")
+def nearest_span(spark, sf):
+    rows = spans(spark, sf)
+    points = rows.select(F.col("o_orderkey").alias("point"), "o_custkey", (F.col("a") + 45 + F.col("o_orderkey") % 90).alias("at"))
+    return matching.nearest_span(points, rows, ["o_custkey"], "at", ["o_orderkey"]).select("point", F.col("near_o_orderkey").alias("nearest"), "distance")
+
+
+@query("""SELECT o_orderkey, s_name FROM orders LEFT JOIN supplier ON o_orderkey BETWEEN s_suppkey * 60 AND s_suppkey * 60 + 39""")
+def points_in_ranges(spark, sf):
+    start = (F.col("s_suppkey") * 60).cast("long")
+    ranges = table(spark, sf, "supplier").select("s_name", start.alias("a"), (start + 39).alias("b"))
+    return matching.in_ranges(table(spark, sf, "orders").select("o_orderkey"), ranges, "o_orderkey", ["s_name"])
+
+
 @query("""WITH y AS (SELECT o_custkey, min(year(o_orderdate)) - 1 AS lo, max(year(o_orderdate)) + 1 AS hi FROM orders GROUP BY 1)
 SELECT o.o_custkey, CAST(count(*) AS BIGINT) AS n_outside FROM lineitem JOIN orders o ON o_orderkey = l_orderkey JOIN y ON y.o_custkey = o.o_custkey WHERE NOT (year(l_shipdate) BETWEEN lo AND hi) GROUP BY 1""")
 def range_containment(spark, sf):
