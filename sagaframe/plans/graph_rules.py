@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +13,38 @@ from sagaframe.operators import graph, matching, quality, search
 from sagaframe.operators.quality import Rule
 
 
+@dataclass(frozen=True)
+class Relations:
+    """The words of a graph for kinship, and the category of a restoration (None: categories of restorations aren't looked at)."""
+
+    father: str = "father"
+    fathers: tuple[str, ...] = ("father",)
+    mothers: tuple[str, ...] = ("mother",)
+    siblings: tuple[str, ...] = ("sibling",)
+    restoration: str | None = None
+
+    @property
+    def parents(self) -> tuple[str, ...]:
+        return self.fathers + self.mothers
+
+
+WORDS = Relations()
+#: The words of the data format. Two of the four parents are adoptive.
+FORMAT = Relations("実父", ("実父", "養父"), ("実母", "養母"), ("兄弟姉妹",), "復位")
+
+
+def _restores() -> Column:
+    return F.coalesce("isRestoration", F.lit(False))
+
+
+def _disputed() -> Column:
+    return F.coalesce(F.col("veracity") == "disputed", F.lit(False))
+
+
+def _succeeds() -> Column:
+    return F.col("type") == "succession"
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.union, parts)
 
@@ -42,53 +75,101 @@ def endpoints(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return _union([*sides, quality.where(e, "key", F.col("to").isNull() | (F.col("from").isNull() & ~free), "an end is missing"), quality.where(e, "key", F.coalesce(F.col("from") == F.col("to"), F.lit(False)), "goes to itself")])
 
 
-def repeated(edges: DataFrame) -> DataFrame:
-    """Edges told twice; a marriage has no direction, and a disputed edge may stand beside another."""
-    both = F.col("type") == "marriage"
-    pair = edges.where(~F.coalesce(F.col("veracity") == "disputed", F.lit(False))).select(
-        F.concat_ws(">", F.when(both, F.least("from", "to")).otherwise(F.coalesce("from", F.lit("-"))), "type", F.coalesce("relation", F.lit("")), F.when(both, F.greatest("from", "to")).otherwise(F.col("to"))).alias("key")
-    )
-    return quality.unique(pair, "key")
+def repeated(edges: DataFrame, words: Relations = WORDS) -> DataFrame:
+    """Edges told twice. Marriages and siblings have no direction; a succession is another one where it restores or is disputed; restorations from nowhere may be several."""
+    told = edges.where(~(_succeeds() & _restores() & F.col("from").isNull()))
+    both = (F.col("type") == "marriage") | F.coalesce(F.col("relation").isin(*words.siblings), F.lit(False))
+    marks = F.when(_succeeds() & _restores(), "restored"), F.when(_succeeds() & _disputed(), "disputed")
+    ends = F.when(both, F.least("from", "to")).otherwise(F.coalesce("from", F.lit("-"))), F.when(both, F.greatest("from", "to")).otherwise(F.col("to"))
+    return quality.unique(told.select(F.concat_ws(">", ends[0], "type", F.coalesce("relation", F.lit("")), ends[1], *marks).alias("key")), "key")
 
 
-def limits(edges: DataFrame) -> DataFrame:
-    """More than one first succession, verified father, or primary lineage into one person."""
+def limits(edges: DataFrame, words: Relations = WORDS) -> DataFrame:
+    """More than one first succession that isn't disputed, verified natural father, or primary lineage into one person."""
     kinds = F.array_compact(F.array(
-        F.when((F.col("type") == "succession") & ~F.coalesce("isRestoration", F.lit(False)), "succession"),
-        F.when((F.col("relation") == "father") & (F.col("veracity") == "verified"), "father"),
-        F.when(F.coalesce("primaryLineage", F.lit(False)), "lineage"),
+        F.when(_succeeds() & ~_restores() & ~_disputed(), "succession"),
+        F.when((F.col("relation") == words.father) & (F.col("veracity") == "verified"), "father"),
+        F.when(F.coalesce("primaryLineage", F.lit(False)) & F.col("relation").isin(*words.parents), "lineage"),
     ))
     each = edges.select(F.col("from").alias("src"), F.col("to").alias("dst"), F.explode(kinds).alias("kind"))
     over = graph.cardinality(each, {"succession": 1, "father": 1, "lineage": 1})
     return over.select(F.col("id").alias("key"), F.concat_ws(" ", "n", "kind").alias("detail"))
 
 
-def parents(edges: DataFrame) -> DataFrame:
-    return edges.where(F.col("relation").isin("father", "mother")).select(F.col("from").alias("src"), F.col("to").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+def restorations(edges: DataFrame, records: DataFrame, words: Relations = FORMAT) -> DataFrame:
+    """Restorations of another category than theirs, and persons with more of them than restored reigns."""
+    told = _keyed(edges).where(_succeeds() & _restores())
+    reigns = records.select(F.col("id").alias("to"), F.size(F.filter("reigns", lambda r: r["isRestoration"])).alias("reigns"))
+    counts = told.groupBy("to").agg(F.count("*").alias("n")).join(reigns, "to", "left").withColumn("reigns", F.greatest(F.coalesce("reigns", F.lit(0)), F.lit(0)))
+    over = quality.where(counts, "to", F.col("n") > F.col("reigns"), F.concat_ws(" ", "n", F.lit("restorations for"), "reigns", F.lit("restored reigns")))
+    return over.union(quality.where(told, "key", ~F.col("category").eqNullSafe(F.lit(words.restoration)), F.concat(F.lit("a restoration as "), F.coalesce("category", F.lit("nothing")))))
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
+def parents(edges: DataFrame, words: Relations = WORDS) -> DataFrame:
+    return edges.where(F.col("relation").isin(*words.parents)).select(F.col("from").alias("src"), F.col("to").alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+
+
+def cyclic(edges: DataFrame, words: Relations = WORDS) -> DataFrame:
     """Persons that descend from themselves, or lie between those who do."""
-    return graph.acyclic_violations(parents(edges)).select(F.col("id").alias("key"), F.lit("descends from itself").alias("detail"))
+    return graph.acyclic_violations(parents(edges, words)).select(F.col("id").alias("key"), F.lit("descends from itself").alias("detail"))
+
 
+def descents(edges: DataFrame, words: Relations = WORDS, max_length: int = 8) -> DataFrame:
+    """The cycles of descent themselves, up to ``max_length`` persons, each from its least person."""
+    found = graph.cycle_paths(parents(edges, words), max_length)
+    return found.select(F.get("path", F.lit(0)).alias("key"), F.array_join(F.concat("path", F.slice("path", 1, 1)), " > ").alias("detail"))
 
-def genders(edges: DataFrame, people: DataFrame) -> DataFrame:
-    """Fathers who aren't male, mothers who aren't female."""
-    told = _keyed(edges).where(F.col("relation").isin("father", "mother")).join(people.select(F.col("id").alias("from"), "gender"), "from")
-    return quality.where(told, "key", F.col("gender").isNotNull() & (F.col("gender") != F.when(F.col("relation") == "father", "male").otherwise("female")), F.concat_ws(" ", "gender", "relation"))
 
+def genders(edges: DataFrame, people: DataFrame, words: Relations = WORDS) -> DataFrame:
+    """Fathers who aren't male, mothers who aren't female, as far as persons tell; records tell nothing."""
+    told = _keyed(edges).where(F.col("relation").isin(*words.parents)).join(people.select(F.col("id").alias("from"), "gender"), "from")
+    return quality.where(told, "key", F.col("gender").isNotNull() & (F.col("gender") != F.when(F.col("relation").isin(*words.fathers), "male").otherwise("female")), F.concat_ws(" ", "gender", "relation"))
 
-def siblings(edges: DataFrame) -> DataFrame:
+
+def siblings(edges: DataFrame, words: Relations = WORDS) -> DataFrame:
     """Edges between siblings whose common parent already tells it."""
-    found = graph.common_parents(parents(edges)).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
-    told = _keyed(edges).where("relation = 'sibling'").withColumn("lo", F.least("from", "to")).withColumn("hi", F.greatest("from", "to"))
+    found = graph.common_parents(parents(edges, words)).select(F.col("a").alias("lo"), F.col("b").alias("hi"))
+    told = _keyed(edges).where(F.col("relation").isin(*words.siblings)).withColumn("lo", F.least("from", "to")).withColumn("hi", F.greatest("from", "to"))
     return told.join(found, ["lo", "hi"], "left_semi").select("key", F.lit("follows from a common parent").alias("detail"))
 
 
-def routes(edges: DataFrame, records: DataFrame) -> DataFrame:
-    """Successions whose category isn't the record's route of accession."""
-    told = _keyed(edges).where((F.col("type") == "succession") & ~F.coalesce("isRestoration", F.lit(False))).join(records.select(F.col("id").alias("to"), F.col("accessionRoute.category").alias("route")), "to")
-    return quality.where(told, "key", ~F.col("category").eqNullSafe(F.col("route")), F.concat_ws(" ", "category", F.lit("for"), "route"))
+def routes(edges: DataFrame, records: DataFrame, words: Relations = WORDS) -> DataFrame:
+    """First successions, but for disputed ones, whose category isn't the record's route of accession; of a restored ruler any but the restoration's."""
+    told = _keyed(edges).where(_succeeds() & ~_restores() & ~_disputed()).join(records.select(F.col("id").alias("to"), F.col("accessionRoute.category").alias("route")), "to")
+    back = F.coalesce(F.col("route") == F.lit(words.restoration), F.lit(False))
+    bad = F.when(back, F.coalesce(F.col("category") == F.col("route"), F.lit(False))).otherwise(~F.col("category").eqNullSafe(F.col("route")))
+    return quality.where(told, "key", bad, F.concat_ws(" ", "category", F.lit("for"), "route"))
+
+
+#: Routes of accession that need no succession.
+ROOTS = ("建国", "不詳", "諸説あり")
+
+
+def coverage(records: DataFrame, edges: DataFrame, phases: DataFrame, rootless: DataFrame, fatherless: DataFrame, words: Relations = FORMAT, roots: tuple[str, ...] = ROOTS) -> DataFrame:
+    """What a graph lacks by its phases (phase, status), evaluated in the plan: a rule of a phase that isn't completed finds nothing.
+
+    Once succession is completed every record needs one, but for those with a route in ``roots`` or listed as
+    ``rootless`` (id, reason); once parentage is, every record needs a father or a place in ``fatherless``. The
+    two lists are checked in any phase: ids that no record has, without a reason, listed twice, or stale, as
+    the edge is there after all.
+    """
+    every = records.select("id", F.col("accessionRoute.category").alias("route"))
+    gates = (
+        ("succession", edges.where(_succeeds()), rootless, ~F.coalesce(F.col("route").isin(*roots), F.lit(False))),
+        ("parentage", edges.where(F.col("relation").isin(*words.fathers)), fatherless, F.lit(True)),
+    )
+    parts = []
+    for phase, into, listed, needs in gates:
+        covered = into.select(F.col("to").alias("id")).distinct()
+        done = phases.where((F.col("phase") == phase) & (F.col("status") == "completed")).select("phase").distinct()
+        lacking = every.where(needs).join(covered, "id", "left_anti").join(listed, "id", "left_anti").withColumn("phase", F.lit(phase))
+        parts.append(lacking.join(done, "phase", "left_semi").select(F.col("id").alias("key"), F.lit(f"{phase} is completed without it").alias("detail")))
+        known = listed.join(records.select("id"), "id", "left_semi")
+        parts.append(listed.join(records.select("id"), "id", "left_anti").select(F.col("id").alias("key"), F.lit(f"listed for {phase}, but no record").alias("detail")))
+        parts.append(quality.where(known, "id", F.coalesce(F.col("reason"), F.lit("")) == "", f"listed for {phase} without a reason"))
+        parts.append(quality.unique(known, "id"))
+        parts.append(known.join(covered, "id", "left_semi").select(F.col("id").alias("key"), F.lit(f"listed for {phase}, but stale").alias("detail")))
+    return _union(parts)
 
 
 def uncovered(ids: DataFrame, edges: DataFrame, rootless: list[str]) -> DataFrame:
@@ -134,14 +215,28 @@ def structure(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("path").alias("key"), F.explode(lacking).alias("detail"))
 
 
-def rules(people: DataFrame, edges: DataFrame, records: DataFrame, rootless: tuple[str, ...] = (), complete: bool = True, vocabularies: dict[str, list[str]] | None = None) -> list[Rule]:
-    """The suite. Coverage is only asked for a ``complete`` graph; the ids in ``rootless`` may lack an edge and go stale."""
+def rules(people: DataFrame, edges: DataFrame, records: DataFrame, rootless: tuple[str, ...] = (), complete: bool = True, vocabularies: dict[str, list[str]] | None = None, words: Relations = WORDS, told: DataFrame | None = None, recognised: Column | None = None, documents: DataFrame | None = None, gated: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> list[Rule]:
+    """The suite. Coverage is only asked for a ``complete`` graph; the ids in ``rootless`` may lack an edge and go stale.
+
+    With claims ``told`` and what is ``recognised`` as a source, claims and the edges' sources (source, page) are checked
+    too; with ``documents`` (path, text) their structure; with ``gated`` (phases, rootless, fatherless) coverage by phase.
+    """
     every = records.select("id").union(people.select("id"))
     out = [
-        Rule("persons", "error", lambda: persons(people, records, vocabularies=vocabularies)), Rule("ends", "error", lambda: endpoints(edges, every)), Rule("repeated", "error", lambda: repeated(edges)),
-        Rule("limits", "error", lambda: limits(edges)), Rule("cycles", "error", lambda: cyclic(edges)), Rule("genders", "error", lambda: genders(edges, people)), Rule("siblings", "warning", lambda: siblings(edges)),
-        Rule("routes", "error", lambda: routes(edges, records)), Rule("orphans", "warning", lambda: orphans(people, edges)),
+        Rule("persons", "error", lambda: persons(people, records, vocabularies=vocabularies)), Rule("ends", "error", lambda: endpoints(edges, every)), Rule("repeated", "error", lambda: repeated(edges, words)),
+        Rule("limits", "error", lambda: limits(edges, words)), Rule("cycles", "error", lambda: cyclic(edges, words)), Rule("descents", "error", lambda: descents(edges, words)), Rule("genders", "error", lambda: genders(edges, people, words)), Rule("siblings", "warning", lambda: siblings(edges, words)),
+        Rule("routes", "error", lambda: routes(edges, records, words)), Rule("orphans", "warning", lambda: orphans(people, edges)),
     ]
+    if words.restoration is not None:
+        out.append(Rule("restorations", "error", lambda: restorations(edges, records, words)))
+    if told is not None and recognised is not None:
+        out.append(Rule("claims", "error", lambda: claims(told, records, recognised)))
+        if {"source", "page"} <= set(edges.columns):
+            out.append(Rule("sources", "error", lambda: sources(_keyed(edges), recognised)))
+    if documents is not None:
+        out.append(Rule("structure", "error", lambda: structure(documents)))
+    if gated is not None:
+        out.append(Rule("phases", "error", lambda: coverage(records, edges, *gated, words)))
     return out + ([Rule("coverage", "error", lambda: uncovered(records.select("id"), edges, []), rootless)] if complete else [])
 
 
