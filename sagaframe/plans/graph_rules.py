@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sagaframe.functions import dates as D
+from sagaframe.functions import text as T
 from sagaframe.operators import graph, matching, quality, search
 from sagaframe.operators.quality import Rule
 
@@ -257,3 +258,35 @@ def quotations(units: DataFrame, known: DataFrame, corpus: DataFrame) -> DataFra
     fresh = states.join(found, "key", "left")
     status = F.when(F.col("state") == "known", F.col("status")).otherwise(F.coalesce("stage", F.lit("unresolved")))
     return fresh.select("key", status.alias("status"), "doc_id")
+
+
+def quotation_check(units: DataFrame, known: DataFrame, corpus: DataFrame | None = None, variants: dict[str, str] | None = None) -> DataFrame:
+    """Violations (rule, severity, key, detail) of a ledger (key, status, corpusFile, frags) against the units (key, span).
+
+    Units that it lacks or left unresolved are errors, entries without a unit, defects and gaps of the
+    corpus warnings. With a ``corpus`` (path, text) the found ones are looked up again in the file that
+    the ledger names: an unreadable file is a warning, one with none of the stored fragments an error.
+    A ledger without fragments of a unit isn't held against it. Without a corpus only coverage is checked.
+    """
+    want = units.select("key", "span").dropDuplicates(["key"])
+    held = want.join(known.select("key", "status", "corpusFile", "frags").dropDuplicates(["key"]).withColumn("_there", F.lit(True)), "key", "left")
+    told = lambda df, rule, severity, detail: df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "key", detail.cast("string").alias("detail"))
+    of = lambda status: held.where(F.col("status") == status)
+    out = [
+        told(held.where("_there IS NULL"), "unregistered", "error", F.col("span")), told(of("unresolved"), "unresolved", "error", F.col("span")),
+        told(of("defect"), "defect", "warning", F.col("span")), told(of("lacuna"), "lacuna", "warning", F.col("span")),
+        told(known.select("key").distinct().join(want, "key", "left_anti"), "stale", "warning", F.lit(None)),
+    ]
+    if corpus is not None:
+        again = held.where(F.col("status").isin("cache", "corpus")).select("key", F.coalesce("corpusFile", F.lit("")).alias("path"), "frags")
+        named = corpus.join(again.select("path").distinct(), "path", "left_semi").select("path", T.for_match(F.col("text"), variants or {}).alias("_text")).dropDuplicates(["path"])
+        looked = again.join(named, "path", "left")
+        unread = F.coalesce(F.col("_text"), F.lit("")) == ""
+        lost = ~unread & (F.size("frags") > 0) & ~F.exists("frags", lambda f: F.contains("_text", f))
+        out += [told(looked.where(unread), "unreadable", "warning", F.col("path")), told(looked.where(lost), "lost", "error", F.col("path"))]
+    return reduce(DataFrame.union, out)
+
+
+def status_counts(units: DataFrame, known: DataFrame) -> DataFrame:
+    """(status, n) of the units that the ledger has."""
+    return units.select("key").join(known.select("key", "status").dropDuplicates(["key"]), "key").groupBy("status").agg(F.count("*").alias("n"))

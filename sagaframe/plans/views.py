@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sagaframe.functions import dates as D
 from sagaframe.functions import text as T
-from sagaframe.operators import aggregates, intervals, lanes, matching, ranking
+from sagaframe.operators import aggregates, intervals, lanes, matching, paths, ranking
 from sagaframe.sources.records import GROUPS, children, events
 
 UNNAMED, UNKNOWN = "名不詳", "不詳"
@@ -204,3 +204,28 @@ def flat_csv(records: DataFrame) -> DataFrame:
         "flags.isFemale", "flags.selfProclaimed", "flags.usedEmperorTitleFrom", "sources.wikidata", "sources.cbdb", "verification.emperorTitleConfirmed", F.col("verification.confidence").alias("confidence"),
         F.col("deathCause.category").alias("deathCause"), F.col("accessionRoute.category").alias("accessionRoute"), "ages.birthDate", "ages.deathDate", "ages.accessionAge", "ages.deathAge", *(F.col(f"{g}.count").alias(g) for g in GROUPS),
     )
+
+
+def _spoken(c: Column) -> Column:
+    """Quoted spans with six Han characters and no kana."""
+    return T.quoted(c, not_kind="ぁ-んァ-ヶ")
+
+
+def _cited(c: Column) -> Column:
+    """The parts between slashes without their short bracketed notes; null for a part with less than six Han characters."""
+    parts = F.transform(F.split(c, "[／/]"), lambda x: F.regexp_replace(x, "（[^）]{0,30}）|【[^】]{0,30}】", ""))
+    return F.transform(parts, lambda x: F.when(F.length(T.han_only(x)) >= 6, x))
+
+
+#: The members of a record that hold quotations, with the names that keys of the ledger give them.
+QUOTATIONS = [
+    paths.Path("reigns[*].duration.source.quote", "reigns[{}].quote", _cited, numbered=True), paths.Path("reigns[*].duration.source.conversion", "reigns[{}].conversion", _spoken), paths.Path("reigns[*].note", "reigns[{}].note", _spoken),
+    *(p for g in GROUPS for p in (paths.Path(f"{g}.note", f"{g}.note", _spoken), paths.Path(f"{g}.events[*].note", f"{g}[{{}}].note", _spoken))),
+    *(paths.Path(f"{c}.note", f"{c}.note", _spoken) for c in ("deathCause", "accessionRoute", "ages")),
+]
+
+
+def quotation_units(records: DataFrame, variants: dict[str, str] | None = None) -> DataFrame:
+    """(id, path, span, key) of every quotation in the records; keys are those of the ledger."""
+    found = paths.values(records, "id", QUOTATIONS).withColumnRenamed("value", "span")
+    return found.withColumn("key", T.unit_key(F.col("id"), F.col("path"), T.for_match(F.col("span"), variants or {})))
