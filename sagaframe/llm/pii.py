@@ -68,26 +68,31 @@ def _inside(spans: list[tuple[str, int, int]]):
     return lambda a, b: (i := bisect_left(covered, (b,))) and ends[i - 1] > a
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[dict], list[str]]:
-    """The entities with the hash of the terms within REACH of each place, ``first`` marking what is met
-    first in the text, and all the text's distinct terms outside the entities."""
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[dict], list[dict]]:
+    """The text's distinct entities and, outside of them, its distinct terms; each with the hash of the terms
+    within REACH of its first place, so that a text is one piece of evidence however often it repeats itself."""
     if not spans:
         return [], []
     inside = _inside(spans)
     terms = [(m[0].lower(), *m.span()) for m in _TERM.finditer(text) if not inside(*m.span())]
-    starts, met, out = [x[1] for x in terms], set(), []
+    words, starts = [x[0] for x in terms], [x[1] for x in terms]
+    around = lambda i, j: xxhash.xxh64_intdigest(" ".join([*words[max(0, i - REACH) : i], "", *words[j : j + REACH]]), 0) >> 1
+    entities, met = {}, {}
     for kind, start, end in spans:
         value = text[start:end].lower()
         entity = f"{kind}:{value if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
-        i = bisect_left(starts, start)
-        context = xxhash.xxh64_intdigest(" ".join(t for t, _, _ in terms[max(0, i - REACH) : i + REACH]), 0) >> 1
-        out.append({"entity": entity, "context": context, "first": entity not in met})
-        met.add(entity)
-    return out, sorted({t for t, _, _ in terms})
+        if entity not in entities:
+            i = bisect_left(starts, start)
+            entities[entity] = around(i, i)
+    for i, word in enumerate(words):
+        if word not in met:
+            met[word] = around(i, i + 1)
+    return [{"entity": e, "context": c} for e, c in entities.items()], [{"term": t, "around": c} for t, c in met.items()]
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-_ENTITY = pa.struct([("entity", pa.string()), ("context", pa.int64()), ("first", pa.bool_())])
+_ENTITY = pa.struct([("entity", pa.string()), ("context", pa.int64())])
+_TERMS = pa.struct([("term", pa.string()), ("around", pa.int64())])
 
 
 def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,10 +105,10 @@ def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             spans = [base_spans(x) for x in texts]
             near = [contexts(x, s) for x, s in zip(texts, spans)]
             base = [[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, pa.list_(_SPAN)), pa.array([x for x, _ in near], pa.list_(_ENTITY)), pa.array([x for _, x in near], pa.list_(pa.string()))], ["doc_id", "key", "base", "entities", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(base, pa.list_(_SPAN)), pa.array([x for x, _ in near], pa.list_(_ENTITY)), pa.array([x for _, x in near], pa.list_(_TERMS))], ["doc_id", "key", "base", "entities", "terms"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(run, f"doc_id {kind}, key long, base array<struct<kind:string,start:int,end:int>>, entities array<struct<entity:string,context:long,first:boolean>>, terms array<string>")
+    return slim.mapInArrow(run, f"doc_id {kind}, key long, base array<struct<kind:string,start:int,end:int>>, entities array<struct<entity:string,context:long>>, terms array<struct<term:string,around:long>>")
 
 
 def documents_with(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
@@ -165,25 +170,30 @@ def places(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> Dat
 def disclosing(docs: DataFrame, text_col: str, found: DataFrame, min_contexts: int, min_share: float, min_bits: float) -> DataFrame | None:
     """(entity, term, share, bits) of the terms that reveal an entity; None where none has the contexts for it.
 
-    ``share`` is P(entity | term) over documents and ``bits`` its logarithm against P(entity). Copies of
-    a passage are no evidence: a term needs ``min_contexts`` different surroundings of the entity. An
-    entity that has fewer is left out first. The documents with any entity that have the term are a lower
-    bound of those that have it, so terms whose share is too small already by that bound are left out
-    before the documents are searched for the others.
+    ``share`` is P(entity | term) over documents and ``bits`` its logarithm against P(entity). Copies are
+    no evidence, of whole texts or of a passage, nor is a text that repeats itself: of the documents that
+    hold both there must be ``min_contexts`` with different surroundings of the entity, and as many with
+    different surroundings of the term, each taken at its first place. What can't reach that is left out
+    before pairs are made: entities with too few surroundings, terms in too few of the documents with any
+    entity, and pairs whose share is too small even by that number, a lower bound of those with the term.
+    ``found`` must be checkpointed, as its rows are numbered.
     """
-    held = found.where(F.size("entities") > 0)
-    places_of = held.select(F.inline("entities"))
-    enough = places_of.groupBy("entity").agg(F.count_distinct("context").alias("kinds")).where(F.col("kinds") >= min_contexts).select("entity")
-    near = held.select("terms", F.inline("entities")).join(enough, "entity").select("entity", "context", "first", F.explode("terms").alias("term"))
-    pairs = near.groupBy("entity", "term", "context").agg(F.sum(F.col("first").cast("long")).alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("kinds"))
-    least = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    candidates = cut(pairs.where(F.col("kinds") >= min_contexts).join(least, "term").where(F.col("both") >= min_share * F.col("least")).drop("least"))
+    held = found.where(F.size("entities") > 0).select(F.monotonically_increasing_id().alias("_row"), "entities", "terms")
+    placed = held.select("_row", F.inline("entities"))
+    known = cut(placed.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("context").alias("kinds")).where(F.col("kinds") >= min_contexts).drop("kinds"))
+    if known.isEmpty():
+        return None
+    placed, listed_terms = placed.join(known, "entity"), held.select("_row", F.inline("terms"))
+    least = listed_terms.groupBy("term").agg(F.count("*").alias("least")).where(F.col("least") >= min_contexts)
+    near = placed.join(listed_terms.join(placed.select("_row").distinct(), "_row", "left_semi").join(least, "term"), "_row").where(F.col("n_entity") >= min_share * F.col("least"))
+    pairs = near.groupBy("entity", "term", "n_entity", "least").agg(F.count("*").alias("both"), F.count_distinct("context").alias("kinds"), F.count_distinct("around").alias("places"))
+    enough = (F.least("kinds", "places") >= min_contexts) & (F.col("both") >= min_share * F.col("least"))
+    candidates = cut(pairs.where(enough).select("entity", "term", "n_entity", "both"))
     if candidates.isEmpty():
         return None
     counted = documents_with(docs, text_col, candidates.select("term").distinct())
-    entities = places_of.where("first").groupBy("entity").agg(F.count("*").alias("n_entity"))
     total = docs.count()
-    told = candidates.join(counted, "term").join(entities, "entity").withColumn("share", F.col("both") / F.col("n")).withColumn("bits", F.log2(F.col("share") * total / F.col("n_entity")))
+    told = candidates.join(counted, "term").withColumn("share", F.col("both") / F.col("n")).withColumn("bits", F.log2(F.col("share") * total / F.col("n_entity")))
     return told.where((F.col("share") >= min_share) & (F.col("bits") >= min_bits)).select("entity", "term", "share", "bits")
 
 
