@@ -16,6 +16,33 @@ def merge(df: DataFrame, keys: list[str], gap: int = 1) -> DataFrame:
     return new.withColumn("_span", F.sum("_new").over(w)).groupBy(*keys, "_span").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.count("*").alias("n")).drop("_span")
 
 
+def islands(df: DataFrame, keys: list[str], name: str, touching: bool = True, buckets: int = BUCKETS) -> DataFrame:
+    """``df`` with ``name``, the start of the island of overlapping intervals that each row belongs to in its key.
+
+    An island begins where a start lies behind the ends of all intervals before it by start, or, with
+    ``touching``, on the last of them; two that begin at one place share their name. Rows are dealt into
+    buckets between quantiles of all starts, and what is carried from bucket to bucket are two numbers, the
+    last end and the last beginning, so a key of any size goes over many tasks.
+    """
+    edges = sorted(set(df.agg(F.percentile_approx("a", [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
+    bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x < F.col("a"))) if edges else F.lit(0)
+    # a struct, unlike its fields, is never null and equals another with the same nulls
+    rows = df.withColumn("_key", F.struct(*keys)).withColumn("_bucket", bucket)
+    inside = Window.partitionBy("_key", "_bucket").orderBy(F.asc("a"), F.desc("b"))
+
+    def carried(rows: DataFrame, value: str) -> DataFrame:
+        top = rows.groupBy("_key", "_bucket").agg(F.max(value).alias("_top"))
+        earlier = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        return rows.join(top.select("_key", "_bucket", F.max("_top").over(earlier).alias("_base")), ["_key", "_bucket"])
+
+    reach = F.greatest("_base", F.max("b").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    reached = carried(rows, "b").withColumn("_reach", reach).drop("_base")
+    behind = F.col("a") >= F.col("_reach") if touching else F.col("a") > F.col("_reach")
+    begun = carried(reached.withColumn("_begins", F.when(F.col("_reach").isNull() | behind, F.col("a"))).drop("_reach"), "_begins")
+    last = F.greatest("_base", F.max("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return begun.withColumn(name, last).select(*df.columns, name)
+
+
 def concurrency(df: DataFrame, keys: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Steps (keys, at, n): from ``at`` on n intervals hold, by summing +1 at starts and -1 behind ends.
 

@@ -4,7 +4,9 @@ Each decision needs all earlier ones, which no built-in expresses without gather
 array. So rows are dealt by their keys, sorted inside the partitions (Spark spills that) and streamed
 through a small state in Arrow batches: groups of any size fit, as the state of a group holds only
 its open intervals. ``first_fit``, whose order isn't that of the starts, holds a connected island of
-intervals. One key's rows still pass through one task, in order.
+intervals. Where islands can't tell of each other, in ``pack`` and ``first_fit``, each is a group of its
+own, so that one key's rows go over many tasks; colours and cursors are carried from island to island, and
+there one key's rows pass through one task, in order.
 
 Bounds are whole numbers a <= b; rows without a bound stay, without a result.
 """
@@ -19,6 +21,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagaframe.operators.intervals import islands
+from sagaframe.session import cut as _cut
+
 
 class _Packing:
     """Lanes that are busy until an end, and the numbers of free ones."""
@@ -108,9 +113,20 @@ def _folded(df: DataFrame, keys: list[str], order: list[Column], begin: Callable
 def pack(df: DataFrame, keys: list[str], touching: bool = True) -> DataFrame:
     """(keys, id, a, b, lane): by start, the longer first, into the lowest lane that is free.
 
-    A lane is free if its last end is before the start, or, with ``touching``, on it.
+    A lane is free if its last end is before the start, or, with ``touching``, on it. So at the beginning of
+    an island all are.
     """
-    return _folded(df, keys, [F.asc("a"), F.desc("b"), F.asc("id")], lambda: _Packing(touching), {"lane": "long"})
+    apart = islands(df, keys, "_island", touching)
+    return _folded(apart, [*keys, "_island"], [F.asc("a"), F.desc("b"), F.asc("id")], lambda: _Packing(touching), {"lane": "long"}).drop("_island")
+
+
+def pack_blocks(df: DataFrame, keys: list[str], block: str, touching: bool = True) -> DataFrame:
+    """(keys, block, id, a, b, lane): each block packed by itself, its lanes behind those of the smaller blocks of its key."""
+    packed = _cut(pack(df, [*keys, block], touching).withColumn("_key", F.struct(*keys)).withColumn("_own", F.struct(block)))
+    used = packed.groupBy("_key", "_own").agg((F.max("lane") + 1).alias("_n"))
+    w = Window.partitionBy("_key").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
+    before = used.select("_key", "_own", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return packed.join(before, ["_key", "_own"]).select(*keys, block, "id", "a", "b", (F.col("lane") + F.col("_before")).alias("lane"))
 
 
 def first_fit(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
@@ -118,10 +134,8 @@ def first_fit(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
 
     Intervals behind the end of all earlier ones begin a new island, which is filled by itself.
     """
-    w = Window.partitionBy(*keys).orderBy(F.asc("a"), F.desc("b"), F.asc("id"))
-    reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    islands = df.withColumn("_new", F.coalesce((F.col("a") >= reach).cast("int"), F.lit(0))).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return _folded(islands, [*keys, "_island"], [F.asc(priority), F.asc("id")], _FirstFit, {"lane": "long"}).drop("_island")
+    apart = islands(df, keys, "_island")
+    return _folded(apart, [*keys, "_island"], [F.asc(priority), F.asc("id")], _FirstFit, {"lane": "long"}).drop("_island")
 
 
 def colour(df: DataFrame, keys: list[str], slots: int = 8) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sagaframe.operators import graph
+from sagaframe.operators import asserting, graph
 from sagaframe.plans.registry import query, table
 
 _TRADE = """trade AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
@@ -69,3 +69,19 @@ def relaxation_fixpoint(spark, sf):
     nations = _nations(spark, sf)
     ring = nations.select(F.col("id").alias("src"), ((F.col("id") + 1) % 25).alias("dst"))
     return graph.relax(nations.select("id", F.when(F.col("id") % 5 == 0, F.col("id").cast("double")).alias("value")), ring.union(_partners(spark, sf, 1)))
+
+
+@query("""WITH scope AS (SELECT n_nationkey, n_name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' OR n_nationkey IN (0, 1))
+SELECT a.n_name AS buyer, b.n_name AS seller, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey
+  JOIN supplier ON s_suppkey = l_suppkey JOIN scope a ON a.n_nationkey = c_nationkey JOIN scope b ON b.n_nationkey = s_nationkey GROUP BY 1, 2""")
+def scoped_trade(spark, sf):
+    """What the nations of a scope (a region, and two more by key) sell to each other; another number of nations, or one twice, fails."""
+    regions = table(spark, sf, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    inside = table(spark, sf, "nation").join(regions, "n_regionkey").where((F.col("r_name") == "ASIA") | F.col("n_nationkey").isin(0, 1)).select("n_nationkey", "n_name")
+    scope = asserting.unique(asserting.sized(inside, 7, "nations in scope"), ["n_nationkey"])
+    named = lambda key, name: scope.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(name))
+    buyers = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey").join(named("c_nationkey", "buyer"), "c_nationkey")
+    sellers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(named("s_nationkey", "seller"), "s_nationkey")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey").join(buyers, "o_custkey")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(sellers, "l_suppkey")
+    return lines.join(orders, "l_orderkey").groupBy("buyer", "seller").agg(F.count("*").alias("n"))

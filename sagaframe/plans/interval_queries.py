@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sagaframe.operators import intervals, lanes, matching
+from sagaframe.operators import asserting, intervals, lanes, matching
 from sagaframe.plans.registry import SPANS, day, micros, query, spans, table
 
 _ISLANDS = """f AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY {k} ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS c FROM {src}),
@@ -109,6 +109,29 @@ def lane_pack_strict(spark, sf):
     return lanes.pack(_items(spark, sf), ["o_custkey"], touching=False)
 
 
+_BLOCKED = "blocked AS (SELECT o_orderkey, o_custkey * 2 + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS o_custkey, a, b FROM spans)"
+
+
+@query(f"""WITH RECURSIVE {SPANS}, {_BLOCKED}, {_ORDERED.format(by="a, b DESC, o_orderkey", src="blocked")}, {_PACKED.format(op='<=')},
+used AS (SELECT o_custkey AS u, max(lane) + 1 AS n FROM packed GROUP BY 1)
+SELECT o_custkey // 2 AS o_custkey, CAST(o_custkey % 2 AS INTEGER) AS block, id, a, b, CAST(lane + coalesce(n, 0) AS BIGINT) AS lane FROM packed LEFT JOIN used ON o_custkey % 2 = 1 AND u = o_custkey - 1""")
+def lane_blocks(spark, sf):
+    """Every third order in the lanes of the first block, the others behind them."""
+    return lanes.pack_blocks(_items(spark, sf).withColumn("block", (F.col("id") % 3 != 0).cast("int")), ["o_custkey"], "block")
+
+
+@query(f"""WITH {SPANS}, {_ISLANDS.format(k='o_custkey', gap=7, src='spans')}
+SELECT o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY a) - 1 AS BIGINT) AS place, a, b FROM merged""")
+def positional_rows(spark, sf):
+    """Each merged span of a customer with the row that a list gives it by its place; a list of another length fails."""
+    merged = intervals.merge(spans(spark, sf), ["o_custkey"], 7)
+    # a customer's merged spans lie apart, so they are fewer than the calendar has days
+    listed = merged.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"), F.count("*").alias("n"))
+    rows = F.sequence(F.lit(0).cast("long"), F.col("n") - 1)
+    each = listed.select("o_custkey", F.explode(asserting.zipped(F.col("spans"), rows, "rows of spans")).alias("_e"))
+    return each.select("o_custkey", F.col("_e.right").alias("place"), F.col("_e.left.a").alias("a"), F.col("_e.left.b").alias("b"))
+
+
 @query(f"""WITH RECURSIVE {SPANS}, {_ORDERED.format(by="o_orderkey % 7, o_orderkey", src="spans")},
 w AS (SELECT o_custkey, o_orderkey AS id, a, b, k, CAST(0 AS BIGINT) AS lane, [{{'a': a, 'b': b, 'lane': CAST(0 AS BIGINT)}}] AS placed FROM o WHERE k = 1
 UNION ALL SELECT o_custkey, id, a, b, k, lane, list_append(placed, {{'a': a, 'b': b, 'lane': lane}}) FROM (

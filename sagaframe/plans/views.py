@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sagaframe.functions import dates as D
 from sagaframe.functions import text as T
-from sagaframe.operators import aggregates, intervals, lanes, matching, paths, ranking
+from sagaframe.operators import aggregates, asserting, intervals, lanes, matching, paths, ranking
 from sagaframe.sources.records import GROUPS, children, events
 
 UNNAMED, UNKNOWN = "名不詳", "不詳"
@@ -137,11 +137,13 @@ def bands(records: DataFrame, priority: list[str]) -> DataFrame:
     return spans.join(own, "key")
 
 
-def laned_bands(found: DataFrame) -> DataFrame:
-    """Bands with a lane and a colour slot; neighbours in a lane may share the year of a hand-over. All bands are
-    folded as one group, which is small: a row for each group of records."""
-    items = found.select(F.lit(0).alias("_all"), F.xxhash64("key").alias("id"), "a", "b")
-    packed = lanes.pack(items, ["_all"])
+def laned_bands(found: DataFrame, main: str | None = None) -> DataFrame:
+    """Bands with a lane and a colour slot; neighbours in a lane may share the year of a hand-over. Those of the
+    category ``main`` are packed first, the others into lanes behind theirs. All bands are coloured as one
+    group, which is small: a row for each group of records."""
+    apart = F.lit(0) if main is None else F.coalesce((F.col("category") != main).cast("int"), F.lit(1))
+    items = found.select(F.lit(0).alias("_all"), apart.alias("_block"), F.xxhash64("key").alias("id"), "a", "b")
+    packed = lanes.pack_blocks(items, ["_all"], "_block")
     slots = lanes.colour(packed, ["_all"]).select("id", "slot")
     return found.withColumn("id", F.xxhash64("key")).join(packed.select("id", "lane"), "id").join(slots, "id").drop("id")
 
@@ -206,6 +208,32 @@ def flat_csv(records: DataFrame) -> DataFrame:
     )
 
 
+def scoped(records: DataFrame, sections: list[str], extra: list[str] = (), size: int | None = None) -> DataFrame:
+    """Records of some sections, and others by id; the plan fails where they aren't ``size``."""
+    inside = records.where(F.col("dynasty.section").isin(*sections) | F.col("id").isin(*extra))
+    return inside if size is None else asserting.sized(inside, size, "records in scope")
+
+
+def graph_source(records: DataFrame, people: DataFrame, edges: DataFrame, sections: list[str], extra: list[str] = (), size: int | None = None, types: tuple[str, ...] = ("succession", "kinship"), excerpt: int = 160) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, people, edges) of a graph cut to a scope; edges with an end outside of it go.
+
+    Years of records become astronomical, those of people are so already. A record with a reign's year
+    missing or not exactly one reign, and an edge of another type, fail in the plan.
+    """
+    known = F.forall("reigns", lambda r: r["startYear"].isNotNull() & r["endYear"].isNotNull())
+    one = asserting.each(scoped(records, sections, extra, size), (F.size("reigns") == 1) & known, F.concat(F.lit("not one reign of known years: "), "id"))
+    reign = F.get("reigns", F.lit(0))
+    held = one.select(
+        "id", title().alias("name"), section_key().alias("key"), F.col("dynasty.section").alias("section"), F.coalesce("accessionRoute.category", F.lit(UNKNOWN)).alias("route"),
+        D.astronomical(reign["startYear"]).cast("long").alias("a"), D.astronomical(reign["endYear"]).cast("long").alias("b"), reign["isRestoration"].alias("restoration"),
+    )
+    there = people.where(F.col("section").isin(*sections)).select("id", "name", "kind", "section", "birthYear", "deathYear", "yearsApproximate")
+    ends = held.select("id").union(there.select("id"))
+    kept = edges.join(ends.select(F.col("id").alias("from")), "from", "left_semi").join(ends.select(F.col("id").alias("to")), "to", "left_semi")
+    typed = asserting.each(kept, F.col("type").isin(*types), F.concat(F.lit("no such type of edge: "), F.coalesce("type", F.lit("null"))))
+    return held, there, typed.select("type", "from", "to", "category", "relationToPredecessor", "relation", "veracity", "confidence", T.truncated(F.col("note"), excerpt).alias("excerpt"), F.col("source.page").alias("page"))
+
+
 def _spoken(c: Column) -> Column:
     """Quoted spans with six Han characters and no kana."""
     return T.quoted(c, not_kind="ぁ-んァ-ヶ")
