@@ -4,9 +4,9 @@ Each decision needs all earlier ones, which no built-in expresses without gather
 array. So rows are dealt by their keys, sorted inside the partitions (Spark spills that) and streamed
 through a small state in Arrow batches: groups of any size fit, as the state of a group holds only
 its open intervals. ``first_fit``, whose order isn't that of the starts, holds a connected island of
-intervals. Where islands can't tell of each other, in ``pack`` and ``first_fit``, each is a group of its
-own, so that one key's rows go over many tasks; colours and cursors are carried from island to island, and
-there one key's rows pass through one task, in order.
+intervals. Where islands can't tell of each other, in ``pack`` and ``first_fit``, each island of a key with
+over ``hot`` rows is a group of its own, so that such a key goes over many tasks; colours and cursors are
+carried from island to island, and there one key's rows pass through one task, in order.
 
 Bounds are whole numbers a <= b; rows without a bound stay, without a result.
 """
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from sagaframe.operators.intervals import islands
 from sagaframe.session import cut as _cut
 
+#: Rows of a key from which on its islands are dealt apart.
+HOT = 100_000
+
 
 class _Packing:
     """Lanes that are busy until an end, and the numbers of free ones."""
@@ -110,31 +113,41 @@ def _folded(df: DataFrame, keys: list[str], order: list[Column], begin: Callable
     return rows.mapInArrow(run, ", ".join([fields, *(f"{c} {kind}" for c, kind in results.items())]))
 
 
-def pack(df: DataFrame, keys: list[str], touching: bool = True) -> DataFrame:
+def _apart(df: DataFrame, keys: list[str], touching: bool, hot: int) -> DataFrame:
+    """``df`` with ``_island``, null where a key has no more than ``hot`` rows."""
+    rows = df.withColumn("_key", F.struct(*keys))
+    many = _cut(rows.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot).select("_key"))
+    if many.isEmpty():
+        return df.withColumn("_island", F.lit(None).cast("long"))
+    calm = rows.join(many, "_key", "left_anti").drop("_key").withColumn("_island", F.lit(None).cast("long"))
+    return calm.unionByName(islands(rows.join(many, "_key", "left_semi").drop("_key"), keys, "_island", touching))
+
+
+def pack(df: DataFrame, keys: list[str], touching: bool = True, hot: int = HOT) -> DataFrame:
     """(keys, id, a, b, lane): by start, the longer first, into the lowest lane that is free.
 
     A lane is free if its last end is before the start, or, with ``touching``, on it. So at the beginning of
     an island all are.
     """
-    apart = islands(df, keys, "_island", touching)
+    apart = _apart(df, keys, touching, hot)
     return _folded(apart, [*keys, "_island"], [F.asc("a"), F.desc("b"), F.asc("id")], lambda: _Packing(touching), {"lane": "long"}).drop("_island")
 
 
-def pack_blocks(df: DataFrame, keys: list[str], block: str, touching: bool = True) -> DataFrame:
+def pack_blocks(df: DataFrame, keys: list[str], block: str, touching: bool = True, hot: int = HOT) -> DataFrame:
     """(keys, block, id, a, b, lane): each block packed by itself, its lanes behind those of the smaller blocks of its key."""
-    packed = _cut(pack(df, [*keys, block], touching).withColumn("_key", F.struct(*keys)).withColumn("_own", F.struct(block)))
+    packed = _cut(pack(df, [*keys, block], touching, hot).withColumn("_key", F.struct(*keys)).withColumn("_own", F.struct(block)))
     used = packed.groupBy("_key", "_own").agg((F.max("lane") + 1).alias("_n"))
     w = Window.partitionBy("_key").orderBy("_own").rowsBetween(Window.unboundedPreceding, -1)
     before = used.select("_key", "_own", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
     return packed.join(before, ["_key", "_own"]).select(*keys, block, "id", "a", "b", (F.col("lane") + F.col("_before")).alias("lane"))
 
 
-def first_fit(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
+def first_fit(df: DataFrame, keys: list[str], priority: str, hot: int = HOT) -> DataFrame:
     """(keys, id, a, b, lane): in order of ``priority``, into the first lane where every interval ends by the start or starts by the end.
 
-    Intervals behind the end of all earlier ones begin a new island, which is filled by itself.
+    In a hot key, intervals behind the end of all earlier ones begin a new island, which is filled by itself.
     """
-    apart = islands(df, keys, "_island")
+    apart = _apart(df, keys, True, hot)
     return _folded(apart, [*keys, "_island"], [F.asc(priority), F.asc("id")], _FirstFit, {"lane": "long"}).drop("_island")
 
 

@@ -79,7 +79,7 @@ def test_islands_of_one_key_go_over_many_tasks(spark):
     rows = spark.range(20_000).select(F.lit(1).alias("k"), "id", (F.col("id") * 4).alias("a"), (F.col("id") * 4 + 5 * (F.col("id") % 2)).alias("b"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        parts = lanes.pack(rows, ["k"]).groupBy(F.spark_partition_id()).count().collect()
+        parts = lanes.pack(rows, ["k"], hot=1000).groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(parts) == 4 and max(r["count"] for r in parts) < 8_000
@@ -88,7 +88,7 @@ def test_islands_of_one_key_go_over_many_tasks(spark):
 @pytest.mark.parametrize("touching", [True, False])
 def test_blocks(spark, touching):
     rows = some(12, 90)
-    got = {(r["k"], r["id"]): (r["block"], r["lane"]) for r in lanes.pack_blocks(spans(spark, rows).withColumn("block", F.col("id") % 3), ["k"], "block", touching).collect()}
+    got = {(r["k"], r["id"]): (r["block"], r["lane"]) for r in lanes.pack_blocks(spans(spark, rows).withColumn("block", F.col("id") % 3), ["k"], "block", touching, hot=9).collect()}
     want = {}
     for k in range(3):
         before = 0

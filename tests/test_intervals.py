@@ -61,16 +61,19 @@ def packed(rows, touching):
     return out
 
 
+@pytest.mark.parametrize("hot", [19, 1000])
 @pytest.mark.parametrize("touching", [True, False])
-def test_pack(spark, touching):
+def test_pack(spark, touching, hot):
+    """With 19 some keys are dealt by islands, others not."""
     rows = some(7)
-    got = {(r["k"], r["id"]): r["lane"] for r in lanes.pack(spans(spark, rows), ["k"], touching).collect()}
+    got = {(r["k"], r["id"]): r["lane"] for r in lanes.pack(spans(spark, rows), ["k"], touching, hot).collect()}
     assert got == packed(rows, touching)
 
 
-def test_first_fit(spark):
+@pytest.mark.parametrize("hot", [19, 1000])
+def test_first_fit(spark, hot):
     rows = some(8)
-    got = {(r["k"], r["id"]): r["lane"] for r in lanes.first_fit(spans(spark, rows).withColumn("p", F.col("id") % 5), ["k"], "p").collect()}
+    got = {(r["k"], r["id"]): r["lane"] for r in lanes.first_fit(spans(spark, rows).withColumn("p", F.col("id") % 5), ["k"], "p", hot).collect()}
     for k in range(3):
         placed = []
         for _, i, a, b in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] % 5, r[1])):
