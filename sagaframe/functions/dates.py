@@ -121,7 +121,11 @@ def bce_convention(note: Column, date: Column, bce: str = r"前(\d+)年") -> Col
     return F.when(F.size(years) > 0, F.exists(years, lambda n: date["y"] == -(n - 1)))
 
 
-def claims(c: Column, pattern: str = r"→(\d{4})-(\d{2})-(\d{2})") -> Column:
+#: Fixed value: an arrow or equals sign before a date with hyphens, or with the signs for year, month and day.
+CLAIM = r"[→=]\s*(-?\d{3,4})[-年](\d{1,2})[-月](\d{1,2})日?"
+
+
+def claims(c: Column, pattern: str = CLAIM) -> Column:
     """The dates that a text claims, as an array of struct(y, m, d)."""
     parts = [F.regexp_extract_all(c, F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
     return F.transform(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, "ymd"))), lambda x: F.struct(*(x[n].cast("int").alias(n) for n in "ymd")))

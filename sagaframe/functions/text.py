@@ -176,3 +176,28 @@ def in_whitelist(c: Column, keywords: list[str], markers: list[str], exact: list
     """Whether a title has a keyword or a marker, or is listed."""
     has = lambda ks: F.exists(F.array(*map(F.lit, ks)), lambda k: F.contains(c, k))
     return has(keywords) | has(markers) | c.isin(exact)
+
+
+def context_label(label: Column, name: Column, context: Column) -> Column:
+    """The label with its context in brackets, unless it has the context in it or the context has the name."""
+    return F.when(label.contains(context) | context.contains(name), label).otherwise(F.concat(label, F.lit("（"), context, F.lit("）")))
+
+
+def age_text(age: Column) -> Column:
+    return F.coalesce(F.concat(age.cast("string"), F.lit("歳（数え年）")), F.lit("不詳"))
+
+
+def rank_text(rank: Column, total: Column, tied: Column, direction: str = "") -> Column:
+    """Rank among so many, and whether it is shared; null without a rank."""
+    return F.concat(total.cast("string"), F.lit("名中" + (f"・{direction}" if direction else "")), rank.cast("string"), F.lit("位"), F.when(tied, "タイ").otherwise(""))
+
+
+def monogram(personal: Column, name: Column) -> Column:
+    return F.substring(F.coalesce(personal, name), 1, 1)
+
+
+def thumbnail(url: Column, folder: str = "/portraits/") -> Column:
+    """The address of the small picture that lies in a folder ``thumb`` of the first ``folder``."""
+    at = F.instr(url, folder)
+    head, tail = F.substring(url, F.lit(1), at + len(folder) - 1), F.substring(url, at + len(folder), F.length(url))
+    return F.when(at > 0, F.concat(head, F.lit("thumb/"), tail)).otherwise(url)

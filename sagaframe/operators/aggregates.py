@@ -49,6 +49,17 @@ def distribution(df: DataFrame, category: str, order: list[str]) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.sum("n").alias("_all")))).withColumn("percent", percent(F.col("n"), F.col("_all"))).drop("_all")
 
 
+def place(c: Column, order: list[str]) -> Column:
+    """The place of a value in a curated order, from 0; the plan fails at a value that the order doesn't have."""
+    found = F.array_position(F.array(*map(F.lit, order)), c).cast("int")
+    return F.when(found > 0, found - 1).otherwise(F.raise_error(F.concat(F.lit("not in the order: "), F.coalesce(c, F.lit("null")))))
+
+
+def by_field(hits: DataFrame, field: str, *taken: str) -> DataFrame:
+    """(field, n, hits) of findings by the field's name before its first index; the hits, of which a report has few, in order."""
+    return hits.groupBy(F.substring_index(field, "[", 1).alias(field)).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*taken))).alias("hits"))
+
+
 def pivot_shares(df: DataFrame, key: str, category: str, categories: list[str]) -> DataFrame:
     """Group by category counts, zero-filled in a fixed order, with percents of the row's total."""
     wide = df.groupBy(key).agg(*(count_if(F.col(category) == c).alias(f"n_{i}") for i, c in enumerate(categories)), F.count("*").alias("n"))

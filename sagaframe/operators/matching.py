@@ -104,6 +104,47 @@ def in_ranges(points: DataFrame, ranges: DataFrame, at: str, take: list[str], bo
     return found.select(*points.columns, *(F.when(F.col(at) <= F.col("_b"), F.col(c)).alias(c) for c in take))
 
 
+def parallel_row(points: DataFrame, spans: DataFrame, at: str, row: str, take: list[str], width: int, down: bool = True) -> DataFrame:
+    """``points`` with near_row, near_a and ``take`` (near_*) of the span [a, b] in the nearest row below (above) their own
+    that holds ``at`` or ended just before it; of several in that row the first by a and ``take``. Points need a column ``id``."""
+    held = spans.select(F.col("a").alias("ra"), (F.col("b") + 1).alias("rb"), F.col("row").alias("_row"), F.struct("a", *take).alias("_span"))
+    met = overlaps(points.select("id", row, F.col(at).alias("a"), F.col(at).alias("b")), held, [], width)
+    apart = F.col("_row") - F.col(row) if down else F.col(row) - F.col("_row")
+    best = met.where(apart > 0).groupBy("id").agg(F.min_by(F.struct("_row", "_span"), F.struct(apart, "_span")).alias("_best"))
+    return points.join(best, "id", "left").select(*points.columns, F.col("_best._row").alias("near_row"), F.col("_best._span.a").alias("near_a"), *(F.col(f"_best._span.{c}").alias(f"near_{c}") for c in take))
+
+
+def next_in_row(spans: DataFrame, row: str, group: str, forward: bool = True) -> DataFrame:
+    """``spans`` with the ``group`` and distance of the nearest span of another group in their row that begins behind their end
+    (ends before their start)."""
+    place, other = ("b", "a") if forward else ("a", "b")
+    # a span's own group mustn't hide the others: with each place go the nearest group from there on and the nearest other one
+    at = spans.groupBy(row, other).agg(F.min(group).alias("_lo"), F.max(group).alias("_hi"))
+    from_far = Window.partitionBy(row).orderBy(F.desc(other) if forward else F.asc(other))
+    last = lambda c: F.lag(c).over(from_far)
+    differs = F.when(last("_lo") != F.col("_lo"), last("_lo")).when(last("_hi") != F.col("_lo"), last("_hi"))
+    carried = at.withColumn("_far", F.when(differs.isNotNull(), F.struct(differs.alias("g"), last(other).alias("x"))))
+    beyond = F.last("_far", ignorenulls=True).over(from_far.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    here = lambda c: F.struct(F.col(c).alias("g"), F.col(other).alias("x"))
+    two = carried.withColumn("_one", here("_lo")).withColumn("_two", F.when(F.col("_lo") != F.col("_hi"), here("_hi")).otherwise(beyond))
+    step = 1 if forward else -1
+    asked = spans.withColumn("_at", F.col(place) + step)
+    near = asof(asked, two.withColumnRenamed(other, "_at").select(row, "_at", "_one", "_two"), [row], "_at", ["_one", "_two"], forward=forward)
+    best = F.when(F.col("_one.g") != F.col(group), F.col("_one")).otherwise(F.col("_two"))
+    return near.select(*spans.columns, best["g"].alias("near_group"), F.abs(best["x"] - F.col(place)).alias("distance"))
+
+
+def with_lists(df: DataFrame, other: DataFrame, on: str, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with an array of the other side's values in order, empty where it has none."""
+    lists = other.groupBy(on).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias(name))
+    return df.join(lists, on, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+
+
+def restored(given: dict[str, str], domains: dict[str, list[str]]) -> dict[str, str]:
+    """The filters that a caller's parameters ask for: those with a known name and a value of its domain."""
+    return {name: value for name, value in given.items() if value in domains.get(name, ())}
+
+
 def containing_else_latest(points: DataFrame, spans: DataFrame, keys: list[str], at: str, take: list[str]) -> DataFrame:
     """``points`` with the span of equal keys that holds them, else the latest begun, else the first.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,6 +13,7 @@ from sagaframe.functions import dates as D
 from sagaframe.functions import text as T
 from sagaframe.operators import graph, matching, quality, search
 from sagaframe.operators.quality import Rule
+from sagaframe.sources import corpus as corpora
 
 
 @dataclass(frozen=True)
@@ -260,13 +262,14 @@ def quotations(units: DataFrame, known: DataFrame, corpus: DataFrame) -> DataFra
     return fresh.select("key", status.alias("status"), "doc_id")
 
 
-def quotation_check(units: DataFrame, known: DataFrame, corpus: DataFrame | None = None, variants: dict[str, str] | None = None) -> DataFrame:
+def quotation_check(units: DataFrame, known: DataFrame, corpus: DataFrame | Callable[[DataFrame], DataFrame] | None = None, variants: dict[str, str] | None = None) -> DataFrame:
     """Violations (rule, severity, key, detail) of a ledger (key, status, corpusFile, frags) against the units (key, span).
 
     Units that it lacks or left unresolved are errors, entries without a unit, defects and gaps of the
     corpus warnings. With a ``corpus`` (path, text) the found ones are looked up again in the file that
     the ledger names: an unreadable file is a warning, one with none of the stored fragments an error.
     A ledger without fragments of a unit isn't held against it. Without a corpus only coverage is checked.
+    A corpus may also be a function that reads the files of given paths, such as that of ``rooted``.
     """
     want = units.select("key", "span").dropDuplicates(["key"])
     held = want.join(known.select("key", "status", "corpusFile", "frags").dropDuplicates(["key"]).withColumn("_there", F.lit(True)), "key", "left")
@@ -279,7 +282,9 @@ def quotation_check(units: DataFrame, known: DataFrame, corpus: DataFrame | None
     ]
     if corpus is not None:
         again = held.where(F.col("status").isin("cache", "corpus")).select("key", F.coalesce("corpusFile", F.lit("")).alias("path"), "frags")
-        named = corpus.join(again.select("path").distinct(), "path", "left_semi").select("path", T.for_match(F.col("text"), variants or {}).alias("_text")).dropDuplicates(["path"])
+        asked = again.select("path").distinct()
+        own = corpus(asked) if callable(corpus) else corpus.join(asked, "path", "left_semi")
+        named = own.select("path", T.for_match(F.col("text"), variants or {}).alias("_text")).dropDuplicates(["path"])
         looked = again.join(named, "path", "left")
         unread = F.coalesce(F.col("_text"), F.lit("")) == ""
         lost = ~unread & (F.size("frags") > 0) & ~F.exists("frags", lambda f: F.contains("_text", f))
@@ -287,6 +292,13 @@ def quotation_check(units: DataFrame, known: DataFrame, corpus: DataFrame | None
     return reduce(DataFrame.union, out)
 
 
+def rooted(roots: list[str]) -> Callable[[DataFrame], DataFrame] | None:
+    """The corpus of ``quotation_check`` below some roots, read file by file as the ledger asks; None, so that the
+    files' rules are left out, where no root exists."""
+    there = corpora.available(roots)
+    return (lambda paths: corpora.keyed(paths, there)) if there else None
+
+
 def status_counts(units: DataFrame, known: DataFrame) -> DataFrame:
     """(status, n) of the units that the ledger has."""
     return units.select("key").join(known.select("key", "status").dropDuplicates(["key"]), "key").groupBy("status").agg(F.count("*").alias("n"))

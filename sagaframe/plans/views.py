@@ -104,6 +104,26 @@ def event_rows(records: DataFrame) -> DataFrame:
     return rows.withColumn("end_label", F.when(~F.col("_end").eqNullSafe(F.col("label")), F.col("_end"))).drop("_end")
 
 
+def event_summaries(records: DataFrame) -> DataFrame:
+    """(id, kind, ev_ix, summary): one line for each event, by its kind: what a campaign was against, a rebellion's name or
+    leader, a capital's move; of other kinds the first sentence of the note."""
+    revolt = F.coalesce("name", F.concat(F.when(F.col("leader") != "", F.col("leader")), F.lit("の反乱")), F.lit("反乱"))
+    moved = F.concat(F.coalesce("from", F.lit("?")), F.lit(" → "), F.coalesce("to", F.lit("?")))
+    of = lambda *kinds: F.col("kind").isin(*(f"{k}Count" for k in kinds))
+    summary = F.when(of("personalCampaign"), F.coalesce("target", F.lit("親征"))).when(of("rebellionSuppression", "rebellionSuffered"), revolt).when(of("capitalRelocation"), moved)
+    return events(records).select("id", "kind", "ev_ix", summary.otherwise(F.coalesce(T.first_sentence(F.col("note")), F.lit("（記録なし）"))).alias("summary"))
+
+
+def detail_rows(metric: str) -> Column:
+    """Labels and values of a record of ``wide`` beside the metric shown, which isn't told twice; missing ages are left out."""
+    rows = [] if metric == "days" else [("在位期間", D.duration(F.col("days")))]
+    rows += [("死因", F.col("death_cause")), ("即位経路", F.col("accession_route"))]
+    if metric != "death_age":
+        rows.append(("没年齢", F.concat(F.col("death_age").cast("string"), F.lit("歳"))))
+    told = F.array(*(F.struct(F.lit(label).alias("label"), value.alias("value")) for label, value in rows))
+    return F.filter(told, lambda x: (x["label"] != "没年齢") | x["value"].isNotNull())
+
+
 def event_order() -> list[Column]:
     return [F.asc_nulls_last("sort_key"), F.asc("kind_ord"), F.asc("ev_ix")]
 
