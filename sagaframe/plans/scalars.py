@@ -52,8 +52,8 @@ def jdn_julian_cutover(spark, sf):
 @query("SELECT l_orderkey, CAST(sum(date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE))) AS BIGINT) AS days FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1")
 def exact_days(spark, sf):
     text = lambda c: dates.parse_strict(F.date_format(F.col(c).cast("date"), "yyyy-MM-dd"))
-    joined = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
-    return joined.groupBy("l_orderkey").agg(F.sum(dates.exact_days(text("o_orderdate"), text("l_shipdate"))).alias("days"))
+    joined = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), text("o_orderdate").alias("ordered")), "l_orderkey")
+    return joined.groupBy("l_orderkey").agg(F.sum(dates.exact_days(F.col("ordered"), text("l_shipdate"))).alias("days"))
 
 
 @query("""WITH y AS (SELECT o_orderkey, CAST(o_orderkey % 400 - 200 AS BIGINT) AS y FROM orders WHERE o_orderkey % 400 <> 200)

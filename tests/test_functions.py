@@ -111,3 +111,11 @@ def test_html_and_csv(spark):
     assert [one(spark, T.csv_cell(F.lit(x))) for x in ("a", 'a"b', "a,b", None, 0)] == ["a", '"a""b"', '"a,b"', "", "0"]
     assert one(spark, T.in_whitelist(F.lit("big blog"), ["blog"], [], [])) is True and one(spark, T.in_whitelist(F.lit("x"), ["blog"], ["utm"], ["y"])) is False
     assert one(spark, T.null_claim(F.lit("age: stays null here"), "age")) is True
+
+
+def test_parse_strict_makes_and_matches_its_text_once(spark):
+    df = spark.createDataFrame([("0618-02-03", 1), ("-0209-01-05", 1), ("0618-02", 1), ("0618-13-01", 1), ("0618-02-00", 1), ("618-02-03", 1), ("0618-02-03x", 1), ("", 1), (None, 1)], "s string, n int")
+    parsed = df.select(D.parse_strict(F.concat("s", F.lit(""))).alias("p"))
+    plan = parsed._jdf.queryExecution().analyzed().toString()
+    assert plan.count("concat(") == 1 and plan.upper().count("RLIKE") == 1 and "regexp_extract" not in plan
+    assert [r["p"] and tuple(r["p"]) for r in parsed.collect()] == [(618, 2, 3), (-209, 1, 5), (618, 2, None), None, None, None, None, None, None]
