@@ -28,6 +28,7 @@ def islands(df: DataFrame, keys: list[str], name: str, touching: bool = True, bu
     bucket = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x < F.col("a"))) if edges else F.lit(0)
     # a struct, unlike its fields, is never null and equals another with the same nulls
     rows = df.withColumn("_key", F.struct(*keys)).withColumn("_bucket", bucket)
+    # equal rows stand in any order, and in another one after a join: what begins at the first of them counts for all
     inside = Window.partitionBy("_key", "_bucket").orderBy(F.asc("a"), F.desc("b"))
 
     def carried(rows: DataFrame, value: str) -> DataFrame:
@@ -39,7 +40,7 @@ def islands(df: DataFrame, keys: list[str], name: str, touching: bool = True, bu
     reached = carried(rows, "b").withColumn("_reach", reach).drop("_base")
     behind = F.col("a") >= F.col("_reach") if touching else F.col("a") > F.col("_reach")
     begun = carried(reached.withColumn("_begins", F.when(F.col("_reach").isNull() | behind, F.col("a"))).drop("_reach"), "_begins")
-    last = F.greatest("_base", F.max("_begins").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.greatest("_base", F.max("_begins").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return begun.withColumn(name, last).select(*df.columns, name)
 
 
