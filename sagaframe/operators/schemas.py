@@ -1,17 +1,19 @@
 """JSON Schemas compiled into one projection that lists the violations at every level of a value.
 
 A schema becomes nested expressions over VARIANT: each definition binds its value once, tests it and goes on
-to its members and elements. Rows are checked where they are read, without a shuffle and without Python.
+to its members and elements. Structs are checked by their fields, with no JSON made or parsed and with types
+that are known beforehand. Rows are checked where they are read, without a shuffle and without Python.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
-from typing import Any
+from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FOUND = "array<struct<path:string,rule:string,detail:string>>"
 #: The keywords of a schema that say nothing of values.
@@ -42,6 +44,27 @@ def strict(schema: Any) -> Any:
     return out
 
 
+#: The types of columns whose values are checked as they are, by the kind that a VARIANT would have.
+KINDS: dict[str, tuple[type, ...]] = {
+    "OBJECT": (T.StructType,), "ARRAY": (T.ArrayType,), "STRING": (T.StringType,), "BOOLEAN": (T.BooleanType,),
+    "BIGINT": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "DOUBLE": (T.FloatType, T.DoubleType), "DECIMAL": (T.DecimalType,),
+}
+
+
+class Typed(NamedTuple):
+    """A value of a known type; null is absent, as in the JSON of a struct."""
+
+    column: Column
+    of: T.DataType
+
+    @property
+    def kind(self) -> str:
+        for kind, types in KINDS.items():
+            if isinstance(self.of, types) and not (kind == "ARRAY" and self.of.containsNull):
+                return kind
+        raise ValueError(f"a type that is checked as JSON only: {self.of.simpleString()}")
+
+
 def _none() -> Column:
     return F.array().cast(FOUND)
 
@@ -56,10 +79,12 @@ def _all(parts: list[Column]) -> Column:
 
 
 def _text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
+    return F.to_json(v.column) if isinstance(v, Typed) and v.kind in ("OBJECT", "ARRAY") else v.column.cast("string") if isinstance(v, Typed) else F.try_variant_get(v, "$", "string")
 
 
 def _number(v: Column) -> Column:
+    if isinstance(v, Typed):
+        return v.column.cast("double") if v.kind in ("BIGINT", "DOUBLE", "DECIMAL") else F.lit(None).cast("double")
     return F.try_variant_get(v, "$", "double")
 
 
@@ -76,7 +101,7 @@ def _equals(v: Column, kind: Column, constant: Any) -> Column:
     if constant is None:
         return kind == "VOID"
     if isinstance(constant, bool):
-        return _is(v, kind, "boolean") & (F.try_variant_get(v, "$", "boolean") == constant)
+        return _is(v, kind, "boolean") & ((v.column if isinstance(v, Typed) else F.try_variant_get(v, "$", "boolean")) == constant)
     if isinstance(constant, str):
         return _is(v, kind, "string") & (_text(v) == constant)
     if isinstance(constant, (int, float)):
@@ -84,7 +109,14 @@ def _equals(v: Column, kind: Column, constant: Any) -> Column:
     raise ValueError(f"a constant that is an object or a list: {constant!r}")
 
 
-def _member(v: Column, name: str) -> Column:
+def _there(v: Column | Typed | None) -> Column:
+    return F.lit(False) if v is None else (v.column if isinstance(v, Typed) else v).isNotNull()
+
+
+def _member(v: Column | Typed, name: str) -> Column | Typed | None:
+    """The member; None where a type has no such field."""
+    if isinstance(v, Typed):
+        return Typed(v.column.getField(name), v.of[name].dataType) if v.kind == "OBJECT" and name in v.of.names else None
     quote = "'" if '"' in name else '"'
     if quote in name:
         raise ValueError(f"a member with both kinds of quotes: {name!r}")
@@ -109,8 +141,12 @@ def compiled(schema: Any, value: Column, path: Column, root: Any = None, via: tu
     root = schema if root is None else root
     if schema is True or schema == {}:
         return _none()
+    if value is None:
+        return _none()
     if schema is False:
-        return _one(value.isNotNull(), path, "false", "")
+        return _one(_there(value), path, "false", "")
+    if isinstance(value, Typed):
+        return F.when(_there(value), _node(schema, value, F.lit(value.kind), path, root, via)).otherwise(_none())
     bound = F.array(F.struct(value.alias("v"), F.schema_of_variant(value).alias("kind")))
     checked = F.flatten(F.transform(bound, lambda b: _node(schema, b["v"], b["kind"], path, root, via)))
     return F.when(value.isNull(), _none()).otherwise(checked)
@@ -144,8 +180,15 @@ def _node(schema: dict, v: Column, kind: Column, path: Column, root: Any, via: t
 def _members(schema: dict, v: Column, kind: Column, path: Column, within: Callable) -> list[Column]:
     listed, patterns, rest = schema.get("properties", {}), schema.get("patternProperties", {}), schema.get("additionalProperties", True)
     is_object = _is(v, kind, "object")
-    out = [_one(is_object & _member(v, name).isNull(), path, "required", name) for name in schema.get("required", [])]
+    out = [_one(is_object & ~_there(_member(v, name)), path, "required", name) for name in schema.get("required", [])]
     out += [F.when(is_object, within(sub, _member(v, name), F.concat(path, F.lit(f".{name}")))).otherwise(_none()) for name, sub in listed.items()]
+    if isinstance(v, Typed):
+        if patterns:
+            raise ValueError("patterns of members are checked in JSON only")
+        for name in v.of.names if v.kind == "OBJECT" and rest is not True else ():
+            if name not in listed:
+                out.append(_one(_there(_member(v, name)), path, "additionalProperties", name) if rest is False else within(rest, _member(v, name), F.concat(path, F.lit(f".{name}"))))
+        return out
     entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
     named = lambda of, pattern: F.filter(of, lambda e: e["key"].rlike(pattern))
     each = lambda of, sub: F.flatten(F.transform(of, lambda e: within(sub, e["value"], F.concat(path, F.lit("."), e["key"]))))
@@ -163,13 +206,16 @@ def _members(schema: dict, v: Column, kind: Column, path: Column, within: Callab
 
 
 def _elements(schema: dict, v: Column, kind: Column, path: Column, within: Callable) -> list[Column]:
-    is_array, elements = _is(v, kind, "array"), F.try_variant_get(v, "$", "array<variant>")
+    if isinstance(v, Typed) and v.kind != "ARRAY":
+        return []
+    is_array, elements = _is(v, kind, "array"), v.column if isinstance(v, Typed) else F.try_variant_get(v, "$", "array<variant>")
+    element = lambda x: Typed(x, v.of.elementType) if isinstance(v, Typed) else x
     out = []
     for word, bad in {"minItems": lambda n: F.size(elements) < n, "maxItems": lambda n: F.size(elements) > n}.items():
         if word in schema:
             out.append(_one(is_array & bad(schema[word]), path, word, F.size(elements)))
     if "items" in schema:
-        each = F.transform(elements, lambda x, i: within(schema["items"], x, F.concat(path, F.lit("["), i, F.lit("]"))))
+        each = F.transform(elements, lambda x, i: within(schema["items"], element(x), F.concat(path, F.lit("["), i, F.lit("]"))))
         out.append(F.when(is_array, F.flatten(each)).otherwise(_none()))
     return out
 
@@ -189,12 +235,16 @@ def _choices(schema: dict, path: Column, within: Callable) -> list[Column]:
 def violations(df: DataFrame, json: str, key: str, schema: dict, closed: bool = False, root: dict | None = None, start: Column | str = "$") -> DataFrame:
     """(key, path, rule, detail) of the JSON texts that break a schema, or with ``closed`` its strict form.
 
-    A text that isn't JSON breaks the rule ``json``; a null text breaks none. ``root`` is the document that
+    A text that isn't JSON breaks the rule ``json``; a null text breaks none. ``json`` may also be a struct of structs,
+    arrays without nulls, texts, numbers and booleans, checked by its fields: null ones are absent, as in its JSON. ``root`` is the document that
     references point into where ``schema`` is a part of it, ``start`` the path of the value.
     """
     if closed:
         schema, root = strict(schema), strict(root)
     at = F.lit(start) if isinstance(start, str) else start
+    if isinstance(of := df.schema[json].dataType, T.StructType):
+        rows = df.select(F.col(key).cast("string").alias("key"), at.alias("_at"), F.col(json).alias("_v"))
+        return rows.select("key", F.explode(compiled(schema, Typed(F.col("_v"), of), F.col("_at"), root)).alias("_f")).select("key", "_f.*")
     rows = df.select(F.col(key).cast("string").alias("key"), at.alias("_at"), F.col(json).isNotNull().alias("_there"), F.try_parse_json(F.col(json)).alias("_v"))
     unread = _one(F.col("_there"), F.col("_at"), "json", "")
     found = F.when(F.col("_v").isNull(), unread).otherwise(compiled(schema, F.col("_v"), F.col("_at"), root))

@@ -39,14 +39,14 @@ UNION ALL SELECT id, '$.head.total', 'maximum' FROM (SELECT DISTINCT id FROM l)
 
 @query(f"WITH {_LINES}, v AS ({_RULES}) SELECT CAST(id AS VARCHAR) AS key, path, rule FROM v")
 def schema_violations(spark, sf):
-    docs = nested_orders(spark, sf).select("id", F.to_json(F.struct("id", "head", "lines")).alias("json"))
-    return schemas.violations(docs, "json", "id", ORDER).select("key", "path", "rule")
+    docs = nested_orders(spark, sf).select("id", F.struct("id", "head", "lines").alias("order"))
+    return schemas.violations(docs, "order", "id", ORDER).select("key", "path", "rule")
 
 
 @query(f"WITH {_LINES}, v AS ({_RULES} UNION ALL SELECT id, '$.lines[' || i || ']', 'additionalProperties' FROM l WHERE no = 5) SELECT CAST(id AS VARCHAR) AS key, path, rule FROM v")
 def schema_violations_strict(spark, sf):
-    docs = nested_orders(spark, sf).select("id", F.to_json(F.struct("id", "head", "lines")).alias("json"))
-    return schemas.violations(docs, "json", "id", ORDER, closed=True).select("key", "path", "rule")
+    docs = nested_orders(spark, sf).select("id", F.struct("id", "head", "lines").alias("order"))
+    return schemas.violations(docs, "order", "id", ORDER, closed=True).select("key", "path", "rule")
 
 
 @query(f"""WITH {_LINES}, w AS (SELECT id, i, unnest(string_split(mode, ' ')) AS value, generate_subscripts(string_split(mode, ' '), 1) - 1 AS j FROM l)

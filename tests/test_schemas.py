@@ -104,3 +104,26 @@ def test_paths(spark):
     assert got == [(1, "n#0", "a"), (1, "n#1", "b"), (1, "q[0]", "x"), (1, "r0-0", "u"), (1, "r0-2", "v"), (3, "m", "k")]
     with pytest.raises(ValueError):
         paths.values(df, "id", [paths.Path("o.m", "{}")])
+
+
+def test_structs_are_checked_by_their_fields_as_their_json_is(spark):
+    schema = {
+        "type": "object", "required": ["id", "head"], "properties": {
+            "id": {"type": "string"}, "head": {"type": "object", "required": ["flag"], "properties": {"flag": {"type": "string", "pattern": "^[AR]$", "maxLength": 2}, "on": {"const": True}}},
+            "lines": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer", "minimum": 2}, "x": {"enum": [1, 2.5]}}}}, "gone": {"type": "number"},
+        },
+    }
+    kind = "id int, head struct<flag:string,on:boolean>, lines array<struct<n:double,x:double,more:string>>"
+    rows = [(1, ("A", True), [(2.0, 1.0, None)]), (2, ("BBB", False), []), (3, None, None), (4, (None, None), [(1.5, 3.0, "m"), (None, 2.5, None), (2.0, None, "")]), (None, ("R", True), [(3.0, 1.0, "x")])]
+    df = spark.createDataFrame(rows, kind).select(F.monotonically_increasing_id().alias("k"), F.struct("id", "head", F.filter(F.coalesce("lines", F.array()), lambda x: x.isNotNull()).alias("lines")).alias("v"))
+    assert df.schema["v"].dataType["lines"].dataType.containsNull
+    for closed in (False, True):
+        with pytest.raises(ValueError, match="checked as JSON only"):
+            schemas.violations(df, "v", "k", schema, closed)
+    lines = F.sort_array(F.collect_list(F.when(F.col("l.n").isNotNull() | F.col("l.x").isNotNull() | F.col("l.more").isNotNull(), F.col("l"))))
+    told = df.select("k", "v.id", "v.head", F.explode_outer("v.lines").alias("l")).groupBy("k").agg(F.first("id").alias("id"), F.first("head").alias("head"), lines.alias("lines"))
+    told = told.select("k", F.struct("id", "head", "lines").alias("v"))
+    for closed in (False, True):
+        got = sorted(map(tuple, schemas.violations(told, "v", "k", schema, closed).select("key", "path", "rule").collect()))
+        want = sorted(map(tuple, schemas.violations(told.withColumn("v", F.to_json("v")), "v", "k", schema, closed).select("key", "path", "rule").collect()))
+        assert got == want and len(got) > 10
