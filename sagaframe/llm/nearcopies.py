@@ -8,8 +8,10 @@ whose votes are about even flip first, so few probes do what a ball over all bit
 Pairs met in the table are verified by the distance of whole fingerprints and last on the whole sets.
 
 Texts that are equal are one node. Members of a bucket are compared with its lead, each with the nearest
-leads first; only buckets whose members are still in several components are then compared across
-components, which loses no link between components and never makes all pairs of a group of copies.
+leads first; of buckets whose members are still in several components those around one lead are compared by
+their differences from it (``differences``), and only what is far from it across components. Whole fingerprints
+keep the triangle inequality, so this loses no link between components, and never makes all pairs of a group
+of copies.
 """
 
 from __future__ import annotations
@@ -24,12 +26,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sagaframe.llm import differences
 from sagaframe.llm.common import checkpoint_dir, cut, portions
 from sagaframe.llm.graph import connected_components
 
 SHINGLE, SEGMENTS, WIDTH, UNSURE, PROBES, PRINTS, BROADCAST_NODES = 5, 20, 24, 8, 10, 2, 1_000_000
 #: Bits that may differ, of the 64 * PRINTS that probes carry and of all 640: at an index of 0.8 they are 19 and 96 on average, 2.7 deviations less.
 PRINT_BITS, WHOLE_BITS = 30, 120
+#: Nodes whose whole fingerprints differ in no more bits from a lead's are compared by their differences from it alone.
+AROUND = 160
 _GOLDEN, _A, _B = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: The ways to flip some of a segment's UNSURE least certain bits.
 _WAYS = np.array([x for x in range(1 << UNSURE) if x.bit_count() <= 4], np.int64)
@@ -143,10 +148,15 @@ def _sided(made: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return tuple(made.select(F.col("node").alias(end), F.col(column).alias(f"_{end}")) for end in ("src", "dst"))
 
 
+def _bits(a: str, b: str) -> Column:
+    """How many bits of whole fingerprints differ."""
+    words = (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range((SEGMENTS * WIDTH + 32) // 64 + PRINTS))
+    return functools.reduce(Column.__add__, words)
+
+
 def _close(a: str, b: str) -> Column:
     """Whether whole fingerprints are near enough for similar sets."""
-    words = (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range((SEGMENTS * WIDTH + 32) // 64 + PRINTS))
-    return functools.reduce(Column.__add__, words) <= WHOLE_BITS
+    return _bits(a, b) <= WHOLE_BITS
 
 
 def _likely(pairs: DataFrame, made: DataFrame) -> DataFrame:
@@ -173,6 +183,24 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
 
 
+def _several(rooted: DataFrame) -> DataFrame:
+    """The buckets (key, node, root) without those that are within one component."""
+    several = rooted.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+    return cut(rooted.join(several, "key"))
+
+
+def _led(rooted: DataFrame) -> DataFrame:
+    """Buckets (key, node, exact, root, whole) of several components with a ``lead`` each, and by how many bits of whole fingerprints each node differs from it: ``far``.
+
+    A bucket's lead is of the component that is in it most: the node of that component that is in most buckets, this one or others.
+    """
+    rooted = _several(rooted)
+    most = rooted.groupBy("key").agg(F.mode("root", deterministic=True).alias("lead_root"))
+    heads = rooted.groupBy("root", "node").agg(F.count("*").alias("n"), F.first("whole").alias("head")).groupBy(F.col("root").alias("lead_root")).agg(F.max_by(F.struct("node", "head"), F.struct("n", "node")).alias("of"))
+    leads = most.join(heads, "lead_root").select("key", "lead_root", F.col("of.node").alias("lead"), F.col("of.head").alias("head"))
+    return cut(rooted.join(leads, "key").withColumn("far", _bits("whole", "head")).drop("head"))
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Edges (src, dst) among the nodes of documents (node, text) with the components of all similar pairs that the table holds."""
     every = entries(docs).repartition("key")
@@ -193,11 +221,17 @@ def links(docs: DataFrame) -> DataFrame:
     several = met.where("many").select("key", "node", "exact")
     rooted = several.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = cut(rooted.join(_made(docs, several.select("node").distinct(), sets=False), "node"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.mode("root").alias("most")).where("low <> high").select("key", "most")
-    x, y = rooted.join(mixed, "key").where("root <> most").alias("x"), rooted.alias("y")
-    across = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("most")) | (F.col("x.node") < F.col("y.node")))
+    led = _led(rooted)
+    groups = cut(led.where(F.col("far") <= AROUND + WHOLE_BITS).select("lead", "node", "root").distinct())
+    mixed = groups.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("lead")
+    groups = cut(groups.join(mixed, "lead"))
+    around = _made(docs, _ends(groups.select(F.col("lead").alias("src"), F.col("node").alias("dst"))), sets=True)
+    stars_ = led.where((F.col("far") <= WHOLE_BITS) & (F.col("root") != F.col("lead_root"))).select(F.least("node", "lead").alias("src"), F.greatest("node", "lead").alias("dst"))
+    rest = _several(led.where(F.col("far") > AROUND).select("key", "node", "exact", "root", "whole"))
+    x, y = rest.alias("x"), rest.alias("y")
+    across = (F.col("x.root") != F.col("y.root")) & (F.col("x.node") < F.col("y.node"))
     pairs = x.join(y, "key").where(across & (F.col("x.exact") | F.col("y.exact")) & _close("x.whole", "y.whole"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("src"), F.greatest("x.node", "y.node").alias("dst")).distinct()
+    pairs = pairs.select(F.col("x.node").alias("src"), F.col("y.node").alias("dst")).union(stars_).union(differences.similar(groups, around, 80)).distinct()
     tried = stars.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
     pairs = cut(pairs.join(tried, ["src", "dst"], "left_anti"))
     return near.union(_verified(pairs, _made(docs, _ends(pairs), sets=True)))
