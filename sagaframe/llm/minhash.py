@@ -11,10 +11,11 @@ coordinates, one is among any COORDINATES - MATCHES + 1 coordinates of either, s
 its rarest ones only. *Skip*: a value that no other document has collides with nothing; it takes its place in the
 prefix without being posted, and a document that has fewer than MATCHES other values is skipped altogether.
 
-Documents with equal sets are one node. A list of many nodes isn't expanded into pairs: each turn compares a
-list's nodes with a central one of them, its lead, but for those that are in the lead's component already. Once a turn
-no longer shrinks the lists that hold several components, what is still apart is compared across components, by
-sizes and signatures first. So the components are those of all retained pairs.
+Documents with equal sets are one node. A list of many nodes isn't expanded into pairs: its nodes are compared with a
+central one of them, its lead. Where several components are left, the nodes around the lead are compared by their
+differences from it (``differences``). Sketches that differ in APART bits at most keep the triangle inequality: of a pair
+with one node within AROUND bits of the lead, the other is within AROUND + APART. So only nodes beyond AROUND are left
+for comparison across components, by sizes and sketches first. So the components are those of all retained pairs.
 """
 
 from __future__ import annotations
@@ -29,15 +30,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sagaframe.llm import differences
 from sagaframe.llm.common import checkpoint_dir, cut, portions
 from sagaframe.llm.graph import connected_components
 from sagaframe.llm.nearcopies import shingles
 
 COORDINATES, MATCHES, CHUNK, BROADCAST_NODES = 32, 13, 4096, 1_000_000
-#: Another turn with leads is worth its while if the one before left so many of the pairs or fewer.
-SHRINKS = 0.3
+#: Nodes of a list that are compared with one another without a lead.
+SHORT = 16
 #: Bits of a sketch, and how many may differ: over so many do with a probability of 2e-7 at an index of 0.8.
 BITS, APART = 512, 88
+#: Nodes whose sketches differ in no more bits from a lead's are compared by their differences from it alone.
+AROUND = 64
 #: One odd factor and one summand for each coordinate and each bit.
 _DRAWN = np.random.default_rng(13).integers(0, 1 << 63, (2, COORDINATES + BITS, 1), np.uint64)
 _FACTORS, _SUMMANDS = _DRAWN[0] * np.uint64(2) + np.uint64(1), _DRAWN[1]
@@ -161,47 +165,72 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return cut(_sided(retained, whole, "shingles").where(100 * same >= percent * (both - same)).select("src", "dst"))
 
 
-def _rooted(lists: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The lists with each node's root, without lists that are within one component."""
-    if links is None:
-        return lists.withColumn("root", F.col("node"))
-    rooted = lists.join(connected_components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = rooted.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("token")
-    return rooted.join(several, "token")
+def _several(lists: DataFrame) -> DataFrame:
+    """The lists without those that are within one component."""
+    several = lists.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("token")
+    return lists.join(several, "token")
 
 
-def _pairs(rooted: DataFrame) -> float:
-    """How many pairs the lists' nodes make at most."""
-    return rooted.groupBy("token").agg((F.count("*").cast("double") * F.count("*") / 2).alias("n")).agg(F.sum("n")).first()[0] or 0.0
+def _ends(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
+
+
+def _among(lists: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of each list's nodes that aren't in one component and that sizes and sketches allow."""
+    x, y = (lists.join(nodes.select("node", "size", "sketch"), "node").select("token", *(F.col(c).alias(f"{mark}_{c}") for c in ("node", "root", "size", "sketch"))) for mark in "ab")
+    return x.join(y, "token").where("a_node < b_node AND a_root <> b_root").where(alike("a_", "b_", percent)).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst"))
+
+
+def _led(lists: DataFrame, leads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The lists (token, node, central, root) with their ``leads`` (token, lead, lead_root), and by how many bits of sketches each node differs from its own: ``far``."""
+    led = lists.join(leads, "token")
+    stars = _sided(led.select(F.col("node").alias("src"), F.col("lead").alias("dst")).distinct(), nodes, "sketch")
+    stars = stars.select(F.col("src").alias("node"), F.col("dst").alias("lead"), apart("a_sketch", "b_sketch").alias("far"))
+    return cut(led.join(stars, ["node", "lead"]))
+
+
+def _gathered(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``_led`` with few leads for many lists, in the list or not: the most central node of the component that a list has most of, or one around it that leads more."""
+    heads = lists.groupBy(F.col("root").alias("lead_root")).agg(F.max_by("node", F.struct("central", "node")).alias("lead"))
+    leads = cut(lists.groupBy("token").agg(F.mode("root", deterministic=True).alias("lead_root")).join(heads, "lead_root"))
+    led = _led(lists, leads, nodes)
+    weights = led.groupBy("lead").agg(F.count("*").alias("n"))
+    around = led.where((F.col("far") <= AROUND) & (F.col("node") != F.col("lead"))).join(weights, "lead").join(weights.select(F.col("lead").alias("node"), F.col("n").alias("own")), "node")
+    most = F.struct("n", "lead")
+    better = around.where(most > F.struct(F.col("own"), F.col("node"))).groupBy(F.col("node").alias("lead")).agg(F.max_by("lead", most).alias("better"), F.max_by("lead_root", most).alias("better_root"))
+    better = cut(leads.join(better, "lead").select("token", F.col("better").alias("lead"), F.col("better_root").alias("lead_root")))
+    same = led.join(better.select("token"), "token", "left_anti")
+    return cut(same.unionByName(_led(lists, better, nodes)))
+
+
+def _stars(led: DataFrame) -> DataFrame:
+    """The pairs of nodes with leads of other components that sketches allow."""
+    return led.where(F.col("far") <= APART).where("root <> lead_root").select(*_ends("node", "lead")).distinct()
+
+
+def _sizes_allow(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    return _sided(pairs, nodes, "size").where(100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size")).select("src", "dst")
 
 
 def links(nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Edges (src, dst) among nodes (node, key, size, signature, sketch) with the components of all retained and confirmed pairs."""
-    lists = cut(posts(nodes.select("node", "signature")))
-    found = tried = None
-    left = float("inf")
-    while True:
-        rooted = _rooted(lists, found)
-        if found is not None:
-            rooted = cut(rooted)
-            was, left = left, _pairs(rooted)
-            if not left:
-                return found
-        last = found is not None and left > SHRINKS * was
-        if last:
-            x, y = (rooted.join(nodes.select("node", "size", "sketch"), "node").select("token", *(F.col(c).alias(f"{mark}_{c}") for c in ("node", "root", "size", "sketch"))) for mark in "ab")
-            pairs = x.join(y, "token").where("a_node < b_node AND a_root <> b_root").where(alike("a_", "b_", percent)).select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")).distinct()
-        else:
-            # A list's lead is its most central node, later the most central one outside the component that is in it most.
-            heads = rooted if found is None else rooted.join(rooted.groupBy("token").agg(F.mode("root").alias("_most")), "token").where("root <> _most")
-            lead = heads.groupBy("token").agg(F.max(F.struct("central", "node", "root")).alias("y"))
-            pairs = rooted.join(lead, "token").where("root <> y.root").select(F.least("node", "y.node").alias("src"), F.greatest("node", "y.node").alias("dst")).distinct()
-            pairs = _sided(pairs, nodes, "size", "sketch").where(alike("a_", "b_", percent)).select("src", "dst")
-        pairs = cut(pairs.join(tried, ["src", "dst"], "left_anti") if tried is not None else pairs)
-        near = confirmed(pairs, nodes, docs, shingle, percent)
-        tried, found = (pairs, near) if tried is None else (tried.union(pairs), found.union(near))
-        if last:
-            return found
+    lists = cut(posts(nodes.select("node", "signature")).withColumn("root", F.col("node")))
+    long = lists.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SHORT).select("token")
+    short, long = lists.join(long, "token", "left_anti"), lists.join(long, "token")
+    most = F.struct("central", "node")
+    leads = long.groupBy("token").agg(F.max_by("node", most).alias("lead"), F.max_by("root", most).alias("lead_root"))
+    stars = _sizes_allow(_stars(_led(long, leads, nodes)), nodes, percent)
+    found = confirmed(cut(_among(short, nodes, percent).union(stars).distinct()), nodes, docs, shingle, percent)
+    rest = long.drop("root").join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    led = _gathered(cut(_several(rest)), nodes)
+    rest = cut(_several(led.where(F.col("far") > AROUND).select("token", "node", "root")))
+    groups = cut(led.where(F.col("far") <= AROUND + APART).select("lead", "node", "root").distinct())
+    several = groups.groupBy("lead").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count_if(F.col("node") != F.col("lead")).alias("n")).where("_low <> _high AND n > 1").select("lead")
+    groups = cut(groups.join(several, "lead"))
+    wanted = groups.select("node").union(groups.select("lead")).distinct()
+    whole = sets(docs, nodes.join(wanted, "node", "left_semi").select("key", "node"), shingle)
+    pairs = _sizes_allow(_stars(led), nodes, percent).union(_among(rest, nodes, percent)).union(differences.similar(groups, whole, percent)).distinct()
+    return found.union(confirmed(cut(pairs), nodes, docs, shingle, percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 2, percent: int = 80) -> DataFrame:
