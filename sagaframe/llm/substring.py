@@ -9,8 +9,11 @@ windows in which document they are met first, and what it has first is added. Wo
 smaller id has are removed.
 
 Automata over all documents would grow with the corpus and could not be broadcast, so they are built
-shard by shard in the tasks that the passages of their anchors are sent to. What is broadcast is sets
-of repeated anchors, behind a check of their size; beyond it the anchors are joined.
+shard by shard in the tasks that the passages of their anchors are sent to. Which anchors are wanted is
+broadcast as a filter of bits that the tasks make block by block, so the driver holds at most
+``FILTER_BITS`` of them and no list of anchors; beyond a number of anchors they are joined. The filter
+leaves none out but lets some others through: an anchor of one document has its windows first itself,
+and one with a single passage gets an automaton it doesn't need.
 
 Passages are told apart by two hashes, and their texts go only where an automaton needs them. An
 anchor with one distinct passage needs none: all its windows are met first where the passage is. An
@@ -36,6 +39,8 @@ from pyspark.sql import types as T
 from sagaframe.llm.common import checkpoint_dir, cut, keyed, portions
 
 GRAM, BROADCAST_ANCHORS, SHARD_ROWS, HELD_BYTES, SALTS = 12, 8_000_000, 8000, 32 << 20, 8
+#: 16 bits or more for each of BROADCAST_ANCHORS; how many hot anchors are broadcast themselves.
+FILTER_BITS, BROADCAST_HOT = 1 << 27, 250_000
 CHUNK, _PLACES = 1 << 16, (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -159,14 +164,39 @@ def matched_passages(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     return rows[["h", "s1", "s2"]].assign(firsts=out)
 
 
-def _sorted(anchors: DataFrame) -> np.ndarray:
-    """The anchors ``h`` of a table whose size has been checked."""
-    return np.sort(anchors.select("h").toPandas()["h"].to_numpy(np.int64))
+def _places(h: np.ndarray, blocks: int) -> list[np.ndarray]:
+    """The three bits of each anchor, all in one block of 65,536."""
+    h = h.view(np.uint64)
+    block = (h >> np.uint64(48) & np.uint64(blocks - 1)) << np.uint64(16)
+    return [(block | h >> np.uint64(by) & np.uint64(0xFFFF)).view(np.int64) for by in (0, 16, 32)]
 
 
-def _among(known: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Which of ``h`` are in the sorted ``known``."""
-    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+def anchor_filter(anchors: DataFrame, n: int) -> np.ndarray:
+    """The bits of the ``n`` anchors ``h`` of a table, eight a byte. Each task makes those of its blocks; no anchor goes to the driver."""
+    blocks = min(FILTER_BITS, max(1 << 22, 1 << (16 * n - 1).bit_length())) >> 16
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((blocks, 1 << 13), np.uint8)
+        for batch in batches:
+            for place in _places(batch.column("h").to_numpy(), blocks):
+                np.bitwise_or.at(bits.reshape(-1), place >> 3, (1 << (place & 7)).astype(np.uint8))
+        for block in np.flatnonzero(bits.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits[block].tobytes()], pa.binary())], ["block", "bits"])
+
+    out = np.zeros((blocks, 1 << 13), np.uint8)
+    dealt = anchors.select("h").repartition(F.shiftrightunsigned("h", 48).bitwiseAND(blocks - 1))
+    for batch in dealt.mapInArrow(made, "block int, bits binary").toArrow().to_batches():
+        for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits")):
+            out[block] |= np.frombuffer(bits.as_buffer(), np.uint8)
+    return out.reshape(-1)
+
+
+def _let_through(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of ``h`` a filter lets through: all of its anchors, and a few others."""
+    out = np.ones(len(h), bool)
+    for place in _places(h, len(bits) >> 13):
+        out &= (bits[place >> 3] >> (place & 7) & 1).astype(bool)
+    return out
 
 
 def _passages(batch: pa.RecordBatch, places: list, length: int) -> pa.RecordBatch | None:
@@ -190,7 +220,7 @@ _PASSAGES = "doc_id long, key long, start long, windows int, h long, s1 long, s2
 
 
 def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
-    """(doc_id, key, start, windows, h, s1, s2, passage) for each anchor that two documents or more have; ``windows`` is how many the passage holds."""
+    """(doc_id, key, start, windows, h, s1, s2, passage) for each anchor that two documents or more have, and for some of the others; ``windows`` is how many the passage holds."""
 
     def listed(batches: Iterator[pa.RecordBatch], ids: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in portions(whole)):
@@ -200,15 +230,16 @@ def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BR
 
     ends = slim.mapInArrow(lambda b: listed(b, ("doc_id", "h")), "doc_id long, h long").groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
     repeated = cut(ends.where("a < b").select("h"))
-    if repeated.count() <= broadcast_anchors:
-        held = slim.sparkSession.sparkContext.broadcast(_sorted(repeated))
+    n = repeated.count()
+    if n <= broadcast_anchors:
+        held = slim.sparkSession.sparkContext.broadcast(anchor_filter(repeated, n))
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = held.value
             for batch in (part for whole in batches for part in portions(whole)):
                 places: list[list] = [[] for _ in range(len(batch))]
                 text, at, h = anchors(batch.column("text").to_pylist(), length)
-                hit = _among(known, h)
+                hit = _let_through(known, h)
                 for i, *place in zip(*(x[hit].tolist() for x in (text, at, h))):
                     places[i].append(place)
                 if (made := _passages(batch, places, length)) is not None:
@@ -226,10 +257,10 @@ def reference_passages(slim: DataFrame, length: int, broadcast_anchors: int = BR
     return slim.join(hits, ["doc_id", "key"]).mapInArrow(around, _PASSAGES)
 
 
-def _texts(passages: DataFrame, anchors: DataFrame, n_anchors: int, broadcast_anchors: int) -> DataFrame:
-    """(h, s1, s2, least, passage) of the given anchors' passages, one copy of each for a task as long as it can hold them."""
-    few = n_anchors <= broadcast_anchors
-    held = passages.sparkSession.sparkContext.broadcast(_sorted(anchors)) if few else None
+def _texts(passages: DataFrame, anchors: DataFrame, n_anchors: int, broadcast_anchors: int, hot: DataFrame | None = None, n_hot: int = 0) -> DataFrame:
+    """(h, s1, s2, least, passage) of the given anchors' passages, one copy of each for a task as long as it can hold them. A filter may let others through, but none of ``hot``."""
+    few = n_anchors <= broadcast_anchors and n_hot <= BROADCAST_HOT
+    held = passages.sparkSession.sparkContext.broadcast((anchor_filter(anchors, n_anchors), hot.select("h").toArrow().column("h").to_numpy() if n_hot else np.zeros(0, np.int64))) if few else None
     columns = ["h", "s1", "s2", "least", "passage"]
 
     def made(seen: dict) -> pa.RecordBatch:
@@ -240,7 +271,9 @@ def _texts(passages: DataFrame, anchors: DataFrame, n_anchors: int, broadcast_an
         seen, size = {}, 0
         for batch in batches:
             if held is not None:
-                batch = batch.filter(pa.array(_among(held.value, batch.column("h").to_numpy())))
+                bits, others = held.value
+                h = batch.column("h").to_numpy()
+                batch = batch.filter(pa.array(_let_through(bits, h) & ~np.isin(h, others)))
             for *key, doc, passage in zip(*(batch.column(c).to_pylist() for c in ("h", "s1", "s2", "doc_id")), batch.column("passage")):
                 found = seen.get(tuple(key))
                 if found is None:
@@ -269,7 +302,7 @@ def first_documents(passages: DataFrame, length: int, passage_cap: int, row_cap:
     alone = distinct.join(sizes.where("n = 1").select("h"), "h", "left_semi").select("h", "s1", "s2", F.array_repeat("least", F.col("windows")).alias("firsts"))
     schema = "h long, s1 long, s2 long, firsts array<long>"
     shards = max(1, -(-total // SHARD_ROWS))
-    texts = _texts(passages, some, n_some, broadcast_anchors).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
+    texts = _texts(passages, some, n_some, broadcast_anchors, hot, n_hot).withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)))
     out = alone.union(texts.groupBy("shard").applyInPandas(lambda rows: matched_passages(rows, length), schema))
     if not n_hot:
         return out

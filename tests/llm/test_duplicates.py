@@ -96,6 +96,26 @@ def test_passages(spark, kw):
     assert passages(df, **kw) == Counter(brute.passages([(d, t) for d, t, *_ in rows]))
 
 
+@pytest.mark.parametrize("kw", [{}, {"passage_cap": 2}])
+def test_driver_holds_few_bits(spark, monkeypatch, kw):
+    """However many anchors there are, what goes out from the driver has a fixed size; a filter that lets nearly all through changes no result."""
+    r, sent, broadcast = random.Random(9), [], type(spark.sparkContext).broadcast
+    texts = [" ".join(f"w{r.randrange(3000)}" for _ in range(4000)) for _ in range(30)]
+    rows = [(3 * i + k, " ".join(t.split()[200 * k :]) + f" end{k}") for i, t in enumerate(texts) for k in range(3)] + [(-1, texts[4]), (None, texts[5])]
+    monkeypatch.setattr(substring, "FILTER_BITS", 1 << 16, raising=False)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sent.append(x[0] if isinstance(x, tuple) else x) or broadcast(self, x))
+    want = brute.passages(rows)
+    assert passages(hostile(spark, [(d, t, None, None) for d, t in rows]), **kw) == Counter(want) and sum(n for *_, n, _ in want) > 200_000
+    assert sent and max(x.nbytes for x in sent) <= 1 << 13
+
+
+def test_anchor_filter(spark):
+    h = np.random.default_rng(2).integers(-(2**63), 2**63, 300_000)
+    bits = substring.anchor_filter(spark.createDataFrame([(x,) for x in h[:100_000].tolist()], "h long").repartition(5), 100_000)
+    assert substring._let_through(bits, h[:100_000]).all() and substring._let_through(bits, h[100_000:]).mean() < 0.01
+    assert not substring._let_through(substring.anchor_filter(spark.createDataFrame([], "h long"), 0), h).any()
+
+
 @pytest.mark.parametrize("length", [3, 13])
 def test_short_passages(spark, length):
     df, rows = table(spark, 4, 25)
