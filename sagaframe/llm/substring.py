@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 
 from sagaframe.llm.common import checkpoint_dir, cut, keyed, portions
 
-GRAM, BROADCAST_ANCHORS, SHARD_ROWS, HELD_BYTES, SALTS = 12, 8_000_000, 8000, 32 << 20, 8
-#: 16 bits or more for each of BROADCAST_ANCHORS; how many hot anchors are broadcast themselves.
-FILTER_BITS, BROADCAST_HOT = 1 << 27, 250_000
+GRAM, BROADCAST_ANCHORS, SHARD_ROWS, HELD_BYTES, SALTS = 12, 40_000_000, 8000, 32 << 20, 8
+#: Six bits or more for each of BROADCAST_ANCHORS, 16 for fewer; how many hot anchors are broadcast themselves.
+FILTER_BITS, BROADCAST_HOT = 1 << 28, 250_000
 CHUNK, _PLACES = 1 << 16, (1 << 20) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
